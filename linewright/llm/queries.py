@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.llm import ann, decontaminate, htmltext, licenses, neardup, pii, sentencepiece_trie, tokenfile, toxicity, urlfilter
-from linewright.llm.common import add_columns, field
 
 #: Vocabulary files; parameters of the operators.
 PIECES, WORD_BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -32,17 +28,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece_trie.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, columns=["doc_id"], check=True)
-
-    def crc(batches):
-        for batch in batches:
-            lists = batch.column("piece_ids")
-            ids, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            at = at - at[0]
-            yield batch, [pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())]
-
-    out = add_columns(out.withColumn("n_pieces", F.size("piece_ids").cast("long")), crc, [field("ids_crc32", "long")], ["doc_id", "n_pieces", "decoded_ok"])
-    return out.select("doc_id", "n_pieces", "ids_crc32", "decoded_ok")
+    return sentencepiece_trie.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, columns=["doc_id"], outputs=("n_pieces", "ids_crc32", "decoded_ok"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ input come back as spaces). Input columns named like an output column give way t
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from itertools import chain
 
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame
 from linewright.llm.common import add_columns, field
 
 MARK = "▁"
-#: Distinct words whose pieces a Python worker remembers between batches.
-REMEMBERED = 900_000
+#: Distinct words, and pairs of pieces, that a Python worker remembers between batches.
+REMEMBERED = 500_000
 _LOADED: dict[tuple, "Vocabulary"] = {}
 
 
@@ -69,7 +70,7 @@ class Vocabulary:
                 for c in reversed(p):
                     node = node.setdefault(c, {})
                 node[""] = p
-        self.stands: dict[tuple[str, str], bool] = {}
+        self.stands: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -83,12 +84,10 @@ class Vocabulary:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     def _stands(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if key not in self.stands:
-            if len(self.stands) > 2_000_000:
-                self.stands.clear()
-            self.stands[key] = self.merge(a + b) == [a, b]
-        return self.stands[key]
+        if len(self.stands) > REMEMBERED:
+            self.stands.clear()
+        ok = self.stands[a + "\n" + b] = self.merge(a + b) == [a, b]
+        return ok
 
     def _ending(self, word: str, j: int) -> list[str]:
         """The pieces that word[:j] ends with, shortest first."""
@@ -102,17 +101,37 @@ class Vocabulary:
                 found.append(node[""])
         return found
 
-    def _step_bpe(self, word: str, last: list, j: int) -> None:
-        """last[j]: the last piece of word[:j]; "" for a character without a piece."""
-        found, stands = self._ending(word, j), self.stands
-        while found:
-            piece = found.pop()
-            left = last[j - len(piece)]
-            ok = not left or stands.get((left, piece))
-            if ok or ok is None and self._stands(left, piece):
-                last.append(piece)
-                return
-        last.append("")
+    def _extend_bpe(self, word: str, last: list, k: int) -> None:
+        """last[j], for j from ``k`` + 1: the last piece of word[:j]; "" for a character without a piece."""
+        back, stands, pieces_of = self.back, self.stands, self._stands
+        for j in range(k, len(word)):
+            node = back.get(word[j])
+            if node is None:
+                last.append("")
+                continue
+            found, i = [], j
+            while True:
+                piece = node.get("")
+                if piece is not None:
+                    found.append(piece)
+                i -= 1
+                if i < 0:
+                    break
+                node = node.get(word[i])
+                if node is None:
+                    break
+            chosen = ""
+            while found:
+                piece = found.pop()
+                left = last[j + 1 - len(piece)]
+                if not left:
+                    chosen = piece
+                    break
+                ok = stands.get(left + "\n" + piece)
+                if ok or ok is None and pieces_of(left, piece):
+                    chosen = piece
+                    break
+            last.append(chosen)
 
     def _step_unigram(self, word: str, last: list, j: int, sums: list) -> None:
         best, chosen = -1e18, ""
@@ -138,8 +157,7 @@ class Vocabulary:
                 for j in range(k + 1, len(word) + 1):
                     self._step_unigram(word, last, j, sums)
             else:
-                for j in range(k + 1, len(word) + 1):
-                    self._step_bpe(word, last, j)
+                self._extend_bpe(word, last, k)
             previous, ids, j = word, [], len(word)
             while j:
                 piece = last[j]
@@ -184,25 +202,34 @@ def vocabulary(path: str, kind: str) -> Vocabulary:
     return _LOADED[path, kind]
 
 
-def encode(docs: DataFrame, model: str, *, text: str = "text", kind: str = "bpe", columns: list[str] | None = None, check: bool = False) -> DataFrame:
-    """``docs`` (or its ``columns``) with piece_ids; with ``check`` also decoded_ok, whether decoding gives the text back."""
+OUTPUTS = {"piece_ids": "array<int>", "n_pieces": "long", "ids_crc32": "long", "decoded_ok": "boolean"}
+
+
+def encode(docs: DataFrame, model: str, *, text: str = "text", kind: str = "bpe", columns: list[str] | None = None, outputs: tuple[str, ...] = ("piece_ids",)) -> DataFrame:
+    """``docs`` (or its ``columns``) with ``outputs``: piece_ids, their number n_pieces, ids_crc32 (of the ids as
+    little-endian unsigned 32-bit integers), decoded_ok (whether decoding the ids gives the text back)."""
+
+    def column(name: str, ids: list[np.ndarray], texts: list[str], vocab: Vocabulary) -> pa.Array:
+        if name == "piece_ids":
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        if name == "n_pieces":
+            return pa.array([len(x) for x in ids], pa.int64())
+        if name == "ids_crc32":
+            return pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+        return pa.array([vocab.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)])
 
     def fn(batches):
         vocab = vocabulary(model, kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 texts = [x or "" for x in part.column(text).to_pylist()]
                 ids = vocab.encode(texts)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))]
-                if check:
-                    arrays.append(pa.array([vocab.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]))
-                yield part, arrays
+                yield part, [column(name, ids, texts, vocab) for name in outputs]
 
     keep = columns if columns is not None else docs.columns
-    fields = [field("piece_ids", "array<int>")] + ([field("decoded_ok", "boolean")] if check else [])
-    return add_columns(docs.select(*dict.fromkeys([*keep, text])), fn, fields, keep)
+    return add_columns(docs.select(*dict.fromkeys([*keep, text])), fn, [field(n, OUTPUTS[n]) for n in outputs], keep)
 
 
 def decode(rows: DataFrame, model: str, *, ids: str = "piece_ids", kind: str = "bpe", out: str = "decoded") -> DataFrame:
