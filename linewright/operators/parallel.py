@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from linewright.session import ship_package
+
 
 class Context:
     """What a handler learns of a record: its number in the partition, and the partition."""
@@ -31,6 +33,7 @@ def map_records(df: DataFrame, value: str, handler: Callable[[Any, Context], Any
     ``setup`` runs once in each task before its records. A coroutine handler has ``max_in_flight``
     records under way at a time. An error in a handler fails the query.
     """
+    ship_package(df.sparkSession)
     narrow = df.select(value)
     asynchronous = inspect.iscoroutinefunction(handler)
 

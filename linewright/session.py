@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,20 @@ def local_session(cpus: int = 8, app: str = "linewright", **conf: str) -> SparkS
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver was started; once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_linewright_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="linewright-"), "linewright.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(target)
+    context._linewright_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 

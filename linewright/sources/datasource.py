@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from linewright.functions.delimiters import parse_delimiter
 from linewright.operators.segments import compute_segments, open_path
+from linewright.session import ship_package
 
 SCHEMA = "segment int, byte_start bigint, byte_end bigint, value binary"
 #: Bytes read at a time.
@@ -106,4 +107,5 @@ class DelimitedDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(DelimitedDataSource)
