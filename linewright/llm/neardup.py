@@ -11,9 +11,10 @@ fewer). The steps:
    bucket of m gives m - 1 pairs. A sketch distance over ``FAR`` (5 standard deviations beyond the
    threshold) ends a pair; the others are confirmed on their full sets.
 4. Components of the confirmed links. In buckets that still hold several components, the members
-   outside the bucket's largest one are compared with all members of other components whose sizes
-   allow the threshold, with the sketch test inside the join, and confirmed as before. So each pair
-   of candidates that could join two components is decided, and none within one is looked at.
+   outside the bucket's largest one are compared with all members of other components: sizes, lone
+   shingles (which bound the overlap; a document with more than a quarter of them is linked with
+   nothing) and the sketch come first, then the full sets, all inside one join that only links
+   leave. So each pair of candidates that could join two components is decided, once.
 5. Components again, over the components; every document gets the smallest id of its own.
 
 With 48 bands of 5 a pair at the threshold of 0.75 shares no key with probability 2e-6, at 0.8 less
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.llm.common import LOWER, raw_texts
-from linewright.session import materialise
+from linewright.session import materialise, ship_package
 
 BANDS, ROWS, BITS = 48, 5, 1024
 #: Bits in which two sketches at a similarity of 0.75 differ: 107 on average, standard deviation 12.
@@ -202,6 +203,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    ship_package(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     all_sketches = materialise(sketches(texts, width), "sketches")
     linkable = all_sketches.where("n > 0 and id is not null")
@@ -226,13 +228,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     whole = members.where("m > 2").join(first, F.col("id") == F.col("node"), "left").select("key", "id", "hub", F.coalesce("component", "id").alias("c"))
     sizes = whole.groupBy("key", "c").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("main"))
-    open_ = whole.join(largest, "key").where("id != hub").join(slim, "id").select("key", "id", "c", "main", "n", "odd")
-    outside = open_.where("c != main").select("key", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("odd").alias("a"))
-    others = open_.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("main"), F.col("n").alias("nv"), F.col("odd").alias("b"))
-    apart = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v")))
-    fits = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (_distance("a", "b") <= FAR)
-    rest = outside.alias("x").join(others.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & fits).select("u", "v").distinct()
-    more = confirmed(rest, sets, percent)
+    pool = materialise(whole.join(largest, "key").where("id != hub").select("key", "id", "c", "main"), "pool")
+    # Shingles that no other document of the pool holds are in no intersection: of n only ``most`` can be shared.
+    of_pool = sets.join(pool.select("id").distinct(), "id", "left_semi")
+    alone = of_pool.select("id", F.explode("members").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    full = reps.join(of_pool, "id").join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
+    open_ = pool.join(full.select("id", "n", "most", "odd", "keys", "members"), "id")
+    side = lambda x: [F.col(c).alias(c + x) for c in ("id", "c", "n", "most", "odd", "keys", "members")]
+    outside, others = open_.where("c != main").select("key", *side("u")), open_.select("key", "main", *side("v"))
+    apart = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("idu") > F.col("idv")))
+    fits = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & ((100 + percent) * F.least("mostu", "mostv") >= percent * (F.col("nu") + F.col("nv"))) & (_distance("oddu", "oddv") <= FAR)
+    # Of the buckets that two documents share, the one with the smallest key decides; only links leave the join.
+    once = F.array_min(F.array_intersect("keysu", "keysv")) == F.col("x.key")
+    linked = (100 + percent) * F.size(F.array_intersect("membersu", "membersv")) >= percent * (F.col("nu") + F.col("nv"))
+    more = materialise(outside.alias("x").join(others.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & fits & once & linked).select(F.col("idu").alias("u"), F.col("idv").alias("v")), "more")
     bridged = more.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     second = components(bridged)
     of_rep = first.select(F.col("node"), F.col("component").alias("c")).unionAll(second.join(first, "node", "left_anti").select("node", F.col("node").alias("c")))
