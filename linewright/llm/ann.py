@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linewright.session import ship_package
+
 #: Rows of a block on either side: a tile of 4096 x 8192 bounds takes 256 MB at most, in strips of 64 queries 4 MB.
 QUERY_BLOCK, ROW_BLOCK, STRIP = 4096, 8192, 64
 
@@ -76,6 +78,7 @@ def usable(vector: Column) -> Column:
 def nearest(rows: DataFrame, query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of all ``rows`` to each row where ``query`` holds."""
     spark = rows.sparkSession
+    ship_package(spark)
     v = rows.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), query.alias("is_query")).withColumn("dim", F.size("v"))
     n, n_q = v.agg(F.count("*"), F.count_if("is_query")).first()
     schema = "query_id long, rank int, vec_id long, score double"
