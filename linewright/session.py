@@ -29,8 +29,16 @@ def local_session(cpus: int = 8, app: str = "linewright", **conf: str) -> SparkS
     return spark
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: rows of long texts must not pile up there.
+ARROW_BYTES = 8 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, wherever the driver was started; once for each context."""
+    """Makes Python workers ready: this package importable wherever the driver was started, and Arrow batches
+    of ``ARROW_BYTES`` at most, unless the session sets its own limit."""
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, str(ARROW_BYTES))
     context = spark.sparkContext
     if getattr(context, "_linewright_shipped", False):
         return
