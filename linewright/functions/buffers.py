@@ -57,3 +57,25 @@ def slice_bytes(value: Column, start: int, end: int | None = None) -> Column:
 def read_window(value: Column, position: int, length: int) -> Column:
     """``length`` bytes from ``position``, fewer at the end."""
     return slice_bytes(value, position, position + length)
+
+
+def grow(value: Column, size: int) -> Column:
+    """Zero bytes behind ``value`` up to ``size``; longer values stay."""
+    return F.when(F.octet_length(value) < size, F.concat(value, F.substring(F.lit(bytes(size)), F.lit(1), F.lit(size) - F.octet_length(value)))).otherwise(value)
+
+
+def compress(value: Column, start: int, end: int | None = None) -> Column:
+    """Only the bytes [start, end) that are still needed."""
+    return slice_bytes(value, start, end)
+
+
+def clear(value: Column) -> Column:
+    """As many zero bytes."""
+    return F.unhex(F.repeat(F.lit("00"), F.octet_length(value)))
+
+
+def set_bytes(value: Column, data: Column, offset: int) -> Column:
+    """``data`` written over ``value`` from ``offset``; it must fit."""
+    fits = F.octet_length(data) + offset <= F.octet_length(value)
+    made = F.concat(slice_bytes(value, 0, offset), data, F.substring(value, F.octet_length(data) + offset + 1, F.octet_length(value)))
+    return F.when(fits, made).otherwise(F.raise_error(F.lit("range out of bounds")).cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linewright.functions.delimiters import VISIBLE, byte_length, pattern
+from linewright.functions.delimiters import VISIBLE, pattern
 
 QUOTE = '"'
 #: Stand-ins for a delimiter outside quotes; the first one that a value does not hold is used.
@@ -91,5 +91,16 @@ def search_matches(value: Column, delimiter: str, quote: str = QUOTE) -> Column:
     return F.array_sort(F.concat(offsets(delimiter, 0), offsets(quote, 1)))
 
 
-def gap_bytes(delimiter: str) -> int:
-    return byte_length(delimiter)
+def search_all(value: Column, delimiter: str, limit: int | None = None) -> Column:
+    """Every range between matches as (start, end) in characters, empty ones and the trailing one included.
+
+    ``limit`` keeps the first ranges only.
+    """
+    parts = split_plain(value, delimiter)
+    if len(delimiter) == 1:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substring(value, i, F.lit(1)) == delimiter)
+        ends = F.concat(F.transform(places, lambda i: i - 1), F.array(F.length(value)))
+    else:
+        ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.length(F.array_join(F.slice(parts, F.lit(1), k), delimiter)))
+    ranges = F.transform(ends, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) + len(delimiter)).cast("long").alias("start"), e.cast("long").alias("end")))
+    return ranges if limit is None else F.slice(ranges, F.lit(1), F.lit(limit))

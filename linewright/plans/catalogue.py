@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.functions import buffers, casing, exprs, text
+from linewright.functions import buffers, casing, exprs, ranges, text
 from linewright.operators import combine, parallel, records, segments, tabular
 from linewright.operators.jsonl import parse_json_rows, to_json_rows
 from linewright.session import scratch_path
-from linewright.sources import datasource, files, sinks
+from linewright.sources import chunks, datasource, files, sinks
 from linewright.streaming import lines as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,9 +118,13 @@ def search_matches(spark, sf_dir):
     return _docs(spark, sf_dir, F.substring("text", 1, 400)).select("doc_id", F.explode(exprs.search_matches(F.col("text"), ",")).alias("m")).select("doc_id", "m.offset", "m.pattern_id")
 
 
-# Columns
+@query("SELECT page_id, CAST(i - 1 AS BIGINT) AS idx, CAST(coalesce(list_sum(list_transform(l[1 : i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start, CAST(coalesce(list_sum(list_transform(l[1 : i - 1], lambda x: length(x) + 1)), 0) + length(l[i]) AS BIGINT) AS \"end\" FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, string_split(url, '/') AS l FROM pages))")
+def search_all(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(exprs.search_all(F.col("url"), "/")).alias("idx", "r"))
+    return p.select("page_id", F.col("idx").cast("long").alias("idx"), "r.start", "r.end")
+
 
-_CUSTOMER = "c_custkey || ',' || c_name || ',' || c_nationkey || ',' || c_acctbal || ',' || c_mktsegment"
+# Columns
 
 
 def _customer(spark, sf_dir) -> DataFrame:
@@ -355,6 +359,19 @@ def composite_buffer(spark, sf_dir):
     return o.select("o_orderkey", buffers.byte_length(F.col("c")).alias("n"), buffers.byte_at(F.col("f"), 0).alias("first"), buffers.subarray(F.col("f"), 1, 4).cast("string").alias("part"), buffers.slice_bytes(F.col("f"), -2).cast("string").alias("tail"), buffers.flat(buffers.remove_first(F.col("c"))).cast("string").alias("rest"))
 
 
+@query("SELECT n_nationkey, CAST(n_regionkey + 3 AS BIGINT) AS first_end, CAST(9 AS BIGINT) AS last_start, CAST(n_regionkey + 4 AS BIGINT) AS n, CAST(1 AS INTEGER) AS left_over FROM nation")
+def range_queue(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    q = ranges.enqueue(ranges.enqueue(ranges.queue(), 0, F.col("n_regionkey") + 3), 9, 10)
+    return n.select("n_nationkey", ranges.peek(q)["end"].alias("first_end"), ranges.peek_last(q)["start"].alias("last_start"), ranges.byte_length(q).alias("n"), F.size(ranges.dequeue(q)).alias("left_over"))
+
+
+@query("SELECT n_nationkey, 'xy' || substr(n_name, 3) AS written, CAST(greatest(20, length(n_name)) AS INTEGER) AS grown, substr(n_name, 2, 2) AS kept, repeat('00', length(n_name)) AS cleared FROM nation")
+def growable_buffer(spark, sf_dir):
+    v = F.col("n_name").cast("binary")
+    return table(spark, sf_dir, "nation").select("n_nationkey", buffers.set_bytes(v, F.lit(b"xy"), 0).cast("string").alias("written"), F.octet_length(buffers.grow(v, 20)).alias("grown"), buffers.compress(v, 1, 3).cast("string").alias("kept"), F.hex(buffers.clear(v)).alias("cleared"))
+
+
 # Segments and user functions
 
 _CUTS = "list_filter([CASE WHEN {at} > 0 AND {at} < n AND strpos(substr(text, {at} + 1), chr(10)) > 0 AND {at} + strpos(substr(text, {at} + 1), chr(10)) < n THEN {at} + strpos(substr(text, {at} + 1), chr(10)) END], lambda x: x IS NOT NULL)"
@@ -436,3 +453,11 @@ def delimited_source(spark, sf_dir):
     [part] = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").collect()]
     got = spark.read.format("delimited").options(delimiter="||", concurrency="5").load(part)
     return got.select(F.col("value").cast("string").alias("value"), (F.col("byte_end") - F.col("byte_start")).alias("n"))
+
+
+@query("SELECT CAST(sum(octet_length(encode(CAST(o_orderkey AS VARCHAR))) + 1) AS BIGINT) AS n_bytes, CAST(ceil(sum(octet_length(encode(CAST(o_orderkey AS VARCHAR))) + 1) / 1024) AS BIGINT) AS n_chunks FROM orders")
+def file_chunks(spark, sf_dir):
+    path = scratch_path(spark, "chunks")
+    sinks.write_lines(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("value")), path, single=True)
+    [part] = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").collect()]
+    return chunks.read_chunks(spark, part, 1024).agg(F.sum(F.octet_length("bytes")).alias("n_bytes"), F.count("*").alias("n_chunks"))

@@ -41,3 +41,26 @@ def iterate(df: DataFrame, pos: str = "pos", value: str = "value") -> Iterator:
     """The same, a partition at a time."""
     for row in df.orderBy(pos).select(value).toLocalIterator(prefetchPartitions=True):
         yield row[0]
+
+
+class NewlineWriter:
+    """Lines into one file from the driver: each with a line feed behind it, empty ones kept.
+
+        with NewlineWriter(path) as writer:
+            writer.write("alpha")
+    """
+
+    def __init__(self, path: str):
+        self._file = open(path, "w", encoding="utf-8", newline="")
+
+    def write(self, line: str | bytes) -> None:
+        self._file.write((line if isinstance(line, str) else line.decode("utf-8")) + "\n")
+
+    def close(self) -> None:
+        self._file.close()
+
+    def __enter__(self) -> NewlineWriter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linewright import cli
 from linewright.operators import segments
 from linewright.operators.jsonl import to_json_rows
-from linewright.sources import datasource, files, sinks
+from linewright.sources import chunks, datasource, files, sinks
 from linewright.streaming import lines as streaming
 
 
@@ -138,3 +138,24 @@ def test_jsonl_writer(spark, tmp_path):
     assert sinks.csv_lines(spark.createDataFrame([(1, None)], "a int, b string")).first()["value"] == "1,"
     assert to_json_rows(spark.range(1), "id").first()["value"] == '{"id":0}'
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_chunks_and_sources(spark, tmp_path):
+    path = write(tmp_path / "ten", "0123456789")
+    assert list(chunks.iter_chunks(path, 3)) == [b"012", b"345", b"678", b"9"]
+    assert list(chunks.iter_chunks(path, 64, 2, 5)) == [b"2345"]
+    assert b"".join(bytes(r["bytes"]) for r in chunks.read_chunks(spark, path, 4).orderBy("offset").collect()) == b"0123456789"
+    lines = write(tmp_path / "l.txt", "a\n\nb\n")
+    get = lambda df, pos: [r["value"] for r in df.orderBy(pos).collect()]
+    assert get(chunks.records_from(spark, tmp_path / "l.txt"), "_pos") == get(chunks.records_from(spark, lines), "_pos") == ["a", "b"]
+    assert get(chunks.records_from(spark, b"a\nb"), "pos") == get(chunks.records_from(spark, [b"a", "\n", b"b"]), "pos") == ["a", "b"]
+    assert get(chunks.parse_text(spark, "a\n\nb", skip_empty=False), "pos") == ["a", "", "b"]
+    assert get(chunks.records_from(spark, spark.createDataFrame([("x,y",)], "t string"), ","), "pos") == ["x", "y"]
+    with pytest.raises(OSError, match="cannot read"):
+        chunks.records_from(spark, str(tmp_path / "missing"))
+    with pytest.raises(TypeError):
+        chunks.records_from(spark, 5)
+    with sinks.NewlineWriter(str(tmp_path / "w")) as writer:
+        for line in ("a", "", b"b"):
+            writer.write(line)
+    assert (tmp_path / "w").read_text() == "a\n\nb\n"

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linewright.functions import buffers, casing, text
+from linewright.functions import buffers, casing, exprs, ranges, text
 from linewright.operators import combine, parallel
 
 
@@ -82,3 +82,22 @@ def test_user_functions(spark):
 
     with pytest.raises(Exception, match="item boom"):
         parallel.map_records(rows, "v", broken, "long").collect()
+
+
+def test_search_all_and_ranges(spark, one):
+    assert one(lambda c: exprs.search_all(c, ","), "a,b,") == [(0, 1), (2, 3), (4, 4)]
+    assert one(lambda c: exprs.search_all(c, "\r\n"), "aa\r\nbb\r\ncc") == [(0, 2), (4, 6), (8, 10)]
+    assert one(lambda c: exprs.search_all(c, ","), "") == [(0, 0)]
+    assert len(one(lambda c: exprs.search_all(c, ",", 3), "," * 50)) == 3 and len(one(lambda c: exprs.search_all(c, ","), "," * 5000)) == 5001
+    q = ranges.enqueue(ranges.enqueue(ranges.queue(), 1, 4), 6, 7)
+    row = spark.range(1).select(ranges.peek(q).alias("a"), ranges.peek_last(q).alias("b"), ranges.byte_length(q).alias("n"), ranges.dequeue(q).alias("d"), ranges.peek(ranges.queue()).alias("none")).first()
+    assert (tuple(row["a"]), tuple(row["b"]), row["n"], [tuple(x) for x in row["d"]], row["none"]) == ((1, 4), (6, 7), 4, [(6, 7)], None)
+
+
+def test_growable_buffer(one):
+    assert bytes(one(lambda v: buffers.grow(v, 4), b"ab")) == b"ab\0\0"
+    assert bytes(one(lambda v: buffers.set_bytes(v, F.lit(b"X"), 1), b"abc")) == b"aXc"
+    assert bytes(one(lambda v: buffers.set_bytes(v, F.lit(b"XY"), 1), b"abc")) == b"aXY"
+    assert bytes(one(buffers.clear, b"ab")) == b"\0\0"
+    with pytest.raises(Exception, match="out of bounds"):
+        one(lambda v: buffers.set_bytes(v, F.lit(b"XY"), 2), b"abc")
