@@ -18,6 +18,8 @@ from linewright.llm.common import ascii_lower, drop_clashing
 
 #: Rules up to which the rule side of the join is broadcast (each row is under 300 bytes); more are shuffled.
 BROADCAST_RULES = 100_000
+#: Shares that the pages of one host and path prefix are dealt over.
+SHARES = 16
 
 
 def host_of(url: Column) -> Column:
@@ -62,4 +64,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
     met = keyed.join(side, (F.col("_short") == F.col("_rule_short")) & (F.col("_digest") == F.col("_rule_digest")))
     best = met.groupBy("host", "_p").agg(F.max("_rule_id").alias("_best")).join(names, "_best").drop("_best")
     own = [c for c in base.columns if c != "_p"]
-    return base.join(best, ["host", "_p"], "left").select(*own, "rule", F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+    # A hot host is one key: its pages are dealt over SHARES shares, and every share gets the few keys that met a rule.
+    best = best.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    base = base.withColumn("_share", F.pmod(F.xxhash64(url), F.lit(SHARES)).cast("int"))
+    return base.join(best, ["host", "_p", "_share"], "left").select(*own, "rule", F.coalesce("_verdict", F.lit(default)).alias("verdict"))
