@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -31,20 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linewright.session import scratch_path
+from linewright.llm.common import LOWER
+from linewright.session import scratch_path, ship_package
 
 ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4"), ("crc32", "<u4")])
 FOOTER, MAGIC = struct.Struct("<QIII8s"), b"LWTOKEN1"
 #: Distinct white-space-separated chunks whose ids a Python worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 1_300_000
+_UNPACKER = zstandard.ZstdDecompressor()
+SPACED = LOWER.translate(bytes.maketrans(b"\n\t", b"  "))
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
     """The tokenizer's ids of whole texts, put together from those of white-space-separated chunks.
 
-    ``whole`` keeps texts in one piece, for tokenizers whose tokens can span white space. Chunks
-    are exact for tokenizers that drop white space before they split words.
+    Exact for tokenizers that drop white space, lower-case and part letters from marks before they
+    look for tokens; ``whole`` keeps the texts of any other in one piece.
     """
 
     def __init__(self, path: str, whole: bool = False):
@@ -52,37 +56,58 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.whole, self.known = Tokenizer.from_file(path), whole, {}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _core(chunk: str) -> tuple[str, str]:
-        """The chunk in two pieces with ids of their own, for a tokenizer that lower-cases and parts letters from marks."""
-        tail = ""
-        if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha() and chunk[-2:-1].isascii():
-            chunk, tail = chunk[:-1], chunk[-1]
-        if "<|" not in chunk:
-            if chunk.isascii():
-                chunk = chunk.lower()
-            elif "A" <= chunk[0] <= "Z":
-                chunk = chunk[0].lower() + chunk[1:]
-        return chunk, tail
-
-    def __call__(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+    def __call__(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, ``end_id`` behind each, and where each text's begin (one more: the end)."""
         if self.whole:
-            return [np.append(x, np.uint32(end_id)) for x in self._encode(texts)]
-        # Only at characters that every tokenizer takes for white space; the empty chunk has no ids.
-        chunks = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        known = self.known
+            own = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array(list(chain.from_iterable(own)), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
+        # Lower-cased as the tokenizer would, and parted only at characters that every tokenizer takes
+        # for white space. A text that may hold a special token is one chunk, as it is.
+        special = pc.match_substring(texts, "<|")
+        _, offsets, data = texts.buffers()
+        plain = pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(data.to_pybytes().translate(SPACED) if data else b""), None, 0, texts.offset)
+        lists = pc.split_pattern(plain, " ")
+        if pc.any(special).as_py():
+            lists = pa.array([[t] if s else x for x, t, s in zip(lists.to_pylist(), texts.to_pylist(), special.to_pylist(), strict=True)], pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        ids = self._chunk_ids(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[which]
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        total = np.concatenate(([0], np.cumsum(n)))
+        starts = total[bounds] + np.arange(len(bounds))
+        out = np.full(starts[-1], end_id, np.uint32)
+        # Each chunk's ids go behind those of the chunks before it and the end ids of the texts before its own.
+        within = np.arange(total[-1]) - np.repeat(total[:-1], n)
+        out[np.repeat(total[:-1] + np.repeat(np.arange(len(texts)), np.diff(bounds)), n) + within] = flat[np.repeat(first[which], n) + within]
+        return out, starts
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        known, own, parted, new = self.known, {}, [], set()
         if len(known) > REMEMBERED:
             known.clear()
-        new = set(chain.from_iterable(chunks)).difference(known)
-        cores = {x: self._core(x) for x in new}
-        part = list({y for x in cores.values() for y in x}.difference(known))
-        known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        known.update((x, known[core] + known[tail]) for x, (core, tail) in cores.items())
-        end = array("I", [end_id]).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, x), end]), np.uint32) for x in chunks]
+        for x in chunks:
+            ids = known.get(x)
+            if ids is not None:
+                own[x] = ids
+            elif x[-1:] in (".", ",") and "a" <= x[-2:-1] <= "z":
+                # A full stop or comma behind a letter is a token of its own: only the word is remembered.
+                own[x] = b""
+                parted.append(x)
+                if x[:-1] not in known:
+                    new.add(x[:-1])
+            else:
+                own[x] = b""
+                new.add(x)
+        part = [*new, ".", ","]
+        fresh = dict(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        known.update((x, fresh[x]) for x in new if len(x) < 100)
+        for x in parted:
+            own[x] = (known.get(x[:-1]) or fresh[x[:-1]]) + fresh[x[-1]]
+        return [ids or fresh.get(x, b"") for x, ids in own.items()]
 
 
 def encoder(path: str, whole: bool) -> ChunkEncoder:
@@ -97,7 +122,7 @@ def frame(ids: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
 
 
 def unframe(raw: bytes, n: int) -> np.ndarray:
-    data = zstandard.ZstdDecompressor().decompress(raw)
+    data = _UNPACKER.decompress(raw)
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
 
 
@@ -176,11 +201,13 @@ def encode_frames(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", te
     def run(batches):
         encode, packer = encoder(tokenizer, whole), zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = encode([x or "" for x in part.column(1).to_pylist()], end_id)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([frame(x, packer) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"])
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                ids, starts = encode(pc.fill_null(part.column(1).cast(pa.string()), ""), end_id)
+                frames = [frame(ids[a:b], packer) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts)), pa.array(frames, pa.binary())], names=["doc_id", "n_tokens", "frame"])
 
+    ship_package(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, frame binary")
 
@@ -228,6 +255,7 @@ def read_token_files(spark, files: list[tuple[str, int, int]]) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
+    ship_package(spark)
     rows, start = [], 0
     for name, _, n in files:
         rows.append((name, start))
