@@ -41,6 +41,8 @@ BANDS, ROWS, BITS = 48, 5, 1024
 #: Bits in which two sketches at a similarity of 0.75 differ: 107 on average, standard deviation 12.
 FAR = 167
 CHUNK = 1 << 20
+#: Shares that the rows of one class are dealt over.
+SALTS = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -207,9 +209,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     all_sketches = materialise(sketches(texts, width), "sketches")
     linkable = all_sketches.where("n > 0 and id is not null")
-    # Equal sets: the smallest id stands for the class; the sums are taken before the shuffle.
-    classes = linkable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    of_class = materialise(linkable.join(classes, ["n", "s1", "s2"]).select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys"), F.when(F.col("id") == F.col("rep"), F.col("odd")).alias("odd")), "classes")
+    # Equal sets: the smallest id stands for the class. A class can hold a third of all rows, so it is
+    # dealt over SALTS shares: first the smallest id of a share, then that of the shares, and back.
+    linkable = linkable.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    shares = linkable.groupBy("n", "s1", "s2", "share").agg(F.min("id").alias("low"))
+    classes = shares.join(shares.groupBy("n", "s1", "s2").agg(F.min("low").alias("rep")), ["n", "s1", "s2"]).drop("low")
+    of_class = materialise(linkable.join(classes, ["n", "s1", "s2", "share"]).select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys"), F.when(F.col("id") == F.col("rep"), F.col("odd")).alias("odd")), "classes")
     reps = of_class.where("keys is not null")
 
     # Candidates: members of buckets of two or more, each with the smallest of its bucket.
