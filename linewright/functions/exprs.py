@@ -73,6 +73,47 @@ def search(value: Column, needle: str, start: int = 0, end: int | None = None) -
     return (F.locate(needle, inside, start + 1) - 1).cast("long")
 
 
+#: Parts up to which offsets are summed part by part (quadratic, but short); beyond, characters are numbered.
+_FEW = 256
+
+
+def _ends(value: Column, delimiter: str, length) -> Column:
+    """Where every part of ``value`` ends, in units of ``length``; the last end is the whole length.
+
+    Many parts: with the delimiter replaced by one character that the value does not hold, the k-th
+    delimiter stands at its number in the array of characters plus k times what the replacing saved.
+    """
+    gap = len(delimiter)
+    parts = split_plain(value, delimiter)
+    few = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda n, p: n + length(p)) + i * gap)
+
+    def numbered(mark: str) -> Column:
+        chars = F.split(F.replace(value, F.lit(delimiter), F.lit(mark)) if mark != delimiter else value, "")
+        places = F.filter(F.transform(chars, lambda c, i: F.when(c == mark, i)), lambda i: i.isNotNull())
+        return F.concat(F.transform(places, lambda j, k: j + k * (gap - 1)), F.array(length(value)))
+
+    many = F.raise_error(F.lit("a value holds all the stand-ins for a delimiter")).cast("array<int>")
+    for mark in [delimiter] if gap == 1 else reversed(_PRIVATE):
+        many = F.when(F.lit(True) if gap == 1 else ~F.contains(value, F.lit(mark)), numbered(mark)).otherwise(many)
+    return F.when(F.size(parts) <= _FEW, few).otherwise(many)
+
+
+#: Single characters that stand in for a longer delimiter.
+_PRIVATE = ("\x01", "\x02", "\x03")
+
+
+def _ranges(ends: Column, gap: int) -> Column:
+    return F.transform(ends, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) + gap).cast("long").alias("start"), e.cast("long").alias("end")))
+
+
+def byte_ranges(value: Column, delimiter: str) -> Column:
+    """Every range between delimiters as (start, end) in bytes of the UTF-8 text."""
+    # As Latin-1 every byte is a character.
+    raw = F.decode(value.cast("binary"), "ISO-8859-1")
+    needle = delimiter.encode().decode("latin-1")
+    return _ranges(_ends(raw, needle, F.length), len(needle))
+
+
 def search_matches(value: Column, delimiter: str, quote: str = QUOTE) -> Column:
     """Every match of either pattern as (offset, pattern_id), ordered; 0 is the delimiter and wins ties.
 
@@ -80,13 +121,8 @@ def search_matches(value: Column, delimiter: str, quote: str = QUOTE) -> Column:
     """
 
     def offsets(needle: str, pattern_id: int) -> Column:
-        parts = split_plain(value, needle)
-        if len(needle) == 1:
-            places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substring(value, i, F.lit(1)) == needle)
-            return F.transform(places, lambda i: F.struct((i - 1).cast("long").alias("offset"), F.lit(pattern_id).alias("pattern_id")))
-        starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.length(F.array_join(F.slice(parts, F.lit(1), k), needle)).cast("long"))
-        found = F.transform(starts, lambda s: F.struct(s.alias("offset"), F.lit(pattern_id).alias("pattern_id")))
-        return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<offset:bigint,pattern_id:int>>"))
+        ends = _ends(value, needle, F.length)
+        return F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: F.struct(e.cast("long").alias("offset"), F.lit(pattern_id).alias("pattern_id")))
 
     return F.array_sort(F.concat(offsets(delimiter, 0), offsets(quote, 1)))
 
@@ -96,11 +132,5 @@ def search_all(value: Column, delimiter: str, limit: int | None = None) -> Colum
 
     ``limit`` keeps the first ranges only.
     """
-    parts = split_plain(value, delimiter)
-    if len(delimiter) == 1:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substring(value, i, F.lit(1)) == delimiter)
-        ends = F.concat(F.transform(places, lambda i: i - 1), F.array(F.length(value)))
-    else:
-        ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.length(F.array_join(F.slice(parts, F.lit(1), k), delimiter)))
-    ranges = F.transform(ends, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) + len(delimiter)).cast("long").alias("start"), e.cast("long").alias("end")))
+    ranges = _ranges(_ends(value, delimiter, F.length), len(delimiter))
     return ranges if limit is None else F.slice(ranges, F.lit(1), F.lit(limit))

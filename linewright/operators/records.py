@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linewright.functions import exprs
-from linewright.functions.delimiters import Delimiter, byte_length, parse_delimiter
+from linewright.functions.delimiters import Delimiter, parse_delimiter
 
 
 def records(value: Column, delimiter: Delimiter = "\n", *, skip_empty: bool = True, drop: int = 0, take: int | None = None, crlf: bool = False, quotes: bool = False, position: int = 0) -> Column:
@@ -36,18 +36,16 @@ def split_records(df: DataFrame, column: str, delimiter: Delimiter = "\n", *, po
     return df.select(*others, F.posexplode(records(F.col(column), delimiter, **options)).alias(pos, value)).withColumn(pos, F.col(pos).cast("long"))
 
 
-def byte_ranges(df: DataFrame, column: str, key: str | list[str], delimiter: Delimiter = "\n") -> DataFrame:
-    """A row for each range between delimiters: byte_start, byte_end (exclusive), empty ones included.
+def byte_ranges(df: DataFrame, column: str, delimiter: Delimiter = "\n") -> DataFrame:
+    """A row for each range between delimiters: pos, byte_start, byte_end (exclusive) and value, empty ones included.
 
-    ``key`` names the columns that tell documents apart; a document's ranges are summed up in order.
+    The offsets are made within the row; nothing is shuffled.
     """
     d = parse_delimiter(delimiter)
-    keys = [key] if isinstance(key, str) else key
-    parts = df.select(*keys, F.posexplode(exprs.split_plain(F.col(column), d)).alias("pos", "value"))
-    before = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    size = F.octet_length("value").cast("long")
-    start = F.coalesce(F.sum(size + byte_length(d)).over(before), F.lit(0).cast("long"))
-    return parts.select(*keys, F.col("pos").cast("long").alias("pos"), start.alias("byte_start"), size.alias("_size"), "value").select(*keys, "pos", "byte_start", (F.col("byte_start") + F.col("_size")).alias("byte_end"), "value")
+    others = [c for c in df.columns if c not in (column, "pos", "byte_start", "byte_end", "value")]
+    zipped = F.arrays_zip(exprs.byte_ranges(F.col(column), d).alias("r"), exprs.split_plain(F.col(column), d).alias("value"))
+    rows = df.select(*others, F.posexplode(zipped).alias("pos", "_z"))
+    return rows.select(*others, F.col("pos").cast("long").alias("pos"), F.col("_z.r.start").alias("byte_start"), F.col("_z.r.end").alias("byte_end"), F.col("_z.value").alias("value"))
 
 
 def logical_rows(lines: DataFrame, order: list[str], group: list[str], value: str = "value") -> DataFrame:

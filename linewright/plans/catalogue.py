@@ -104,7 +104,7 @@ def split_quoted_lines(spark, sf_dir):
 
 @query("WITH l AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS pos, unnest(p) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), b AS (SELECT doc_id, pos, value, octet_length(encode(value)) AS n FROM l) SELECT doc_id, pos, CAST(coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start, CAST(coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n AS BIGINT) AS byte_end, value FROM b")
 def byte_ranges(spark, sf_dir):
-    return records.byte_ranges(_docs(spark, sf_dir), "text", "doc_id")
+    return records.byte_ranges(_docs(spark, sf_dir), "text")
 
 
 @query("SELECT doc_id, CAST(strpos(text, ', ') - 1 AS BIGINT) AS first_match, CAST(CASE WHEN strpos(substr(text, 41), ', ') = 0 THEN -1 ELSE strpos(substr(text, 41), ', ') + 39 END AS BIGINT) AS from_40, CAST(strpos(substr(text, 1, 30), ', ') - 1 AS BIGINT) AS before_30 FROM documents")
@@ -113,9 +113,9 @@ def search_first(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", exprs.search(t, ", ").alias("first_match"), exprs.search(t, ", ", 40).alias("from_40"), exprs.search(t, ", ", 0, 30).alias("before_30"))
 
 
-@query("SELECT doc_id, CAST(i - 1 AS BIGINT) AS \"offset\", CASE WHEN substr(t, i, 1) = ',' THEN 0 ELSE 1 END AS pattern_id FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT doc_id, substr(text, 1, 400) AS t FROM documents)) WHERE substr(t, i, 1) IN (',', '\"')")
+@query("SELECT doc_id, CAST(i - 1 AS BIGINT) AS \"offset\", CASE WHEN c = ',' THEN 0 ELSE 1 END AS pattern_id FROM (SELECT doc_id, unnest(t) AS c, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, string_split(text, '') AS t FROM documents)) WHERE c IN (',', '\"')")
 def search_matches(spark, sf_dir):
-    return _docs(spark, sf_dir, F.substring("text", 1, 400)).select("doc_id", F.explode(exprs.search_matches(F.col("text"), ",")).alias("m")).select("doc_id", "m.offset", "m.pattern_id")
+    return _docs(spark, sf_dir).select("doc_id", F.explode(exprs.search_matches(F.col("text"), ",")).alias("m")).select("doc_id", "m.offset", "m.pattern_id")
 
 
 @query("SELECT page_id, CAST(i - 1 AS BIGINT) AS idx, CAST(coalesce(list_sum(list_transform(l[1 : i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start, CAST(coalesce(list_sum(list_transform(l[1 : i - 1], lambda x: length(x) + 1)), 0) + length(l[i]) AS BIGINT) AS \"end\" FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, string_split(url, '/') AS l FROM pages))")
@@ -337,10 +337,10 @@ def zip_arrays(spark, sf_dir):
     return z.select("doc_id", F.col("z.idx").alias("idx"), F.col("z.a").alias("word"), F.col("z.b").alias("line"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, user_id FROM events WHERE user_id % 2 = 0")
+@query("SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT p_partkey, p_name FROM part")
 def merge_union(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return combine.merge(e.where("event_type = 'click'").select("event_id", "user_id"), e.where("user_id % 2 = 0").select("user_id", "event_id"))
+    named = lambda t, k, n: table(spark, sf_dir, t).select(F.col(n).alias("name"), F.col(k).alias("key"))
+    return combine.merge(named("customer", "c_custkey", "c_name").select("key", "name"), named("supplier", "s_suppkey", "s_name"), named("part", "p_partkey", "p_name"))
 
 
 @query("SELECT CAST(i // 64 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY i) AS ids FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events) GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Delimited files, read by Spark's text source with the reference order of their records.
+"""Delimited files, read by Spark's text source, with the order of their records.
 
 Rows carry ``_file``, ``_block`` (start of the split in the file) and ``_pos``, dense within the
 file. ``_pos`` needs the number of records of each split first; that is one narrow pass, and its

@@ -91,8 +91,9 @@ def test_positions_and_other_columns(spark):
 
 @pytest.mark.parametrize(("text", "delimiter", "want"), [("a,b,", ",", ["a", "b", ""]), ("aa\r\nbb\r\ncc", "\r\n", ["aa", "bb", "cc"]), ("é,ü", ",", ["é", "ü"])])
 def test_byte_ranges(spark, text, delimiter, want):
-    rows = byte_ranges(spark.createDataFrame([(1, text)], "id int, t string"), "t", "id", delimiter).orderBy("pos").collect()
-    assert [text.encode()[r["byte_start"] : r["byte_end"]].decode() for r in rows] == want
+    for text, want in ((text, want), (delimiter.join([text] * 400), want * 400)):
+        rows = byte_ranges(spark.createDataFrame([(1, text)], "id int, t string"), "t", delimiter).orderBy("pos").collect()
+        assert [text.encode()[r["byte_start"] : r["byte_end"]].decode() for r in rows] == [r["value"] for r in rows] == want
 
 
 def test_search(one):
@@ -102,6 +103,8 @@ def test_search(one):
     assert one(lambda c: exprs.search(c, ",", 0, 3), "ab,cd") == 2
     assert one(lambda c: exprs.search_matches(c, ",", "**"), "ab**cd,ef") == [(2, 1), (6, 0)]
     assert one(lambda c: exprs.search_matches(c, ","), "") == []
+    for n in (3, 300):  # summed part by part, and numbered
+        assert one(lambda c: exprs.search_matches(c, "aa", "x"), "aaaéx🙂" * n) == [(6 * k + o, p) for k in range(n) for o, p in ((0, 0), (4, 1))]
 
 
 def test_logical_rows(spark):
