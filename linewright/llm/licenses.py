@@ -21,11 +21,13 @@ token itself, which changes no result. Input columns named like an output column
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.llm.common import drop_clashing
+from linewright.session import materialise
 
 # Phrases and their labels, then the notices that licenses ask to be put into files.
 PHRASES = [
@@ -82,14 +84,22 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """One row for each document: its id and n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     matches: array of (label, line, containment) of the blocks that meet a template; line null for a phrase.
-    Documents are read twice (frequencies, then the join); only matches and a narrow row for each document are shuffled.
+    Documents are read once; only matches and a narrow row for each document are shuffled.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t in [*phrases, *templates] for w in t.split()})
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t")).withColumn("norm", F.coalesce(normalise(F.col("t")), F.lit(""))).drop("t")
-    base = base.withColumn("lines", F.split("norm", "\n"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).select("doc_id", F.xxhash64("t").alias("h"), F.coalesce(normalise(F.col("t")), F.lit("")).alias("norm"))
     # A gap beside a line feed leaves one space, which _words trims.
-    lines = base.select("doc_id", "h", F.posexplode("lines").alias("line", "l")).select("doc_id", "h", "line", F.array_intersect(_words(F.col("l")), _strings(vocabulary)).alias("b"))
+    by_line = F.transform(F.split("norm", "\n"), lambda l: F.array_intersect(_words(l), _strings(vocabulary)))
+    # The generator keeps by_line from being computed once for each of its uses.
+    read = base.select("doc_id", "h", "norm", F.explode(F.array(by_line)).alias("lines")).withColumn("b", F.array_distinct(F.flatten("lines")))
+    whole_phrase = [F.size(F.array_intersect("b", _strings(sorted(set(p.split()))))) == len(set(p.split())) for _, p in phrases]
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace("norm", r"[ \n]+", " ")), F.lit(" "))
+    n_words = F.aggregate(F.split("norm", "\n"), F.lit(0).cast("long"), lambda n, l: n + F.when(F.trim(l) == "", F.lit(0)).otherwise(_spaces(F.trim(l)) + 1).cast("long"))
+    # Documents are read here and only here: what goes on is their words of the vocabulary, line by
+    # line, and the text of those that hold all words of a phrase.
+    read = materialise(read.select("doc_id", "h", n_words.alias("n_words"), "lines", F.when(reduce(lambda x, y: x | y, whole_phrase), flat).alias("flat")), "license-words")
+    lines = read.select("doc_id", "h", F.posexplode("lines").alias("line", "b"))
     counts = {r["w"]: r["n"] for r in lines.select(F.explode("b").alias("w")).groupBy("w").agg(F.count("*").alias("n")).toLocalIterator()}
     ranks = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     rank_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, ranks[w])])
@@ -117,18 +127,16 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         return met.where((F.size("shared") >= F.col("must")) & (F.element_at("shared", 1) == F.col("token")))
 
     as_ranks = lambda b: F.array_sort(F.transform(b, lambda w: rank_of[w]))
-    by_line = candidates(lines.where(F.size("b") > 0).withColumn("b", as_ranks(F.col("b"))), False)
-    found = by_line.select("doc_id", "h", "label", "line", (F.size("shared") / F.size("tokens")).alias("containment"), F.lit(None).cast("long").alias("places"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace("norm", r"[ \n]+", " ")), F.lit(" "))
-    whole = base.select("doc_id", "h", "norm", F.array_intersect(F.split(F.replace("norm", F.lit("\n"), F.lit(" ")), " "), _strings(vocabulary)).alias("b"))
-    by_doc = candidates(whole.where(F.size("b") > 0).withColumn("b", as_ranks(F.col("b"))), True).withColumn("flat", flat).withColumn("parts", F.split("flat", F.concat(F.lit(" (?="), F.col("notice"), F.lit(" )")), -1)).where(F.size("parts") > 1)
+    in_lines = candidates(lines.where(F.size("b") > 0).withColumn("b", as_ranks(F.col("b"))), False)
+    found = in_lines.select("doc_id", "h", "label", "line", (F.size("shared") / F.size("tokens")).alias("containment"), F.lit(None).cast("long").alias("places"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
+    whole = read.where("flat is not null").select("doc_id", "h", "flat", F.array_distinct(F.flatten("lines")).alias("b"))
+    by_doc = candidates(whole.withColumn("b", as_ranks(F.col("b"))), True).withColumn("parts", F.split("flat", F.concat(F.lit(" (?="), F.col("notice"), F.lit(" )")), -1)).where(F.size("parts") > 1)
     places = by_doc.select("doc_id", "h", "label", F.lit(None).cast("int").alias("line"), F.lit(1.0).alias("containment"), (F.size("parts") - 1).cast("long").alias("places"), _spaces(F.element_at("parts", 1)).cast("long").alias("first"), (_spaces(F.col("flat")) - 1 - _spaces(F.element_at("parts", -1))).cast("long").alias("last"))
     # A document can be listed under repeated rows: the same block counts once.
     found = found.union(places).distinct()
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     of = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), joined(F.when(F.col("places").isNotNull(), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("containment").alias("score"), F.array_sort(F.collect_list(F.struct("label", "line", "containment"))).alias("matches"))
-    n_words = F.aggregate("lines", F.lit(0).cast("long"), lambda n, l: n + F.when(F.trim(l) == "", F.lit(0)).otherwise(_spaces(F.trim(l)) + 1).cast("long"))
-    all_docs = base.select("doc_id", "h", n_words.alias("n_words"))
+    all_docs = read.select("doc_id", "h", "n_words")
     return all_docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matches", F.array().cast("array<struct<label:string,line:int,containment:double>>")).alias("matches"))
 
