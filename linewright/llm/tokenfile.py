@@ -38,7 +38,9 @@ from linewright.session import scratch_path, ship_package
 ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4"), ("crc32", "<u4")])
 FOOTER, MAGIC = struct.Struct("<QIII8s"), b"LWTOKEN1"
 #: Distinct white-space-separated chunks whose ids a Python worker remembers.
-REMEMBERED = 1_300_000
+REMEMBERED = 1_000_000
+#: Bytes of texts that are encoded at once.
+GATHERED = 16 << 20
 _UNPACKER = zstandard.ZstdDecompressor()
 SPACED = LOWER.translate(bytes.maketrans(b"\n\t", b"  "))
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -195,21 +197,37 @@ class Reader:
             at = end
 
 
-def encode_frames(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, whole: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, frame) of every document with an id; encoded where it is read."""
+def gathered(batches: Iterable[pa.RecordBatch], size: int = GATHERED) -> Iterator[pa.Table]:
+    """Batches put together up to ``size`` bytes: the more texts at once, the fewer chunks to look up."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def encode_frames(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, whole: bool = False, cuts: list[int] | None = None) -> DataFrame:
+    """(doc_id, n_tokens, frame, part) of every document with an id; encoded where it is read.
+
+    ``part`` numbers the range between the sorted ``cuts`` that the id is in.
+    """
+    ship_package(docs.sparkSession)
+    bounds = np.array(cuts or [], np.int64)
 
     def run(batches):
         encode, packer = encoder(tokenizer, whole), zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
-                ids, starts = encode(pc.fill_null(part.column(1).cast(pa.string()), ""), end_id)
+        for table in gathered(batches):
+            for batch in table.to_batches():
+                ids, starts = encode(pc.fill_null(batch.column(1).cast(pa.string()), ""), end_id)
                 frames = [frame(ids[a:b], packer) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts)), pa.array(frames, pa.binary())], names=["doc_id", "n_tokens", "frame"])
+                part = np.searchsorted(bounds, batch.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(frames, pa.binary()), pa.array(part, pa.int32())], names=["doc_id", "n_tokens", "frame", "part"])
 
-    ship_package(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, frame binary")
+    return narrow.mapInArrow(run, "doc_id long, n_tokens long, frame binary, part int")
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> list[tuple[str, int, int]]:
@@ -231,7 +249,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     def write(batches: Iterable[pa.RecordBatch]):
         context, out, name = TaskContext.get(), None, ""
         for batch in batches:
-            for key, doc, n_tokens, raw in zip(*(batch.column(c).to_pylist() for c in ("_k", "doc_id", "n_tokens", "frame")), strict=True):
+            for key, doc, n_tokens, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "frame")), strict=True):
                 if out is None or name != f"{path}/{key:06d}.lwt":
                     if out is not None:
                         yield pa.RecordBatch.from_pylist([dict(zip(("file", "n_docs", "n_ids"), (name, *out.close()), strict=True))])
@@ -241,9 +259,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         if out is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(("file", "n_docs", "n_ids"), (name, *out.close()), strict=True))])
 
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    frames = encode_frames(docs, tokenizer, **options).withColumn("_k", F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))))
-    done = frames.repartition(n, "_k").sortWithinPartitions("_k", "doc_id", "n_tokens", "frame").mapInArrow(write, "file string, n_docs long, n_ids long").collect()
+    frames = encode_frames(docs, tokenizer, cuts=cuts, **options)
+    done = frames.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", "n_tokens", "frame").mapInArrow(write, "file string, n_docs long, n_ids long").collect()
     return sorted((r["file"], r["n_docs"], r["n_ids"]) for r in done)
 
 
