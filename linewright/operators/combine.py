@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linewright.session import materialise
+
 
 def numbered(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
     """``df`` with dense numbers from 0 in the given order, without a window over the whole table.
 
     Rows are dealt into ranges of the order; each range's rows are numbered on their own and moved
-    up by the sizes of the ranges before it, of which there are as many as shuffle partitions.
+    up by the sizes of the ranges before it, of which there are as many as shuffle partitions. The
+    ranges come from a sample, so the dealt rows are written once: both uses see the same ranges.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
     local = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

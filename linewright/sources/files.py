@@ -1,8 +1,8 @@
 """Delimited files, read by Spark's text source, with the order of their records.
 
-Rows carry ``_file``, ``_block`` (start of the split in the file) and ``_pos``, dense within the
-file. ``_pos`` needs the number of records of each split first; that is one narrow pass, and its
-result has a row for each split.
+Rows carry ``_file`` and ``_pos``, dense within the file. A task reads the records of a split one
+after another, so their ids ascend by one: a record's place in its split is its id less the split's
+first one. Only the splits' sizes have to be known beforehand, a row for each; records are not shuffled.
 """
 
 from __future__ import annotations
@@ -17,20 +17,25 @@ from linewright.operators import tabular
 from linewright.operators.jsonl import parse_json_rows
 
 
-def physical(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
-    """(_file, _block, _id, value): ``_id`` ascends in the order of a split's records."""
-    raw = spark.read.option("lineSep", delimiter).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value"))
+def physical(spark: SparkSession, path: str, delimiter: str, skip_empty: bool = False, crlf: bool = False) -> DataFrame:
+    """(_file, _block, _id, value): ``_id`` ascends by one over the records of a split.
+
+    ``crlf`` takes the carriage return off every record, ``skip_empty`` leaves out what is then empty.
+    """
+    raw = spark.read.option("lineSep", delimiter).text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("raw"))
+    rows = raw.withColumn("value", exprs.trim_return(F.col("raw")) if crlf else F.col("raw"))
+    if skip_empty:
+        # A lone carriage return may be the end of its file, where it stays: see read_delimited.
+        rows = rows.where(F.octet_length("raw") > 0) if crlf else rows.where(F.octet_length("value") > 0)
+    return rows.select("_file", "_block", F.monotonically_increasing_id().alias("_id"), "raw", "value")
 
 
 def numbered(rows: DataFrame, name: str = "_pos") -> DataFrame:
-    """Dense numbers from 0 within each file: the place in the split plus the sizes of the splits before it."""
+    """Dense numbers from 0 within each file, for rows whose ids ascend by one within each split."""
     sizes = rows.groupBy("_file", "_block").agg(F.count("*").alias("_size"), F.min("_id").alias("_first"))
     before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(W.partitionBy("_file", "_block").orderBy("_id")) - 1
-    local = rows.withColumn("_n", place)
-    return local.join(F.broadcast(starts), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b"))).withColumn(name, (F.col("_start") + F.col("_n")).cast("long")).drop("_f", "_b", "_start", "_n")
+    starts = sizes.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b"))).withColumn(name, (F.col("_start") + F.col("_id") - F.col("_first")).cast("long")).drop("_f", "_b", "_start", "_first")
 
 
 def _tails(spark: SparkSession, path: str, delimiter: str) -> list[str]:
@@ -65,22 +70,19 @@ def read_delimited(spark: SparkSession, path: str, delimiter: Delimiter = "\n",
     ``drop`` and ``take`` count emitted records of each file, as does ``_pos``.
     """
     d = parse_delimiter(delimiter)
-    rows = physical(spark, path, d)
-    if crlf:
-        # Only a record that a delimiter ended loses its carriage return; the last of a file may not be.
-        last = rows.groupBy("_file").agg(F.max(F.struct("_block", "_id")).alias("_last")).withColumnRenamed("_file", "_f")
-        open_ends = F.col("_f").isNull() | ~F.col("_ended")
-        ends = spark.createDataFrame([(f,) for f in _tails(spark, path, d)], "_t string")
-        names = last.join(F.broadcast(ends), F.regexp_replace("_f", "^file:/+", "/") == F.regexp_replace("_t", "^file:/+", "/"), "left").select("_f", "_last", F.col("_t").isNotNull().alias("_ended"))
-        rows = rows.join(F.broadcast(names), F.col("_file") == F.col("_f"), "left")
-        is_last = (F.col("_last._block") == F.col("_block")) & (F.col("_last._id") == F.col("_id"))
-        rows = rows.withColumn("value", F.when(is_last & open_ends, F.col("value")).otherwise(exprs.trim_return(F.col("value")))).select("_file", "_block", "_id", "value")
-    if skip_empty:
-        rows = rows.where(F.octet_length("value") > 0)
+    tails = _tails(spark, path, d) if crlf or not skip_empty else []
+    if crlf and skip_empty:
+        # Blank lines end in a carriage return; only at the very end of a file is it a record of its own.
+        rows = physical(spark, path, d, crlf=True)
+        rows = _last_kept(spark, rows, tails).where(F.octet_length("value") > 0)
+        # Ids have gaps now: they are made anew, over what is left.
+        rows = rows.select("_file", "_block", F.monotonically_increasing_id().alias("_id"), "value")
+    elif crlf:
+        rows = _last_kept(spark, physical(spark, path, d, crlf=True), tails).select("_file", "_block", "_id", "value")
     else:
-        more = [(f, 2**62, 2**62, "") for f in _tails(spark, path, d)]
-        if more:
-            rows = rows.unionByName(spark.createDataFrame(more, "_file string, _block long, _id long, value string"))
+        rows = physical(spark, path, d, skip_empty).select("_file", "_block", "_id", "value")
+    if not skip_empty and tails:
+        rows = rows.unionByName(spark.createDataFrame([(f, 2**62, 2**62, "") for f in tails], "_file string, _block long, _id long, value string"))
     out = numbered(rows.withColumn("_file", F.regexp_replace("_file", "^file:/+", "file:/")))
     if drop > 0:
         out = out.where(F.col("_pos") >= drop)
@@ -89,6 +91,16 @@ def read_delimited(spark: SparkSession, path: str, delimiter: Delimiter = "\n",
     return out.select("_file", (F.col("_pos") - max(drop, 0)).alias("_pos"), "value")
 
 
+def _last_kept(spark: SparkSession, rows: DataFrame, tails: list[str]) -> DataFrame:
+    """``rows`` where the last record of a file that does not end with the delimiter has its carriage return back."""
+    last = rows.groupBy("_file").agg(F.max(F.struct("_block", "_id")).alias("_last")).withColumnRenamed("_file", "_f")
+    ends = spark.createDataFrame([(f,) for f in tails], "_t string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    names = last.join(F.broadcast(ends), plain("_f") == plain("_t"), "left").where("_t is null").select("_f", "_last")
+    is_last = (F.col("_last._block") == F.col("_block")) & (F.col("_last._id") == F.col("_id"))
+    return rows.join(F.broadcast(names), F.col("_file") == F.col("_f"), "left").withColumn("value", F.when(is_last, F.col("raw")).otherwise(F.col("value"))).select("_file", "_block", "_id", "value")
+
+
 def read_rows(spark: SparkSession, path: str, *, crlf: bool = True, skip_empty: bool = True) -> DataFrame:
     """(_file, _pos, value): lines joined to rows whose quotes are closed, across splits.
 
@@ -97,7 +109,7 @@ def read_rows(spark: SparkSession, path: str, *, crlf: bool = True, skip_empty:
     split. No window spans a file: a split's window numbers its row starts, and rows that run on
     into the next split are put together by their number.
     """
-    lines = physical(spark, path, "\n").withColumn("_q", F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit(""))))
+    lines = physical(spark, path, "\n").drop("raw").withColumn("_q", F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit(""))))
     here = W.partitionBy("_file", "_block").orderBy("_id")
     local = lines.withColumn("_before", F.coalesce(F.sum("_q").over(here.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # Starts that the split has when it begins outside (even) and inside (odd) of quotes.
