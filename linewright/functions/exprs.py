@@ -12,6 +12,11 @@ QUOTE = '"'
 _STAND_INS = ("\x01", "\x02\x01", "\x01")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: inside a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def split_plain(value: Column, delimiter: str) -> Column:
     """All parts, empty ones and the trailing one included."""
     return F.split(value, pattern(delimiter), -1)
@@ -55,7 +60,7 @@ def trim_return(value: Column) -> Column:
 
 def trim_returns(parts: Column) -> Column:
     """The same for every part that a delimiter ended: all but the last."""
-    return F.transform(parts, lambda v, i: F.when(i < F.size(parts) - 1, trim_return(v)).otherwise(v))
+    return let(parts, lambda ps: F.transform(ps, lambda v, i: F.when(i < F.size(ps) - 1, trim_return(v)).otherwise(v)))
 
 
 def strip_bom(value: Column) -> Column:
@@ -85,17 +90,22 @@ def _ends(value: Column, delimiter: str, length) -> Column:
     """
     gap = len(delimiter)
     parts = split_plain(value, delimiter)
-    few = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda n, p: n + length(p)) + i * gap)
+
+    def few(ps: Column) -> Column:
+        return F.transform(ps, lambda _, i: F.aggregate(F.slice(ps, F.lit(1), i + 1), F.lit(0), lambda n, p: n + length(p)) + i * gap)
 
     def numbered(mark: str) -> Column:
         chars = F.split(F.replace(value, F.lit(delimiter), F.lit(mark)) if mark != delimiter else value, "")
         places = F.filter(F.transform(chars, lambda c, i: F.when(c == mark, i)), lambda i: i.isNotNull())
         return F.concat(F.transform(places, lambda j, k: j + k * (gap - 1)), F.array(length(value)))
 
-    many = F.raise_error(F.lit("a value holds all the stand-ins for a delimiter")).cast("array<int>")
-    for mark in [delimiter] if gap == 1 else reversed(_PRIVATE):
-        many = F.when(F.lit(True) if gap == 1 else ~F.contains(value, F.lit(mark)), numbered(mark)).otherwise(many)
-    return F.when(F.size(parts) <= _FEW, few).otherwise(many)
+    if gap == 1:
+        many = numbered(delimiter)
+    else:
+        many = F.raise_error(F.lit("a value holds all the stand-ins for a delimiter")).cast("array<int>")
+        for mark in reversed(_PRIVATE):
+            many = F.when(~F.contains(value, F.lit(mark)), numbered(mark)).otherwise(many)
+    return let(parts, lambda ps: F.when(F.size(ps) <= _FEW, few(ps)).otherwise(many))
 
 
 #: Single characters that stand in for a longer delimiter.
@@ -103,7 +113,10 @@ _PRIVATE = ("\x01", "\x02", "\x03")
 
 
 def _ranges(ends: Column, gap: int) -> Column:
-    return F.transform(ends, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) + gap).cast("long").alias("start"), e.cast("long").alias("end")))
+    def ranges(es: Column) -> Column:
+        return F.transform(es, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(es, i - 1) + gap).cast("long").alias("start"), e.cast("long").alias("end")))
+
+    return let(ends, ranges)
 
 
 def byte_ranges(value: Column, delimiter: str) -> Column:
@@ -121,8 +134,8 @@ def search_matches(value: Column, delimiter: str, quote: str = QUOTE) -> Column:
     """
 
     def offsets(needle: str, pattern_id: int) -> Column:
-        ends = _ends(value, needle, F.length)
-        return F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: F.struct(e.cast("long").alias("offset"), F.lit(pattern_id).alias("pattern_id")))
+        matches = let(_ends(value, needle, F.length), lambda es: F.slice(es, F.lit(1), F.size(es) - 1))
+        return F.transform(matches, lambda e: F.struct(e.cast("long").alias("offset"), F.lit(pattern_id).alias("pattern_id")))
 
     return F.array_sort(F.concat(offsets(delimiter, 0), offsets(quote, 1)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions.delimiters import Delimiter, parse_delimiter
+from linewright.functions.exprs import let
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -67,7 +68,7 @@ def text_segments(value: Column, parts: int, delimiter: Delimiter = "\n") -> Col
         return F.when((at > 0) & (at < n) & (found > 0) & (end < n), end)
 
     borders = F.array_sort(F.array_distinct(F.array_compact(F.array(F.lit(0), n, *[cut(k) for k in range(1, parts)]))))
-    pairs = F.transform(F.slice(borders, F.lit(1), F.size(borders) - 1), lambda s, i: F.struct(s.cast("long").alias("start"), F.get(borders, i + 1).cast("long").alias("end")))
+    pairs = let(borders, lambda bs: F.transform(F.slice(bs, F.lit(1), F.size(bs) - 1), lambda s, i: F.struct(s.cast("long").alias("start"), F.get(bs, i + 1).cast("long").alias("end"))))
     return F.when(n > 0, pairs).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 
