@@ -20,6 +20,19 @@ WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in LOWER)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_TURN: list = ["", lambda: None]
+
+
+def take_turn(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Says which operator this Python worker serves now; what another one remembers there is cleared.
+
+    Workers serve one task after the other, of any operator; their memories must not add up.
+    """
+    if _TURN[0] != owner:
+        _TURN[1]()
+        _TURN[:] = [owner, clear]
+
+
 def ascii_lower(text):
     """The column with A-Z lower-cased and everything else as it is."""
     return F.translate(text, _UPPER, _LOWER)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import WORDS, add_columns, field, raw_texts
+from linewright.llm.common import WORDS, add_columns, field, raw_texts, take_turn
 
 #: Normalised benchmark bytes that one automaton (and one broadcast) may hold; more go to further automata.
 PATTERN_BYTES = 32 << 20
@@ -92,6 +92,7 @@ def _pass(df: DataFrame, patterns: dict, text: str, first: bool, keep: list[str]
     shared, key = df.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
 
     def fn(batches):
+        take_turn("decontaminate", _BUILT.clear)
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = (automaton(shared.value),)

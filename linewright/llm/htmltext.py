@@ -19,7 +19,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linewright.llm.common import add_columns, field
+from linewright.llm.common import add_columns, field, take_turn
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -329,6 +329,7 @@ def extract_text(pages: DataFrame, *, html: str = "html", out: str = "text", col
     """``pages`` (or its ``columns``) with the visible text of ``html``."""
 
     def fn(batches):
+        take_turn("html")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

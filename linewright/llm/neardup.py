@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import LOWER, raw_texts
+from linewright.llm.common import LOWER, raw_texts, take_turn
 from linewright.session import materialise, ship_package
 
 BANDS, ROWS, BITS = 48, 5, 1024
@@ -140,6 +140,7 @@ def sketches(texts: DataFrame, width: int) -> DataFrame:
     """(id, n, s1, s2, keys, odd) of every (id, t): size of the set, its 128-bit hash, band keys, odd sketch."""
 
     def run(batches):
+        take_turn("neardup")
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -160,6 +161,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
     """(id, members) of every (id, t)."""
 
     def run(batches):
+        take_turn("neardup")
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)

@@ -26,7 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linewright.llm.common import add_columns, field
+from linewright.llm.common import add_columns, field, take_turn
 
 KINDS = ("email", "ip", "card", "phone")
 #: Most tokens of a segment; characters around a trigger that are looked at.
@@ -358,6 +358,7 @@ def find_pii(docs: DataFrame, *, text: str = "text", columns: list[str] | None =
     weights = train()
 
     def fn(batches):
+        take_turn("pii")
         w = dict(weights)
         for batch in batches:
             base, spans, texts = [], [], []

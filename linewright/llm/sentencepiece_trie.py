@@ -31,11 +31,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from linewright.llm.common import add_columns, field
+from linewright.llm.common import add_columns, field, take_turn
 
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a Python worker remembers between batches.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _LOADED: dict[tuple, "Vocabulary"] = {}
 
 
@@ -197,6 +197,7 @@ class Vocabulary:
 
 
 def vocabulary(path: str, kind: str) -> Vocabulary:
+    take_turn("sentencepiece", _LOADED.clear)
     if (path, kind) not in _LOADED:
         _LOADED[path, kind] = Vocabulary(path, kind)
     return _LOADED[path, kind]
@@ -222,8 +223,8 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", kind: str = "bpe"
     def fn(batches):
         vocab = vocabulary(model, kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 texts = [x or "" for x in part.column(text).to_pylist()]
                 ids = vocab.encode(texts)
                 yield part, [column(name, ids, texts, vocab) for name in outputs]

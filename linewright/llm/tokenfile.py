@@ -32,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linewright.llm.common import LOWER
+from linewright.llm.common import LOWER, take_turn
 from linewright.session import scratch_path, ship_package
 
 ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4"), ("crc32", "<u4")])
 FOOTER, MAGIC = struct.Struct("<QIII8s"), b"LWTOKEN1"
 #: Distinct white-space-separated chunks whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Bytes of texts that are encoded at once.
-GATHERED = 16 << 20
+GATHERED = 12 << 20
 _UNPACKER = zstandard.ZstdDecompressor()
 SPACED = LOWER.translate(bytes.maketrans(b"\n\t", b"  "))
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -113,6 +113,7 @@ class ChunkEncoder:
 
 
 def encoder(path: str, whole: bool) -> ChunkEncoder:
+    take_turn("tokenfile", _ENCODERS.clear)
     key = f"{path}|{whole}"
     if key not in _ENCODERS:
         _ENCODERS[key] = ChunkEncoder(path, whole)

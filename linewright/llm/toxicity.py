@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import WORDS, add_columns, field, raw_texts
+from linewright.llm.common import WORDS, add_columns, field, raw_texts, take_turn
 
 #: Bits of a bucket number; n-gram lengths in bytes; buckets that stay; rows the classifier is fitted on.
 BITS, SIZES, FEATURES, MAX_ROWS = 20, (4, 5, 6), 4096, 8_000
 #: Bytes hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _packed(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +155,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast((chosen.astype(np.int32), model.weights[chosen], model.bias))
 
     def fn(batches):
+        take_turn("toxicity")
         places, weights, bias = shared.value
         full = np.zeros(1 << BITS, np.float32)
         full[places] = weights
