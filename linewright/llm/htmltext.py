@@ -38,7 +38,8 @@ CLOSES = (
     | dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup")), frozenset(("table",))))
     | {"option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))), "body": (frozenset(("head",)), frozenset())}
 )
-_TAG = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|!--(?:.*?)--!?>|[!?/][^>]*>)", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -63,16 +64,28 @@ def parse(html: str) -> Node:
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
     while at < n:
-        m = _TAG.search(html, at)
-        if not m:
+        start = html.find("<", at)
+        if start < 0:
             stack[-1].children.append(unescape(html[at:]))
             break
-        if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
-        at = m.end()
-        name = m[2]
-        if not name:
+        kind = html[start + 1 : start + 2]
+        if not (kind.isalpha() and kind.isascii() or kind in ("!", "?", "/")):  # no tag: the sign itself
+            stack[-1].children.append(unescape(html[at : start + 1]))
+            at = start + 1
+            continue
+        if start > at:
+            stack[-1].children.append(unescape(html[at:start]))
+        m = _TAG.match(html, start)
+        if not m:
+            # A comment or declaration; as in browsers, what is not closed hides the rest.
+            if html.startswith("<!--", start):
+                end = _COMMENT_END.search(html, start + 2 if html.startswith(("<!-->", "<!--->"), start) else start + 4)
+                at = end.end() if end else n
+            else:
+                end = html.find(">", start) if kind in ("!", "?", "/") else -1
+                at = end + 1 or n
             continue
+        at, name = m.end(), m[2]
         name = name.lower()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):

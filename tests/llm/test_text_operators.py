@@ -267,6 +267,9 @@ def test_presence_counts_once():
         ("<details><summary>s</summary>in</details><details open>out</details>", "s\nout"),
         ("<img alt='pic'> <input value=x><textarea>t</textarea>", "pic t"),
         ("a < b and c > d", "a < b and c > d"),
+        ("a<3 b<!-->c<!---->d<!DOCTYPE x>e<?php f ?>g</ h>i", "a<3 bcdegi"),
+        ("a<!-- b <p>c", "a"),
+        ("a<p title='b>c", "a"),
         ("<b>un<i>closed</b>x</i>y", "unclosedxy"),
         ("<a title='>' href=\"<\">link</a>", "link"),
     ],
@@ -275,6 +278,15 @@ def test_rendering(html, want):
     assert htmltext.render(html) == want
 
 
+def test_odd_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for part in ('<a "', "<", "<div>", "<p>", "<!--", "&", "<a b=c", "<table><tr>", "</p", "<![x"):
+        htmltext.render(part * 20_000)
+    assert time.process_time() - began < 20
+
+
 def test_everything_visible_is_emitted():
     assert htmltext.render("<div>" * 3000 + "deep" + "</div>" * 3000 + "end").split() == ["deep", "end"]
     rng = random.Random(6)
