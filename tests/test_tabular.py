@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linewright.operators import jsonl, tabular
@@ -85,3 +87,11 @@ def test_json_rows(spark):
         jsonl.parse_json_rows(bad).select(F.to_json("json")).collect()
     out = jsonl.to_json_rows(spark.createDataFrame([(1, None)], "a int, b string")).first()["value"]
     assert out == '{"a":1,"b":null}'
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.text('a",\n |é', max_size=8), min_size=3, max_size=3), min_size=1, max_size=20))
+def test_quoted_cells_round_trip(spark, rows):
+    quoted = "\n".join(",".join('"' + c.replace('"', '""') + '"' for c in r) for r in rows)
+    got = tabular.parse_documents(docs(spark, "a,b,c\n" + quoted + "\n"), "doc", quotes=True).orderBy("pos").collect()
+    assert [r["row"] for r in got] == rows
