@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     # Candidates: members of buckets of two or more, each with the smallest of its bucket.
     keyed = reps.select(F.explode("keys").alias("key"), "id")
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_max"), F.count("*").alias("m")).where("hub != _max").drop("_max")
+    # Written tables of a row for each bucket: the joins with them can split the rows of a hot key.
+    hubs = materialise(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_max"), F.count("*").alias("m")).where("hub != _max").drop("_max"), "hubs")
     members = materialise(keyed.join(hubs, "key").select("key", "id", "hub", "m").distinct(), "members")
     stars = members.where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
     slim = reps.select("id", "n", "odd")
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # What is left: buckets of three or more that still hold several components.
     whole = members.where("m > 2").join(first, F.col("id") == F.col("node"), "left").select("key", "id", "hub", F.coalesce("component", "id").alias("c"))
     sizes = whole.groupBy("key", "c").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("main"))
+    largest = materialise(sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("main")), "largest")
     pool = materialise(whole.join(largest, "key").where("id != hub").select("key", "id", "c", "main"), "pool")
     # Shingles that no other document of the pool holds are in no intersection: of n only ``most`` can be shared.
     of_pool = sets.join(pool.select("id").distinct(), "id", "left_semi")
