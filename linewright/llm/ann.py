@@ -15,6 +15,7 @@ smaller id; fewer than k candidates give all of them; no query gives no row.
 from __future__ import annotations
 
 import heapq
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -59,16 +60,11 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
                 diff = c[some] - q[at + i]
                 # Summed in the order of the components, as a plain loop would.
                 exact = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
-                best = heapq.nsmallest(k, chain_pairs(best, exact, cid[some]))
+                best = heapq.nsmallest(k, chain(best, zip(exact.tolist(), cid[some].tolist(), strict=True)))
             out += [(int(qid[at + i]), int(v), float(d)) for d, v in best]
     return out
 
 
-def chain_pairs(best, distances, ids):
-    yield from best
-    yield from zip(distances.tolist(), ids.tolist(), strict=True)
-
-
 def usable(vector: Column) -> Column:
     """Not null, not zero, and every component present and finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -86,9 +82,10 @@ def nearest(rows: DataFrame, query: Column, *, vec_id: str = "vec_id", vector: s
         return spark.createDataFrame([], schema)
     q_blocks, c_blocks = -(-n_q // QUERY_BLOCK), max(-(-n // ROW_BLOCK), min(n // 1024 + 1, spark.sparkContext.defaultParallelism))
     deal = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
-    grid = lambda own, other, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)  # noqa: E731, ARG005
-    queries = v.where("is_query").select("dim", deal(q_blocks, 1).alias("qb"), "id", "v").select("*", grid("qb", "cb", c_blocks))
-    rest = v.select("dim", deal(c_blocks, 2).alias("cb"), "id", "v").select("*", grid("cb", "qb", q_blocks))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    # A tile for each pair of blocks: every block is sent once for each block of the other side.
+    queries = v.where("is_query").select("dim", deal(q_blocks, 1).alias("qb"), "id", "v").select("*", every(c_blocks).alias("cb"))
+    rest = v.select("dim", deal(c_blocks, 2).alias("cb"), "id", "v").select("*", every(q_blocks).alias("qb"))
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -130,7 +130,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k)
         patterns = windows([(r["id"], r["text"]) for r in part.toLocalIterator()], width)
-        out = _pass(out, patterns, text, k == 0, keep if k == 0 else [*keep])
+        out = _pass(out, patterns, text, k == 0, keep)
     out = out.drop("_hit").withColumn("contaminated", F.size("item_ids") >= min_items)
     return out if columns is None or text in columns else out.drop(text)
 
