@@ -58,18 +58,19 @@ def compute_segments(path: str, concurrency: int, delimiter: Delimiter = "\n", p
 def text_segments(value: Column, parts: int, delimiter: Delimiter = "\n") -> Column:
     """The same ranges of an ASCII-delimited text column, as (start, end) in characters; the probe is the whole rest."""
     d = parse_delimiter(delimiter)
-    n = F.length(value)
 
-    def cut(k: int) -> Column:
+    def cut(n: Column, k: int) -> Column:
         at = F.floor(F.lit(k) * n / F.lit(float(parts)) + 0.5).cast("int")
         # With the position as a column: locate() from the first character at or behind the ideal cut.
-        found = F.call_function("locate", F.lit(d), value, at + 1)
-        end = found - 1 + len(d)
-        return F.when((at > 0) & (at < n) & (found > 0) & (end < n), end)
+        found = F.struct(at.alias("at"), F.call_function("locate", F.lit(d), value, at + 1).alias("found"))
+        return let(found, lambda f: F.when((f["at"] > 0) & (f["at"] < n) & (f["found"] > 0) & (f["found"] - 1 + len(d) < n), f["found"] - 1 + len(d)))
 
-    borders = F.array_sort(F.array_distinct(F.array_compact(F.array(F.lit(0), n, *[cut(k) for k in range(1, parts)]))))
-    pairs = let(borders, lambda bs: F.transform(F.slice(bs, F.lit(1), F.size(bs) - 1), lambda s, i: F.struct(s.cast("long").alias("start"), F.get(bs, i + 1).cast("long").alias("end"))))
-    return F.when(n > 0, pairs).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    def ranges(n: Column) -> Column:
+        borders = F.array_sort(F.array_distinct(F.array_compact(F.array(F.lit(0), n, *[cut(n, k) for k in range(1, parts)]))))
+        pairs = let(borders, lambda bs: F.transform(F.slice(bs, F.lit(1), F.size(bs) - 1), lambda s, i: F.struct(s.cast("long").alias("start"), F.get(bs, i + 1).cast("long").alias("end"))))
+        return F.when(n > 0, pairs).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
+    return let(F.length(value), ranges)
 
 
 def split_segments(df: DataFrame, column: str, parts: int, delimiter: Delimiter = "\n") -> DataFrame:
