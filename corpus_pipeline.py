@@ -33,8 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _recounted(decontaminate.excise(found.where("not contaminated")), docs.columns)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), excise=True)
+    return _recounted(found.where("not contaminated"), docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

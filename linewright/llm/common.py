@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +34,15 @@ def take_turn(owner: str, clear: Callable[[], None] = lambda: None) -> None:
     if _TURN[0] != owner:
         _TURN[1]()
         _TURN[:] = [owner, clear]
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: the allocators of idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def ascii_lower(text):
@@ -60,6 +72,7 @@ def add_columns(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, arrays in fn(batches):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + arrays, names=kept + names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

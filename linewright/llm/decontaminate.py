@@ -87,7 +87,16 @@ def runs(hit: np.ndarray, raw: bytes) -> list[tuple[int, int]]:
     return list(zip(starts[np.flatnonzero(edge == 1)].tolist(), ends[np.flatnonzero(edge == -1) - 1].tolist(), strict=True))
 
 
-def _pass(df: DataFrame, patterns: dict, text: str, first: bool, keep: list[str]) -> DataFrame:
+def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """``text`` without the code points of ``spans``."""
+    at, parts = 0, []
+    for a, b in spans:
+        parts.append(text[at:a])
+        at = b
+    return "".join([*parts, text[at:]]) if spans else text
+
+
+def _pass(df: DataFrame, patterns: dict, text: str, first: bool, keep: list[str], excise: bool = False) -> DataFrame:
     """One scan with one automaton; joins what it finds to what earlier passes found."""
     shared, key = df.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
 
@@ -98,7 +107,7 @@ def _pass(df: DataFrame, patterns: dict, text: str, first: bool, keep: list[str]
             _BUILT[key] = (automaton(shared.value),)
         machine = _BUILT[key][0]
         for batch in batches:
-            n_words, n_hit, ids, spans, masks = [], [], [], [], []
+            n_words, n_hit, ids, spans, masks, left = [], [], [], [], [], []
             before = None if first else (batch.column("item_ids").to_pylist(), batch.column("_hit").to_pylist())
             for k, raw in enumerate(raw_texts(batch, text)):
                 n, hit, items = scan(raw or b"", machine)
@@ -109,16 +118,21 @@ def _pass(df: DataFrame, patterns: dict, text: str, first: bool, keep: list[str]
                 n_words.append(n)
                 n_hit.append(int(hit.sum()))
                 ids.append(sorted(items))
-                spans.append([{"start": a, "end": b} for a, b in runs(hit, raw or b"")])
+                found = runs(hit, raw or b"")
+                spans.append([{"start": a, "end": b} for a, b in found])
+                if excise:
+                    left.append(cut(None if raw is None else raw.decode(), found))
                 masks.append(np.packbits(hit).tobytes() if hit.any() else None)
-            yield batch, [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(masks, pa.binary())]
+            yield batch, [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(masks, pa.binary())] + ([pa.array(left, pa.string())] if excise else [])
 
-    return add_columns(df, fn, [field("n_words", "long"), field("n_hit", "long"), field("item_ids", "array<string>"), field("hit_spans", "array<struct<start:int,end:int>>"), field("_hit", "binary")], keep)
+    return add_columns(df, fn, [field("n_words", "long"), field("n_hit", "long"), field("item_ids", "array<string>"), field("hit_spans", "array<struct<start:int,end:int>>"), field("_hit", "binary")] + ([field(text, "string")] if excise else []), keep)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 8, min_items: int = 2, pattern_bytes: int = PATTERN_BYTES, columns: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 8, min_items: int = 2, pattern_bytes: int = PATTERN_BYTES, columns: list[str] | None = None, excise: bool = False) -> DataFrame:
     """``docs`` (or its ``columns``) with n_words, n_hit, item_ids, hit_spans and contaminated.
 
+    With ``excise`` the text comes back without the hit spans.
+
     No shuffle: documents are scanned where they are read. The benchmark's size is taken first;
     beyond ``pattern_bytes`` it is dealt over several automata by item id, each within the bound.
     """
@@ -130,24 +144,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k)
         patterns = windows([(r["id"], r["text"]) for r in part.toLocalIterator()], width)
-        out = _pass(out, patterns, text, k == 0, keep)
+        out = _pass(out, patterns, text, k == 0, keep, excise and k == shards - 1)
     out = out.drop("_hit").withColumn("contaminated", F.size("item_ids") >= min_items)
     return out if columns is None or text in columns else out.drop(text)
-
-
-def excise(docs: DataFrame, *, text: str = "text", spans: str = "hit_spans") -> DataFrame:
-    """``docs`` with the code points of ``spans`` cut out of the text."""
-
-    def fn(batches):
-        for batch in batches:
-            out = []
-            for raw, cuts in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True):
-                at, parts = 0, []
-                for cut in cuts or ():
-                    parts.append(raw[at : cut["start"]])
-                    at = cut["end"]
-                out.append(raw if not cuts else "".join([*parts, raw[at:]]))
-            yield batch, [pa.array(out, pa.string())]
-
-    order = docs.columns
-    return add_columns(docs, fn, [field(text, "string")], None).select(*order) if text in order else docs

@@ -35,7 +35,7 @@ from linewright.llm.common import add_columns, field, take_turn
 
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a Python worker remembers between batches.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _LOADED: dict[tuple, "Vocabulary"] = {}
 
 
