@@ -30,7 +30,7 @@ def local_session(cpus: int = 8, app: str = "linewright", **conf: str) -> SparkS
 
 
 #: Bytes of an Arrow batch that goes to a Python worker: rows of long texts must not pile up there.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
