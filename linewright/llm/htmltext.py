@@ -38,9 +38,12 @@ CLOSES = (
     | dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup")), frozenset(("table",))))
     | {"option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))), "body": (frozenset(("head",)), frozenset())}
 )
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+# A quote opens a value only behind an equals sign; elsewhere it is a character of a name, as in browsers.
+_WS = r" \t\n\r\f"
+_NAME, _EQUALS, _BARE = rf"[^{_WS}/>][^{_WS}/>=]*+", rf"[{_WS}]*+=[{_WS}]*+", rf"[^{_WS}>\"'][^{_WS}>]*+"
+_TAG = re.compile(rf"<(/?)([A-Za-z][^{_WS}/>]*+)((?:[{_WS}/]++|{_NAME}(?:{_EQUALS}(?:\"[^\"]*+\"|'[^']*+'|{_BARE}|(?=>))|(?![{_WS}]*+=)))*+)>")
 _COMMENT_END = re.compile(r"--!?>")
-_ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_EQUALS}(?:\"([^\"]*+)\"|'([^']*+)'|({_BARE})|))?+")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 

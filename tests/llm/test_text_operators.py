@@ -279,6 +279,36 @@ def test_rendering(html, want):
     assert htmltext.render(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<a title=it's>one</a><p>two</p>", "one\n\ntwo"),
+        ('<a class="x"">one</a><p>two</p>', "one\n\ntwo"),
+        ("a<b don't</p><p>two</p>it's", "a\n\ntwo\n\nit's"),
+        ("<a title=it's>one</a><p title='x'>two", "one\n\ntwo"),
+        ("<a b=c\">one</a \"><i '>two</i ='>three", "onetwothree"),
+        ("<a b=>one</a><a b = '>'>two</a><a ='>three", "onetwothree"),
+        ("<a/b='>'/>one<a b/='>two", "onetwo"),
+        ("<a x\"hidden>one</a><a it's hidden>no</a><a b=\"1\"hidden>no</a><a hidden=>no</a>", "one"),
+        ("<img it's alt=pic><img alt = \"it's\"><img alt=it's>", "picit'sit's"),
+        ("one<p a='>two", "one"),
+        ("one<p a=\"'>two", "one"),
+    ],
+)
+def test_stray_quotes_end_no_page(html, want):
+    assert htmltext.render(html) == want
+
+
+def test_stray_quotes_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for part in ("<a it's>", '<a b="c"">', "<a '", "<a b='c", "<a b = ", "<a =", "<a b/=", "a " * 5):
+        htmltext.render(part * 20_000)
+        htmltext.render("<a " + part * 20_000)
+    assert time.process_time() - began < 20
+
+
 def test_odd_pages_take_linear_time():
     import time
 
