@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from linewright.llm.common import add_columns, field, take_turn
 
 KINDS = ("email", "ip", "card", "phone")
-#: Most tokens of a segment; characters around a trigger that are looked at.
-LONGEST, AROUND = 24, 64
+#: Most tokens of a segment; characters around a trigger that are looked at; borders that one lattice covers.
+LONGEST, AROUND, STEP = 24, 64, 2048
 
 # The base patterns. Look-behinds and possessive repeats only save retries that cannot match.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -81,6 +81,7 @@ _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 _AT, _DOT = re.compile(r"@|\x20?[(\[]at[)\]]\x20?", re.I), re.compile(r"\.|\x20?[(\[]dot[)\]]\x20?", re.I)
 _MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*)(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]+)+", re.I)
 _NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*")
+_TAIL = re.compile(r"\x20?[A-Za-z0-9-]*+(?:(?:\.|\x20?[(\[][Dd][Oo][Tt][)\]]\x20?)[A-Za-z0-9-]++)*+")
 _GROUPS = re.compile(r"[0-9]+")
 #: Cue words, by kind; the last row speaks against all.
 CUES = {
@@ -121,19 +122,25 @@ def features(kind: str, text: str, a: int, b: int) -> list[str]:
     return [f"{kind} {x}" for x in out]
 
 
-def windows(text: str):
-    """Stretches around the triggers, cut at white space where there is some."""
-    start = end = -1
+def windows(text: str) -> list[tuple[int, int]]:
+    """Stretches around the triggers, joined where they meet; none ends inside a candidate.
+
+    Every three digits of a number are a trigger; around an at sign the whole address is taken in, however long.
+    """
+    out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if start >= 0 and a <= end and b - start <= 4096:
-            end = b
-        else:
-            if start >= 0:
-                yield start, end
-            start, end = (a if start < 0 else max(a, end)), b
-    if start >= 0:
-        yield start, end
+        a, b = m.start() - AROUND, m.end() + AROUND
+        if not text[m.start()].isdigit():
+            left = m.start() - (text[m.start() - 1 : m.start()] == " ")
+            while left > 0 and text[left - 1] in _LOCAL:
+                left -= 1
+            a, b = min(a, left), max(b, _TAIL.match(text, m.end()).end())
+        a, b = max(0, a), min(len(text), b)
+        while out and a <= out[-1][1]:
+            before = out.pop()
+            a, b = min(a, before[0]), max(b, before[1])
+        out.append((a, b))
+    return out
 
 
 def lattice(text: str, start: int, end: int) -> tuple[list[int], dict[int, list[tuple[int, str, list[str]]]]]:
@@ -193,30 +200,38 @@ def _score(w: dict[str, float], kind: str, names: list[str], before: str, touchi
 STATES = ("none", *KINDS)
 
 
-def decode(text: str, start: int, end: int, w: dict[str, float]) -> list[tuple[str, int, int]]:
-    """The best segmentation: V[j][y], the best score of a segmentation up to border j whose last segment has kind y."""
-    borders, arcs = lattice(text, start, end)
-    if not arcs:
-        return []
-    best = [dict.fromkeys(STATES, -math.inf) for _ in borders]
-    back: list[dict] = [{} for _ in borders]
-    best[0]["none"] = 0.0
-    for j in range(1, len(borders)):
-        y = max(STATES, key=lambda s: best[j - 1][s])
-        best[j]["none"], back[j]["none"] = best[j - 1][y], (j - 1, y)
-        for i, kind, names in arcs.get(j, ()):
-            own = _score(w, kind, names, "", False)
-            for y in STATES:
-                if best[i][y] > -math.inf:
-                    s = best[i][y] + own + (w.get(f"{y}>{kind}", 0.0) if y != "none" else 0.0)
-                    if s > best[j][kind]:
-                        best[j][kind], back[j][kind] = s, (i, y)
-    j, y, out = len(borders) - 1, max(STATES, key=lambda s: best[-1][s]), []
-    while j:
-        i, before = back[j][y]
-        if y != "none":
-            out.append((y, borders[i], borders[j]))
-        j, y = i, before
+def decode(text: str, start: int, end: int, w: dict[str, float], step: int = STEP) -> list[tuple[str, int, int]]:
+    """The best segmentation: V[j][y], the best score of a segmentation up to border j whose last segment has kind y.
+
+    The lattice is made for ``step`` borders at a time, with the ``LONGEST`` before them that their candidates may
+    begin at; states go on from one to the next. A state holds its segments as a chain (chain before, segment).
+    """
+    borders = [start] + [m.end() for m in _TOKEN.finditer(text, start, end)]
+    n = len(borders)
+    best: dict[int, dict[str, tuple]] = {0: {"none": (0.0, None)}}
+    for first in range(1, n, step):
+        low, stop = max(0, first - LONGEST), min(first + step, n)
+        # One border more than is asked for: an address may look complete where its text is cut.
+        _, arcs = lattice(text, borders[low], borders[min(stop, n - 1)])
+        if not arcs:
+            top = max((best[first - 1][s] for s in STATES if s in best[first - 1]), key=lambda x: x[0])
+            best = {j: states for j, states in best.items() if j >= stop - LONGEST} | {j: {"none": top} for j in range(max(first, stop - LONGEST), stop)}
+            continue
+        for j in range(first, stop):
+            before = best[j - 1]
+            here = best[j] = {"none": max((before[s] for s in STATES if s in before), key=lambda x: x[0])}
+            for i, kind, names in arcs.get(j - low, ()):
+                own, states = _score(w, kind, names, "", False), best[low + i]
+                for y in STATES:
+                    if y in states:
+                        s = states[y][0] + own + (w.get(f"{y}>{kind}", 0.0) if y != "none" else 0.0)
+                        if kind not in here or s > here[kind][0]:
+                            here[kind] = (s, (states[y][1], (kind, borders[low + i], borders[j])))
+            best.pop(j - LONGEST, None)
+    chain, out = max((best[n - 1][s] for s in STATES if s in best[n - 1]), key=lambda x: x[0])[1], []
+    while chain:
+        chain, segment = chain
+        out.append(segment)
     return out[::-1]
 
 

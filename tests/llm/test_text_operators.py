@@ -145,6 +145,44 @@ def test_decoding_is_the_best_of_all_segmentations():
         assert total == pytest.approx(top)
 
 
+def dense_list(rng, n, ends):
+    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    makers = (
+        lambda: f"({num(3)}) {num(3)}-{num(4)}",
+        lambda: f"{num(3)}-{num(3)}-{num(4)}",
+        lambda: " ".join(num(4) for _ in range(4)),
+        lambda: f"ann{num(2)} (at) mail{num(1)} (dot) org",
+        lambda: num(rng.randint(1, 20)),
+    )
+    return "".join(rng.choice(makers)() + rng.choice(ends) for _ in range(n))
+
+
+@pytest.mark.parametrize("ends", ["\n", " ", (" ", ", ", "-", " . ")])
+def test_dense_lists_are_one_window(ends):
+    weights, rng = dict(pii.train()), random.Random(12)
+    phones = "".join(f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}{ends[0]}" for _ in range(1500))
+    for text in (phones, dense_list(rng, 1200, ends)):
+        assert len(text) > 16_000
+        whole = pii.decode(text, 0, len(text), weights, step=len(text))
+        base, every = pii.find(text, weights)
+        assert set(every) - set(base) == {x for x in whole if not any(x[1] < b and a < x[2] for _, a, b in base)}
+        assert pii.decode(text, 0, len(text), weights) == pii.decode(text, 0, len(text), weights, step=37) == pii.decode(text, 0, len(text), weights, step=1) == whole
+    if ends == "\n":
+        assert [x[1:] for x in pii.find(phones, weights)[1]] == [m.span() for m in re.finditer(".+", phones)]
+
+
+def test_windows_cut_no_candidate():
+    weights, rng = dict(pii.train()), random.Random(13)
+    pieces = ["a" * 70, "b1." * 40, "@", " (at) ", "[at]", " (dot) ", ".", " ", "\n", "x", "12", "3", "555-1234", "(212) ", "+44", ", ", "é", "word " * 30, "w" * 130]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 40)))
+        parts = pii.windows(text)
+        assert all(a < b for a, b in parts) and all(x[1] < y[0] for x, y in zip(parts, parts[1:], strict=False))
+        found = lambda a, b: {(borders[i], borders[j], kind) for borders, arcs in [pii.lattice(text, a, b)] for j, own in arcs.items() for i, kind, _ in own}
+        assert set().union(*(found(a, b) for a, b in parts)) == found(0, len(text))
+        assert [x for a, b in parts for x in pii.decode(text, a, b, weights)] == pii.decode(text, 0, len(text), weights)
+
+
 def test_pii_frames(spark):
     texts = ["a é b.c@d.org!", None, "", "call (212) 555-1234 now", "1" * 50_000, "x " * 50_000 + "+44 20 7946 0958", "1.2.3.4 1.2.3.4"]
     docs = frame(spark, texts).withColumn("Base_Spans", F.lit(1))
