@@ -1,6 +1,8 @@
 """License scans by an exact set-similarity join, in DataFrame operations only.
 
-Blocks are lines of text (for templates) and whole documents (for phrases). A template is a token
+Blocks are lines of text, runs of lines (both for templates) and whole documents (for phrases). A
+run is for notices that are wrapped: adjacent lines, none without a word, of which the inner ones hold
+together at most as many words as the template; what only runs meet stands in columns of its own. A template is a token
 set; a block meets it if it holds at least ``threshold`` of its tokens (a phrase: all, standing
 consecutively). Tokens of all templates are ordered by how many blocks hold them, rarest first:
 
@@ -10,7 +12,9 @@ consecutively). Tokens of all templates are ordered by how many blocks hold them
 * positional filter: when the first shared token stands at place i of the template and j of the
   block, at most min(n - i, size - j) tokens can be shared;
 
-and the survivors' full overlaps are counted. The filters only drop pairs that cannot meet the
+and the survivors' full overlaps are counted. For runs the filters look at a document's lines taken
+together, which hold all that any of its runs holds; one pass over the lines of what they leave finds
+the longest run that ends at each line. The filters only drop pairs that cannot meet the
 threshold, so the result is exact.
 
 Defined results: null or empty texts have no words, no places and no labels, and score 0; repeated
@@ -80,10 +84,36 @@ def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFram
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[cell(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])))
 
 
+def _best_run(lines: Column, sizes: Column, words: Column, n: Column) -> Column:
+    """(shared, line, last_line) of the run that shares most of a template's ``words`` (``n`` with repeats), then the first; both lines negative.
+
+    A step holds the lines with shared words of the longest run that ends at its line: (line, words up to its end, shared).
+    """
+    cells = F.zip_with(lines, sizes, lambda b, size: F.struct(F.array_intersect(b, words).alias("b"), size.alias("n")))
+    none = F.array().cast("array<struct<line:int,until:int,b:array<string>>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("until"), none.alias("held"), F.struct(F.lit(0).alias("shared"), F.lit(0).alias("line"), F.lit(0).alias("last_line")).alias("best"))
+
+    def better(run: Column) -> Column:
+        held = run["held"]
+        lines_of = lambda k: -F.coalesce(F.try_element_at(held, F.lit(k))["line"], F.lit(0))
+        own = F.struct(F.size(F.array_distinct(F.flatten(F.transform(held, lambda x: x["b"])))).alias("shared"), lines_of(1).alias("line"), lines_of(-1).alias("last_line"))
+        return F.greatest(run["best"], own)
+
+    def step(run: Column, cell: Column) -> Column:
+        kept = F.filter(run["held"], lambda x: run["until"] - x["until"] <= n)
+        own = F.struct(run["at"].alias("line"), (run["until"] + cell["n"]).alias("until"), cell["b"].alias("b"))
+        held = F.when(cell["n"] == 0, none).when(F.size(cell["b"]) == 0, kept).otherwise(F.concat(kept, F.array(own)))
+        return F.struct((run["at"] + 1).alias("at"), (run["until"] + cell["n"]).alias("until"), held.alias("held"), better(run).alias("best"))
+
+    return F.aggregate(cells, start, step, better)
+
+
 def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document: its id and n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
+    """One row for each document: its id and n_words, n_base, first_word, last_word, base_labels, labels, score, matches, wrapped_labels, wrapped_score, wrapped.
 
-    matches: array of (label, line, containment) of the blocks that meet a template; line null for a phrase.
+    matches: array of (label, line, containment) of the lines that meet a template; line null for a phrase.
+    wrapped: array of (label, line, last_line, containment), for each template that runs meet in a document of several
+    lines the best of them, then the first; wrapped_labels and wrapped_score are over matches and wrapped.
     Documents are read once; only matches and a narrow row for each document are shuffled.
     """
     spark = docs.sparkSession
@@ -95,10 +125,10 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     read = base.select("doc_id", "h", "norm", F.explode(F.array(by_line)).alias("lines")).withColumn("b", F.array_distinct(F.flatten("lines")))
     whole_phrase = [F.size(F.array_intersect("b", _strings(sorted(set(p.split()))))) == len(set(p.split())) for _, p in phrases]
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace("norm", r"[ \n]+", " ")), F.lit(" "))
-    n_words = F.aggregate(F.split("norm", "\n"), F.lit(0).cast("long"), lambda n, l: n + F.when(F.trim(l) == "", F.lit(0)).otherwise(_spaces(F.trim(l)) + 1).cast("long"))
+    sizes = F.transform(F.split("norm", "\n"), lambda l: F.when(F.trim(l) == "", F.lit(0)).otherwise(_spaces(F.trim(l)) + 1))
     # Documents are read here and only here: what goes on is their words of the vocabulary, line by
     # line, and the text of those that hold all words of a phrase.
-    read = materialise(read.select("doc_id", "h", n_words.alias("n_words"), "lines", F.when(reduce(lambda x, y: x | y, whole_phrase), flat).alias("flat")), "license-words")
+    read = materialise(read.select("doc_id", "h", sizes.alias("sizes"), "lines", F.when(reduce(lambda x, y: x | y, whole_phrase), flat).alias("flat")), "license-words")
     lines = read.select("doc_id", "h", F.posexplode("lines").alias("line", "b"))
     counts = {r["w"]: r["n"] for r in lines.select(F.explode("b").alias("w")).groupBy("w").agg(F.count("*").alias("n")).toLocalIterator()}
     ranks = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
@@ -128,17 +158,28 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     as_ranks = lambda b: F.array_sort(F.transform(b, lambda w: rank_of[w]))
     in_lines = candidates(lines.where(F.size("b") > 0).withColumn("b", as_ranks(F.col("b"))), False)
-    found = in_lines.select("doc_id", "h", "label", "line", (F.size("shared") / F.size("tokens")).alias("containment"), F.lit(None).cast("long").alias("places"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
+    found = in_lines.select("doc_id", "h", "label", "line", (F.size("shared") / F.size("tokens")).alias("containment"), F.lit(None).cast("long").alias("places"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("int").alias("last_line"))
     whole = read.where("flat is not null").select("doc_id", "h", "flat", F.array_distinct(F.flatten("lines")).alias("b"))
     by_doc = candidates(whole.withColumn("b", as_ranks(F.col("b"))), True).withColumn("parts", F.split("flat", F.concat(F.lit(" (?="), F.col("notice"), F.lit(" )")), -1)).where(F.size("parts") > 1)
-    places = by_doc.select("doc_id", "h", "label", F.lit(None).cast("int").alias("line"), F.lit(1.0).alias("containment"), (F.size("parts") - 1).cast("long").alias("places"), _spaces(F.element_at("parts", 1)).cast("long").alias("first"), (_spaces(F.col("flat")) - 1 - _spaces(F.element_at("parts", -1))).cast("long").alias("last"))
+    places = by_doc.select("doc_id", "h", "label", F.lit(None).cast("int").alias("line"), F.lit(1.0).alias("containment"), (F.size("parts") - 1).cast("long").alias("places"), _spaces(F.element_at("parts", 1)).cast("long").alias("first"), (_spaces(F.col("flat")) - 1 - _spaces(F.element_at("parts", -1))).cast("long").alias("last"), F.lit(None).cast("int").alias("last_line"))
+    # The filters run before a row is made for a template: rows with the lines of a whole document are wide.
+    by_rank = sorted(ranks, key=ranks.get)
+    wanted = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(must).alias("must"), F.lit(len(notice.split())).alias("n"), _strings([by_rank[t] for t in tokens]).alias("words"), _strings([by_rank[t] for t in tokens[: len(tokens) - must + 1]]).alias("head")) for _, label, notice, phrase, tokens, must in rows if not phrase])
+    several = read.where(F.size("lines") > 1).select("doc_id", "h", "lines", "sizes", F.explode(F.array(F.array_distinct(F.flatten("lines")))).alias("b")).where(F.size("b") >= min(r[5] for r in rows if not r[3]))
+    several = several.withColumn("t", F.explode(F.filter(wanted, lambda t: (F.size("b") >= t["must"]) & F.arrays_overlap("b", t["head"]) & (F.size(F.array_intersect("b", t["words"])) >= t["must"]))))
+    # The generator keeps the run from being computed once for each of its uses.
+    runs = several.select("doc_id", "h", "t.label", "t.must", "t.words", F.explode(F.array(_best_run(F.col("lines"), F.col("sizes"), F.col("t.words"), F.col("t.n")))).alias("run")).where(F.col("run.shared") >= F.col("must"))
+    runs = runs.select("doc_id", "h", "label", (-F.col("run.line")).alias("line"), (F.col("run.shared") / F.size("words")).alias("containment"), F.lit(None).cast("long").alias("places"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), (-F.col("run.last_line")).alias("last_line"))
     # A document can be listed under repeated rows: the same block counts once.
-    found = found.union(places).distinct()
+    found = found.union(places).union(runs).distinct()
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    of = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), joined(F.when(F.col("places").isNotNull(), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("containment").alias("score"), F.array_sort(F.collect_list(F.struct("label", "line", "containment"))).alias("matches"))
-    all_docs = read.select("doc_id", "h", "n_words")
+    plain = F.col("last_line").isNull()
+    of = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), joined(F.when(F.col("places").isNotNull(), F.col("label"))).alias("base_labels"), joined(F.when(plain, F.col("label"))).alias("labels"), F.max(F.when(plain, F.col("containment"))).alias("score"), F.array_sort(F.collect_list(F.when(plain, F.struct("label", "line", "containment")))).alias("matches"),
+        joined(F.col("label")).alias("wrapped_labels"), F.max("containment").alias("wrapped_score"), F.array_sort(F.collect_list(F.when(~plain, F.struct("label", "line", "last_line", "containment")))).alias("wrapped"))
+    all_docs = read.select("doc_id", "h", F.aggregate("sizes", F.lit(0).cast("long"), lambda n, l: n + l).alias("n_words"))
     return all_docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matches", F.array().cast("array<struct<label:string,line:int,containment:double>>")).alias("matches"))
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matches", F.array().cast("array<struct<label:string,line:int,containment:double>>")).alias("matches"),
+        F.coalesce("wrapped_labels", F.lit("")).alias("wrapped_labels"), F.coalesce("wrapped_score", F.lit(0.0)).alias("wrapped_score"), F.coalesce("wrapped", F.array().cast("array<struct<label:string,line:int,last_line:int,containment:double>>")).alias("wrapped"))
 
 
 def label_documents(docs: DataFrame, **options) -> DataFrame:

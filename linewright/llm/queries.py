@@ -54,7 +54,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+    # The columns are those of the SQL, whose blocks are lines; what wrapped notices give is in columns it does not have.
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches", "wrapped_labels", "wrapped_score", "wrapped")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,52 @@ def test_licenses_are_brute_force(spark):
         assert r["score"] == pytest.approx(score)
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions are met:\r\n *",
+    "gpl-2": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or",
+    "mpl-2": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this",
+}
+
+
+def test_wrapped_notices(spark):
+    parted = WRAPPED["mit"].replace("\n", "\n\n")
+    far = "Released under\n" + "x " * 6 + "\nthe MIT License"
+    texts = [f"x\n\nint main\n{t}\n\ny" for t in WRAPPED.values()] + [parted, far, "Released\nunder\nthe\nMIT\nLicence", "Released under\nthe MIT Licence\nnone", "a\n\nb"]
+    got = licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == [""] * len(texts)
+    assert [r["wrapped_labels"] for r in got] == [*WRAPPED, "", "", "mit", "mit", ""]
+    assert all(r["wrapped_score"] >= 0.8 for r in got[:4]) and got[0]["wrapped_score"] == got[1]["wrapped_score"] == 1
+    assert [(w["line"], w["last_line"]) for w in got[0]["wrapped"]] == [(3, 4)] and [(w["line"], w["last_line"]) for w in got[7]["wrapped"]] == [(0, 1)]
+
+
+def test_runs_of_lines_are_brute_force(spark):
+    rng = random.Random(18)
+    pool = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + ["zu", "é", "xx"]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                w.insert(rng.randrange(len(w)), rng.choice(pool)) if rng.random() < 0.5 else w.pop(rng.randrange(len(w)))
+            parts.append("".join(x + rng.choice((" ", " ", ", ", "\n", "\n * ")) for x in w))
+        texts.append(rng.choice(("\n", "\n\n", "\n \n", "zu " * 9 + "\n")).join(parts))
+    got = licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()
+    for r, text in zip(got, texts, strict=True):
+        lines, labels, score = [words(x) for x in text.split("\n")], set(r["labels"].split(",")) - {""}, r["score"]
+        for label, t in licenses.TEMPLATES:
+            for i in range(len(lines)):
+                for j in range(i, len(lines)):
+                    if not all(lines[i : j + 1]) or sum(map(len, lines[i + 1 : j])) > len(t.split()):
+                        break
+                    share = len(set(t.split()) & set(sum(lines[i : j + 1], []))) / len(set(t.split()))
+                    if share >= licenses.THRESHOLD:
+                        labels.add(label)
+                        score = max(score, share)
+        assert r["wrapped_labels"] == ",".join(sorted(labels)) and r["wrapped_score"] == pytest.approx(score)
+
+
 def test_license_rows(spark):
     docs = spark.createDataFrame([(None, "Released under the MIT License."), (7, "cc by nc"), (7, "cc by nc"), (7, "other")], "doc_id long, text string")
     got = licenses.scan_licenses(docs.withColumn("labels", F.lit(1)).withColumn("h", F.lit(1)))
