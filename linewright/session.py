@@ -82,3 +82,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that :func:`materialise` or :class:`Scratch` wrote."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+class Scratch:
+    """Tables that one operator writes on its way; they are deleted when the block is left.
+
+        with Scratch(spark) as tables:
+            pairs = tables.write(pairs, "pairs")
+            result = materialise(of(pairs), "result")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop_tables(self.spark, self.paths)
