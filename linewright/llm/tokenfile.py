@@ -3,18 +3,25 @@
 File layout, little-endian: frames one after another, one for each document, each the zstandard
 compression (with content size and checksum) of the document's ids as unsigned 32-bit integers;
 then one more zstandard frame with the table, a row for each document:
-``doc_id int64, offset uint64, length uint32, n_tokens uint32, crc32 uint32`` (the checksum of the
-stored frame); then the footer ``table_offset uint64, table_length uint32, n_docs uint32,
-table_crc32 uint32, magic "LWTOKEN1"``. A reader fetches the footer, the table and then only the
-frames it wants. Ids below 65536 in every token of a document are stored as 16-bit integers; the
+``doc_id int64, offset uint64, length uint32, n_tokens uint32, crc32 uint32 (the checksum of the
+stored frame), has_id uint8``; then the footer ``table_offset uint64, table_length uint32, n_docs
+uint32, table_crc32 uint32, magic "LWTOKEN2"``. A reader fetches the footer, the table and then only
+the frames it wants. Ids below 65536 in every token of a document are stored as 16-bit integers; the
 width follows from the frame's content size over n_tokens.
 
-Defined results: a null or empty text holds only the end id; rows with a null id are not written;
-repeated ids are written as often as they come; an empty table gives no file and no row.
+Documents are dealt into ranges of ids, as many as their bytes ask for; an id that repeats over
+several ranges is parted by the checksum of its frames. A range becomes one file or more: a file
+ends at ``FILE_BYTES`` or ``FILE_DOCS``, which also bounds the table that a task holds.
+
+Defined results: a null or empty text holds only the end id; repeated ids are written as often as
+they come, in the order of their frames' checksums; rows with a null id stand behind all others (in
+the table with has_id 0); a text of any length is one document and one frame; an empty table gives
+no file and no row. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -35,8 +42,11 @@ from tokenizers import Tokenizer
 from linewright.llm.common import LOWER, take_turn
 from linewright.session import scratch_path, ship_package
 
-ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4"), ("crc32", "<u4")])
-FOOTER, MAGIC = struct.Struct("<QIII8s"), b"LWTOKEN1"
+ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4"), ("crc32", "<u4"), ("has_id", "u1")])
+_ROW = struct.Struct("<qQIIIB")
+FOOTER, MAGIC = struct.Struct("<QIII8s"), b"LWTOKEN2"
+#: A file ends behind the frame that reaches either; bytes of texts that a range of ids should hold.
+FILE_BYTES, FILE_DOCS, RANGE_BYTES = 256 << 20, 1 << 20, 512 << 20
 #: Distinct white-space-separated chunks whose ids a Python worker remembers.
 REMEMBERED = 700_000
 #: Bytes of texts that are encoded at once.
@@ -46,17 +56,33 @@ SPACED = LOWER.translate(bytes.maketrans(b"\n\t", b"  "))
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+def separable(config: dict) -> bool:
+    """Whether a tokenizer's file says that chunks between white space can be encoded on their own: it composes,
+    folds white space and lower-cases, then drops what is no match of its pattern. No match spans white space,
+    and marks are never in one with letters. Anything else is encoded in whole texts."""
+    # The steps this is true for, as they stand in the file.
+    normalizer = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    added = all(t["content"].startswith("<|") for t in config.get("added_tokens") or [])
+    parted = steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": pattern} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+    byte_level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return config.get("normalizer") == normalizer and added and parted and byte_level and not config.get("post_processor") and not config.get("truncation") and not config.get("padding")
+
+
 class ChunkEncoder:
     """The tokenizer's ids of whole texts, put together from those of white-space-separated chunks.
 
-    Exact for tokenizers that drop white space, lower-case and part letters from marks before they
-    look for tokens; ``whole`` keeps the texts of any other in one piece.
+    Exact for tokenizers that are :func:`separable`; ``whole`` keeps texts in one piece, and so does
+    None, the default, for any other tokenizer.
     """
 
-    def __init__(self, path: str, whole: bool = False):
+    def __init__(self, path: str, whole: bool | None = None):
         # A task has one core; the library's own threads would only wait for one another.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.whole, self.known = Tokenizer.from_file(path), whole, {}
+        with open(path, encoding="utf-8") as f:
+            self.whole = whole if whole is not None else not separable(json.load(f))
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def __call__(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, ``end_id`` behind each, and where each text's begin (one more: the end)."""
@@ -64,8 +90,9 @@ class ChunkEncoder:
             own = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array(list(chain.from_iterable(own)), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
         # Lower-cased as the tokenizer would, and parted only at characters that every tokenizer takes
-        # for white space. A text that may hold a special token is one chunk, as it is.
-        special = pc.match_substring(texts, "<|")
+        # for white space. A text that may hold a special token is one chunk, as it is, and so is one with
+        # a mark that a letter might be composed with before it is lower-cased.
+        special = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u036f]"))
         _, offsets, data = texts.buffers()
         plain = pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(data.to_pybytes().translate(SPACED) if data else b""), None, 0, texts.offset)
         lists = pc.split_pattern(plain, " ")
@@ -112,7 +139,7 @@ class ChunkEncoder:
         return [ids or fresh.get(x, b"") for x, ids in own.items()]
 
 
-def encoder(path: str, whole: bool) -> ChunkEncoder:
+def encoder(path: str, whole: bool | None) -> ChunkEncoder:
     take_turn("tokenfile", _ENCODERS.clear)
     key = f"{path}|{whole}"
     if key not in _ENCODERS:
@@ -140,21 +167,24 @@ class Writer:
         self.fs, self.path = open_fs(path)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.part = f"{self.path}.{attempt}.part"
-        self.out, self.at, self.rows = self.fs.open_output_stream(self.part), 0, []
+        self.out, self.at, self.table, self.n_ids = self.fs.open_output_stream(self.part), 0, bytearray(), 0
 
-    def add(self, doc_id: int, n_tokens: int, raw: bytes) -> None:
+    def add(self, doc_id: int | None, n_tokens: int, raw: bytes) -> None:
         self.out.write(raw)
-        self.rows.append((doc_id, self.at, len(raw), n_tokens, zlib.crc32(raw)))
+        self.table += _ROW.pack(doc_id or 0, self.at, len(raw), n_tokens, zlib.crc32(raw), doc_id is not None)
         self.at += len(raw)
+        self.n_ids += n_tokens
+
+    def full(self) -> bool:
+        return self.at >= FILE_BYTES or len(self.table) >= FILE_DOCS * _ROW.size
 
     def close(self) -> tuple[int, int]:
-        table = np.array(self.rows, ROW)
-        raw = zstandard.ZstdCompressor(level=3, write_checksum=True).compress(table.tobytes())
+        raw, n = zstandard.ZstdCompressor(level=3, write_checksum=True).compress(bytes(self.table)), len(self.table) // _ROW.size
         self.out.write(raw)
-        self.out.write(FOOTER.pack(self.at, len(raw), len(table), zlib.crc32(raw), MAGIC))
+        self.out.write(FOOTER.pack(self.at, len(raw), n, zlib.crc32(raw), MAGIC))
         self.out.close()
         self.fs.move(self.part, self.path)
-        return len(table), int(table["n_tokens"].astype(np.int64).sum())
+        return n, self.n_ids
 
 
 class Reader:
@@ -179,13 +209,14 @@ class Reader:
 
     def ids(self, doc_id: int) -> np.ndarray:
         """The ids of one document; reads its frame only."""
-        k = int(np.searchsorted(self.table["doc_id"], doc_id))
-        if k == len(self.table) or self.table["doc_id"][k] != doc_id:
+        named = self.table["doc_id"][: int(self.table["has_id"].sum())]
+        k = int(np.searchsorted(named, doc_id))
+        if k == len(named) or named[k] != doc_id:
             raise KeyError(doc_id)
         row = self.table[k]
         return self._ids(row, self.file.read_at(int(row["length"]), int(row["offset"])))
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """All documents in order, from reads of a few MB."""
         at, table = 0, self.table
         while at < len(table):
@@ -194,7 +225,7 @@ class Reader:
             raw = self.file.read_at(int(table["offset"][end - 1] + table["length"][end - 1]) - first, first)
             for row in table[at:end]:
                 a = int(row["offset"]) - first
-                yield int(row["doc_id"]), self._ids(row, raw[a : a + int(row["length"])])
+                yield int(row["doc_id"]) if row["has_id"] else None, self._ids(row, raw[a : a + int(row["length"])])
             at = end
 
 
@@ -210,10 +241,20 @@ def gathered(batches: Iterable[pa.RecordBatch], size: int = GATHERED) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def encode_frames(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, whole: bool = False, cuts: list[int] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, frame, part) of every document with an id; encoded where it is read.
+def range_of(ids: pa.Array, marks: np.ndarray, cuts: np.ndarray, unnamed: int) -> np.ndarray:
+    """The range of every id: how many ``cuts`` are below it. One that several cuts name is parted by its
+    ``marks`` (of 32 bits); null ids go to ``unnamed`` ranges behind the others, by the same."""
+    known = pc.fill_null(ids, 0).to_numpy()
+    low, high = np.searchsorted(cuts, known, "left"), np.searchsorted(cuts, known, "right")
+    missing = ids.is_null().to_numpy(zero_copy_only=False)
+    low, high = np.where(missing, len(cuts) + 1, low), np.where(missing, len(cuts) + 1 + unnamed, high)
+    return low + (marks.astype(np.int64) * np.maximum(high - low, 1) >> 32)
 
-    ``part`` numbers the range between the sorted ``cuts`` that the id is in.
+
+def encode_frames(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, whole: bool | None = None, cuts: list[int] | None = None, unnamed: int = 1) -> DataFrame:
+    """(doc_id, n_tokens, frame, mark, part) of every document; encoded where it is read.
+
+    ``mark`` is the frame's checksum, ``part`` the range of :func:`range_of` between the sorted ``cuts``.
     """
     ship_package(docs.sparkSession)
     bounds = np.array(cuts or [], np.int64)
@@ -224,44 +265,49 @@ def encode_frames(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", te
             for batch in table.to_batches():
                 ids, starts = encode(pc.fill_null(batch.column(1).cast(pa.string()), ""), end_id)
                 frames = [frame(ids[a:b], packer) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                part = np.searchsorted(bounds, batch.column(0).to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(frames, pa.binary()), pa.array(part, pa.int32())], names=["doc_id", "n_tokens", "frame", "part"])
+                marks = np.fromiter(map(zlib.crc32, frames), np.int64, len(frames))
+                part = range_of(batch.column(0), marks, bounds, unnamed)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(frames, pa.binary()), pa.array(marks), pa.array(part, pa.int32())], names=["doc_id", "n_tokens", "frame", "mark", "part"])
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, frame binary, part int")
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, n_tokens long, frame binary, mark long, part int")
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> list[tuple[str, int, int]]:
     """Writes the ids of ``docs`` in ascending doc_id order; returns (file, its documents, its ids) in that order.
 
-    Only compressed frames are shuffled, by ranges of doc_id; a task writes one file. What comes
-    back to the driver is a row for each file. A task that is run again writes its file anew.
+    Only compressed frames are shuffled, by ranges of doc_id; a task writes the files of its range.
+    What comes back to the driver is a row for each file. A task that is run again writes its files anew.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
-    ids = docs.select(F.col(options.get("doc_id", "doc_id")).cast("long").alias("doc_id")).where("doc_id is not null")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Bounds from the id column alone: the texts are not read for them.
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 1000).alias("q")).first()["q"]
-    if cuts is None:
+    ids = docs.select(F.col(options.get("doc_id", "doc_id")).cast("long").alias("doc_id"), F.col(options.get("text", "text")).cast("string").alias("text"))
+    n_bytes, n_docs, n_named = ids.agg(F.sum(F.octet_length("text")), F.count("*"), F.count("doc_id")).first()
+    if not n_docs:
         return []
-    cuts = sorted(set(cuts))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n_bytes or 0) // RANGE_BYTES + 1)
+    # Bounds from the id column alone: the texts are not read for them.
+    cuts = sorted(ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], max(1000, 10 * n)).alias("q")).first()["q"] or [])
+    unnamed = -(-(n_docs - n_named) * n // n_docs)
 
     def write(batches: Iterable[pa.RecordBatch]):
-        context, out, name = TaskContext.get(), None, ""
+        context, out, name, at = TaskContext.get(), None, "", (-1, 0)
+        done = lambda: pa.RecordBatch.from_pylist([dict(zip(("file", "n_docs", "n_ids"), (name, *out.close()), strict=True))])
         for batch in batches:
             for key, doc, n_tokens, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "frame")), strict=True):
-                if out is None or name != f"{path}/{key:06d}.lwt":
+                if out is None or key != at[0] or out.full():
                     if out is not None:
-                        yield pa.RecordBatch.from_pylist([dict(zip(("file", "n_docs", "n_ids"), (name, *out.close()), strict=True))])
-                    name = f"{path}/{key:06d}.lwt"
+                        yield done()
+                    at = (key, at[1] + 1 if key == at[0] else 0)
+                    name = f"{path}/{key:08d}-{at[1]:05d}.lwt"
                     out = Writer(name, context.taskAttemptId())
                 out.add(doc, n_tokens, raw)
         if out is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(("file", "n_docs", "n_ids"), (name, *out.close()), strict=True))])
+            yield done()
 
-    frames = encode_frames(docs, tokenizer, cuts=cuts, **options)
-    done = frames.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", "n_tokens", "frame").mapInArrow(write, "file string, n_docs long, n_ids long").collect()
+    frames = encode_frames(docs, tokenizer, cuts=cuts, unnamed=unnamed, **options)
+    parts = len(cuts) + 1 + unnamed
+    done = frames.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "mark", "frame").mapInArrow(write, "file string, n_docs long, n_ids long").collect()
     return sorted((r["file"], r["n_docs"], r["n_ids"]) for r in done)
 
 
