@@ -31,6 +31,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_trie.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, columns=["doc_id"], outputs=("n_pieces", "ids_crc32", "decoded_ok"))
 
 
+def sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same traversal with forward sums: the vocabulary's pieces and scores as a unigram model."""
+    return sentencepiece_trie.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, kind="unigram", columns=["doc_id"], outputs=("n_pieces", "ids_crc32", "decoded_ok"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,8 +59,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The columns are those of the SQL, whose blocks are lines; what wrapped notices give is in columns it does not have.
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches", "wrapped_labels", "wrapped_score", "wrapped")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +75,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_near_duplicates, op4_pii, op5_html_text, op6_toxicity, op7_licenses, op8_nearest, op9_token_files, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, sentencepiece_viterbi, op3_near_duplicates, op4_pii, op5_html_text, op6_toxicity, op7_licenses, op8_nearest, op9_token_files, op10_url_rules)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -109,21 +113,25 @@ FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r
 def _op7() -> str:
     quote = lambda s: "'" + s + "'"
     phrases = ", ".join(f"({quote(a)}, {quote(b)}, {len(b.split())})" for a, b in licenses.PHRASES)
-    templates = ", ".join(f"({quote(a)}, [{', '.join(quote(w) for w in sorted(set(b.split())))}])" for a, b in licenses.TEMPLATES)
+    templates = ", ".join(f"({quote(a)}, [{', '.join(quote(w) for w in sorted(set(b.split())))}], {licenses.needed(b, c)}, {len(b.split())})" for a, b, c in licenses.TEMPLATES)
     return rf"""
-WITH d AS (SELECT doc_id, {_LOWER} AS t, {_WORDS} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w, list_transform(string_split({_LOWER}, chr(10)), lambda l: regexp_extract_all(l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ls FROM documents),
 ph(label, phrase, n) AS (VALUES {phrases}),
-te(label, tokens) AS (VALUES {templates}),
-near AS (SELECT doc_id, w FROM d WHERE list_contains(w, 'license') OR list_contains(w, 'cc')),
-pos AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM near),
-place AS (SELECT doc_id, i - 1 AS i, label FROM pos JOIN ph ON i + n - 1 <= len(w) AND array_to_string(w[i : i + n - 1], ' ') = phrase),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
-met AS (SELECT doc_id, label, len(list_intersect(b, tokens)) / len(tokens) AS score FROM lines, te WHERE len(list_intersect(b, tokens)) >= ceil(round({licenses.THRESHOLD} * len(tokens), 9))),
-base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY doc_id),
-every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT doc_id, label, 1.0 AS score FROM place UNION ALL SELECT doc_id, label, score FROM met) GROUP BY doc_id)
+te(label, tokens, must, n) AS (VALUES {templates}),
+near AS (SELECT r, w FROM d WHERE list_contains(w, 'license') OR list_contains(w, 'cc')),
+pos AS (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM near),
+place AS (SELECT r, i - 1 AS i, label FROM pos JOIN ph ON i + n - 1 <= len(w) AND array_to_string(w[i : i + n - 1], ' ') = phrase),
+pair AS (SELECT r, ls, label, tokens, must, n FROM d, te WHERE len(list_intersect(list_distinct(w), tokens)) >= must),
+line AS (SELECT *, unnest(generate_series(1, len(ls))) AS i FROM pair),
+upto AS (SELECT r, label, tokens, must, n, ls, i, len(ls[i]) AS own, sum(len(ls[i])) OVER o AS total, sum(CASE WHEN len(ls[i]) = 0 THEN 1 ELSE 0 END) OVER o AS blank FROM line WINDOW o AS (PARTITION BY r, label, tokens ORDER BY i)),
+run AS (SELECT x.r, x.label, x.tokens, x.must, len(list_intersect(list_distinct(flatten(x.ls[x.i : y.i])), x.tokens)) AS k
+        FROM upto x JOIN upto y ON x.r = y.r AND x.label = y.label AND x.tokens = y.tokens AND x.i <= y.i AND x.own > 0 AND x.blank = y.blank AND y.total - y.own - x.total <= x.n),
+met AS (SELECT r, label, k / len(tokens) AS score FROM run WHERE k >= must),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT r, label, 1.0 AS score FROM place UNION ALL SELECT r, label, score FROM met) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)
+FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r)
 """
 
 

@@ -6,21 +6,29 @@ traversal of their trie: a word keeps the forward states of the prefix it shares
 before and computes only the rest.
 
 The forward state at a position is the last piece of the best segmentation of the prefix that ends
-there. For a unigram vocabulary best means the highest sum of scores (Viterbi). For a BPE
-vocabulary, such as the public one here, the sums of scores do not give the pieces that merging
-gives; there the state is the piece that merging the prefix ends with. It is the one piece that
-stands behind its predecessor's own state without the two ever merging differently, so the same
-recurrence finds it, one position after the other.
+there. For ``kind="unigram"`` best means the highest sum of scores (Viterbi), and the state holds
+the sum too; of equal sums the longest last piece wins, and a character without a piece costs 10
+more than the worst piece, as in the library. For a BPE vocabulary, such as the public one here, the
+sums of scores do not give the pieces that merging gives; there the state is the piece that merging
+the prefix ends with. It is the one piece that stands behind its predecessor's own state without the
+two ever merging differently, so the same recurrence finds it, one position after the other.
 
 Cutting is exact when no piece holds another character before a mark; this is checked, and texts
-are one word where it does not hold. Characters without a piece become byte pieces.
+are one word where it does not hold. Characters without a piece become byte pieces, or where the
+vocabulary has none one unknown piece for each run of them. Models must leave texts as they are
+but for the mark in front; others are refused.
+
+Decoding joins pieces and bytes, turns marks into spaces and drops one mark that starts the text;
+control ids give nothing, unknown ones the library's sign, and each byte that is no UTF-8 U+FFFD.
 
 Defined results: a null or empty text has no pieces; decoding gives the text back (marks in the
-input come back as spaces). Input columns named like an output column give way to it.
+input come back as spaces); a text of any length is encoded whole; repeated rows each get their
+answer; an empty table gives no row. Input columns named like an output column give way to it.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from array import array
@@ -30,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from sentencepiece import sentencepiece_model_pb2
 
 from linewright.llm.common import add_columns, field, take_turn
 
@@ -37,26 +46,36 @@ MARK = "▁"
 #: Distinct words, and pairs of pieces, that a Python worker remembers between batches.
 REMEMBERED = 200_000
 _LOADED: dict[tuple, "Vocabulary"] = {}
+#: What an unknown id decodes to; what a character without a piece costs more than the worst piece.
+UNKNOWN, PENALTY = " \u2047 ", 10.0
+
+codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
 
 
 class Vocabulary:
     def __init__(self, path: str | None = None, kind: str = "bpe", pieces: dict[str, tuple[int, float]] | None = None):
         """From a model file, or from ``pieces``: piece -> (id, score). ``kind``: bpe or unigram."""
-        self.kind, self.bytes = kind, {}
+        self.kind, self.bytes, self.silent = kind, {}, frozenset()
         if path:
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            spec = sentencepiece_model_pb2.ModelProto()
+            with open(path, "rb") as f:
+                spec.ParseFromString(f.read())
+            rules = spec.normalizer_spec
+            if rules.precompiled_charsmap or not rules.add_dummy_prefix or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
+                raise ValueError(f"{path}: a model that normalises texts")
+            model = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
             n = model.get_piece_size()
             self.text_of = [model.id_to_piece(i) for i in range(n)]
             self.bytes = {int(self.text_of[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
             pieces = {self.text_of[i]: (i, model.get_score(i)) for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
-            self.unknown = model.unk_id()
+            self.unknown, self.silent = model.unk_id(), frozenset(i for i in range(n) if model.is_control(i))
         else:
             self.unknown = 0
             self.text_of = [""] * (max((i for i, _ in pieces.values()), default=0) + 1)
             for p, (i, _) in pieces.items():
                 self.text_of[i] = p
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.pieces = pieces
+        self.pieces, self.least = pieces, min((s for _, s in pieces.values()), default=0.0) - PENALTY
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
         # Characters that no piece holds: nothing merges across them.
         alone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in pieces))
@@ -134,13 +153,15 @@ class Vocabulary:
             last.append(chosen)
 
     def _step_unigram(self, word: str, last: list, j: int, sums: list) -> None:
-        best, chosen = -1e18, ""
-        for piece in self._ending(word, j):
+        best, chosen = float("-inf"), ""
+        for piece in reversed(self._ending(word, j)):
             s = sums[j - len(piece)] + self.pieces[piece][1]
             if s > best:
                 best, chosen = s, piece
+        if word[j - 1] not in self.pieces and sums[j - 1] + self.least > best:
+            best, chosen = sums[j - 1] + self.least, ""
         last.append(chosen)
-        sums.append(best if chosen else sums[j - 1] - 1e6)
+        sums.append(best)
 
     def encode_words(self, words: list[str]) -> None:
         """Adds the ids of ``words`` to what is known: one traversal of their trie."""
@@ -166,7 +187,7 @@ class Vocabulary:
                     j -= len(piece)
                 else:
                     raw = word[j - 1].encode("utf-8", "surrogatepass")
-                    ids += [self.bytes[b] for b in reversed(raw)] if self.bytes else [self.unknown]
+                    ids += [self.bytes[b] for b in reversed(raw)] if self.bytes else [self.unknown] if ids[-1:] != [self.unknown] else []
                     j -= 1
             self.known[word] = array("i", reversed(ids)).tobytes()
 
@@ -180,20 +201,30 @@ class Vocabulary:
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids) -> str:
-        """The text of the pieces: bytes joined, marks as spaces, without the one in front."""
-        raw, parts = bytearray(), []
+        """The text of the pieces."""
+        raw, parts, begun = bytearray(), [], False
+
+        def flush():
+            parts.append(raw.decode("utf-8", "each-byte"))
+            raw.clear()
+
         for i in ids:
             b = self.byte_of.get(i)
             if b is not None:
                 raw.append(b)
+                begun = True
                 continue
             if raw:
-                parts.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            parts.append(self.text_of[i])
+                flush()
+            if i in self.silent:
+                continue
+            piece = UNKNOWN if i == self.unknown else self.text_of[i]
+            # The mark that encoding put in front goes, whatever control ids stand before it.
+            parts.append(piece[1:] if not begun and piece[:1] == MARK else piece)
+            begun = True
         if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-        return "".join(parts).replace(MARK, " ")[1:]
+            flush()
+        return "".join(parts).replace(MARK, " ")
 
 
 def vocabulary(path: str, kind: str) -> Vocabulary:
