@@ -6,13 +6,16 @@ how often), hashed into buckets. A bucket's log-count ratio r compares how many
 training texts hold it; the ``features`` buckets whose ratio says most stay, and logistic
 regression learns weights for features x_j * r_j. A score is the sigmoid of the sum.
 
-Training takes at most ``max_rows`` labelled rows: those with the smallest hash of their id, so
-the same at any partitioning. Scoring covers every whole text and has no shuffle.
-
-Defined results: a null or empty text has no features and gets the score of the bias alone; label
-rows without id or label are ignored, of repeated ones the largest label counts; without both
-labels in the training rows every score is the toxic rows' share (0 without rows). Input columns
-named like an output column give way to it.
+Training takes at most ``max_rows`` labelled ids, those with the smallest hash, and of these, in the
+order of the hash, as many as ``max_bytes`` of text hold: the same at any partitioning, and a bound
+on what comes to the driver. Scoring covers every whole text and has no shuffle.
+
+Defined results: a null or empty text has no features and gets the score of the bias alone; a text
+of any length is scored whole; label rows without id or label are ignored, of repeated ones the
+largest label counts; of documents that repeat an id the smallest text is learnt from, and each of
+them is scored; rows without an id are scored and not held out; without both labels in the training
+rows every score is 0 or 1, whichever label there is (0 without rows); an empty table gives no row.
+Input columns named like an output column give way to it.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import WORDS, add_columns, field, raw_texts, take_turn
+from linewright.llm.common import WORDS, add_columns, distinct, field, raw_texts, take_turn
+from linewright.session import Scratch
 
-#: Bits of a bucket number; n-gram lengths in bytes; buckets that stay; rows the classifier is fitted on.
-BITS, SIZES, FEATURES, MAX_ROWS = 20, (4, 5, 6), 4096, 8_000
+#: Bits of a bucket number; n-gram lengths in bytes; buckets that stay; rows and bytes of text the classifier is fitted on.
+BITS, SIZES, FEATURES, MAX_ROWS, MAX_BYTES = 20, (4, 5, 6), 4096, 8_000, 64 << 20
 #: Bytes hashed at once.
 CHUNK = 1 << 19
 
@@ -79,7 +83,7 @@ class Model:
                 hit = np.flatnonzero(w)
                 if len(hit):
                     # Each feature of a text counts once.
-                    key = np.unique(owner[hit].astype(np.int64) << BITS | bucket[hit])
+                    key = distinct(owner[hit].astype(np.int64) << BITS | bucket[hit])
                     out[at:end] += np.bincount(key >> BITS, self.weights[key & ((1 << BITS) - 1)], end - at)
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
@@ -95,7 +99,7 @@ def fit(texts: list[bytes], labels: np.ndarray, features: int = FEATURES, steps:
     for at, end in chunks(texts):
         data, starts = _packed(texts[at:end])
         for bucket, owner in grams(data, starts):
-            key = np.unique(owner.astype(np.int64) << BITS | bucket)
+            key = distinct(owner.astype(np.int64) << BITS | bucket)
             toxic = labels[at + (key >> BITS)] == 1
             for k in (0, 1):
                 held[k] += np.bincount((key & (size - 1))[toxic == bool(k)], minlength=size).astype(np.int32)
@@ -112,7 +116,7 @@ def fit(texts: list[bytes], labels: np.ndarray, features: int = FEATURES, steps:
         for bucket, owner in grams(data, starts):
             where = place[bucket]
             hit = np.flatnonzero(where >= 0)
-            key = np.unique(owner[hit].astype(np.int64) << 32 | where[hit])
+            key = distinct(owner[hit].astype(np.int64) << 32 | where[hit])
             rows.append(at + (key >> 32))
             cols.append(key & 0xFFFFFFFF)
     rows, cols = np.concatenate(rows), np.concatenate(cols)
@@ -135,18 +139,23 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Fits on the labelled rows that :func:`held_out` leaves, ``max_rows`` at most."""
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fits on the labelled rows that :func:`held_out` leaves: ``max_rows`` ids and ``max_bytes`` of text at most."""
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(max_rows)
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "i").select("i", "y", "t")
-    texts, ids, ys = [], [], []
-    for r in rows.collect():  # max_rows at most
-        texts.append((r["t"] or "").encode())
-        ids.append(r["i"])
-        ys.append(1 if r["y"] == 1 else 0)
-    order = np.argsort(np.array(ids), kind="stable") if ids else []
-    return fit([texts[k] for k in order], np.array([ys[k] for k in order], np.int64))
+    rows = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "i")  # max_rows at most
+    rows = rows.groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).select(F.xxhash64("i").alias("h"), "i", "y", "t", F.octet_length("t").alias("n"))
+    with Scratch(docs.sparkSession) as tables:
+        rows = tables.write(rows, "toxicity-sample")
+        # Sizes first, a row for each id; then the texts up to the first that goes beyond the bound.
+        sizes = sorted((r["h"], r["i"], r["n"]) for r in rows.select("h", "i", "n").collect())
+        total = np.cumsum([n for _, _, n in sizes])
+        keep = int(np.searchsorted(total, max_bytes, "right"))
+        if not keep:
+            return fit([], np.zeros(0, np.int64))
+        last = F.struct(F.lit(sizes[keep - 1][0]).alias("h"), F.lit(sizes[keep - 1][1]).alias("i"))
+        taken = sorted((r["i"], bytes(r["t"]), int(r["y"] == 1)) for r in rows.where(F.struct("h", "i") <= last).select("i", "y", F.col("t").cast("binary").alias("t")).collect())
+    return fit([t for _, t, _ in taken], np.array([y for _, _, y in taken], np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, columns: list[str] | None = None) -> DataFrame:
