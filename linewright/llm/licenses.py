@@ -1,10 +1,10 @@
 """License scans by an exact set-similarity join, in DataFrame operations only.
 
-Blocks are lines of text, runs of lines (both for templates) and whole documents (for phrases). A
-run is for notices that are wrapped: adjacent lines, none without a word, of which the inner ones hold
-together at most as many words as the template; what only runs meet stands in columns of its own. A template is a token
-set; a block meets it if it holds at least ``threshold`` of its tokens (a phrase: all, standing
-consecutively). Tokens of all templates are ordered by how many blocks hold them, rarest first:
+Blocks are runs of lines (for templates; a single line is one, too) and whole documents (for phrases).
+A run is adjacent lines, none without a word, of which the inner ones hold together at most as many
+words as the template: so a notice is found however it is wrapped. A template is a token set with a
+threshold; a block meets it if it holds at least that share of its tokens (a phrase: all, standing
+consecutively). Tokens of all templates are ordered by how many lines hold them, rarest first:
 
 * prefix filter: a block can meet a template of n tokens, of which it must hold m, only if it holds
   one of the first n - m + 1 of them; the equi-join runs on those tokens;
@@ -12,14 +12,15 @@ consecutively). Tokens of all templates are ordered by how many blocks hold them
 * positional filter: when the first shared token stands at place i of the template and j of the
   block, at most min(n - i, size - j) tokens can be shared;
 
-and the survivors' full overlaps are counted. For runs the filters look at a document's lines taken
-together, which hold all that any of its runs holds; one pass over the lines of what they leave finds
-the longest run that ends at each line. The filters only drop pairs that cannot meet the
-threshold, so the result is exact.
+and the survivors' full overlaps are counted. For runs of several lines the filters look at a
+document's lines taken together, which hold all that any of its runs holds; one pass over the lines of
+what they leave finds the longest run that ends at each line. The filters only drop pairs that cannot
+meet the threshold, so the result is exact.
 
 Defined results: null or empty texts have no words, no places and no labels, and score 0; repeated
-rows each get their answer; rows without an id get theirs too; ties in frequency are ordered by the
-token itself, which changes no result. Input columns named like an output column give way to it.
+rows each get their answer; rows without an id get theirs too; a text of any length is read whole;
+ties in frequency are ordered by the token itself, which changes no result; an empty table gives no
+row. Input columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,20 +40,32 @@ PHRASES = [
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 ]
+#: (label, notice, share of its tokens): short notices that differ from others by a word need all.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "released under the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license version 2"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-sa", "licensed under the creative commons attribution sharealike license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.8),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.8),
+    ("mit", "released under the mit license", 1.0),
+    ("apache-2", "licensed under the apache license version 2 0", 1.0),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", 0.8),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 0.8),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.8),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.8),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", 0.8),
+    ("gpl", "licensed under the gnu general public license", 1.0),
+    ("gpl-2", "the gnu general public license version 2", 1.0),
+    ("gpl-3", "the gnu general public license version 3", 1.0),
+    ("lgpl", "the gnu lesser general public license", 1.0),
+    ("agpl", "the gnu affero general public license", 1.0),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.8),
+    ("epl", "made available under the terms of the eclipse public license", 1.0),
+    ("boost", "distributed under the boost software license version 1 0", 1.0),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", 0.8),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 0.8),
+    ("cc0", "has waived all copyright and related or neighboring rights to this work", 0.8),
+    ("cc-by-nc", "licensed under cc by nc 4 0", 1.0),
+    ("cc-by-sa", "licensed under cc by sa 4 0", 1.0),
+    ("cc-by-sa", "licensed under the creative commons attribution sharealike license", 0.8),
 ]
-THRESHOLD = 0.8
 
 _GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -108,16 +121,20 @@ def _best_run(lines: Column, sizes: Column, words: Column, n: Column) -> Column:
     return F.aggregate(cells, start, step, better)
 
 
-def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document: its id and n_words, n_base, first_word, last_word, base_labels, labels, score, matches, wrapped_labels, wrapped_score, wrapped.
+def needed(notice: str, share: float) -> int:
+    """How many of a notice's tokens a block must hold."""
+    return math.ceil(round(share * len(set(notice.split())), 9))
 
-    matches: array of (label, line, containment) of the lines that meet a template; line null for a phrase.
-    wrapped: array of (label, line, last_line, containment), for each template that runs meet in a document of several
-    lines the best of them, then the first; wrapped_labels and wrapped_score are over matches and wrapped.
+
+def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str, float]] = TEMPLATES) -> DataFrame:
+    """One row for each document: its id and n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
+
+    matches: array of (label, line, last_line, containment): the lines that meet a template, and where runs of
+    several lines hold more of one the best of them, then the first; lines are null for a phrase.
     Documents are read once; only matches and a narrow row for each document are shuffled.
     """
     spark = docs.sparkSession
-    vocabulary = sorted({w for _, t in [*phrases, *templates] for w in t.split()})
+    vocabulary = sorted({w for _, t, *_ in [*phrases, *templates] for w in t.split()})
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).select("doc_id", F.xxhash64("t").alias("h"), F.coalesce(normalise(F.col("t")), F.lit("")).alias("norm"))
     # A gap beside a line feed leaves one space, which _words trims.
     by_line = F.transform(F.split("norm", "\n"), lambda l: F.array_intersect(_words(l), _strings(vocabulary)))
@@ -135,9 +152,8 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     rank_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, ranks[w])])
 
     rows, prefixes = [], []
-    for k, (label, notice, phrase) in enumerate([(a, b, True) for a, b in phrases] + [(a, b, False) for a, b in templates]):
-        tokens = sorted({ranks[w] for w in notice.split()})
-        must = len(tokens) if phrase else math.ceil(round(threshold * len(tokens), 9))
+    for k, (label, notice, share, phrase) in enumerate([(a, b, 1.0, True) for a, b in phrases] + [(a, b, c, False) for a, b, c in templates]):
+        tokens, must = sorted({ranks[w] for w in notice.split()}), needed(notice, share)
         rows.append((k, label, " ".join(notice.split()), phrase, tokens, must))
         prefixes += [(phrase, token, k, i, len(tokens), must) for i, token in enumerate(tokens[: len(tokens) - must + 1])]
     known = F.broadcast(_table(spark, rows, ["k", "label", "notice", "phrase", "tokens", "must"]))
@@ -158,28 +174,31 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     as_ranks = lambda b: F.array_sort(F.transform(b, lambda w: rank_of[w]))
     in_lines = candidates(lines.where(F.size("b") > 0).withColumn("b", as_ranks(F.col("b"))), False)
-    found = in_lines.select("doc_id", "h", "label", "line", (F.size("shared") / F.size("tokens")).alias("containment"), F.lit(None).cast("long").alias("places"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("int").alias("last_line"))
+    found = in_lines.select("doc_id", "h", "k", "label", "line", (F.size("shared") / F.size("tokens")).alias("containment"), F.lit(None).cast("long").alias("places"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.col("line").alias("last_line"))
     whole = read.where("flat is not null").select("doc_id", "h", "flat", F.array_distinct(F.flatten("lines")).alias("b"))
     by_doc = candidates(whole.withColumn("b", as_ranks(F.col("b"))), True).withColumn("parts", F.split("flat", F.concat(F.lit(" (?="), F.col("notice"), F.lit(" )")), -1)).where(F.size("parts") > 1)
-    places = by_doc.select("doc_id", "h", "label", F.lit(None).cast("int").alias("line"), F.lit(1.0).alias("containment"), (F.size("parts") - 1).cast("long").alias("places"), _spaces(F.element_at("parts", 1)).cast("long").alias("first"), (_spaces(F.col("flat")) - 1 - _spaces(F.element_at("parts", -1))).cast("long").alias("last"), F.lit(None).cast("int").alias("last_line"))
+    places = by_doc.select("doc_id", "h", "k", "label", F.lit(None).cast("int").alias("line"), F.lit(1.0).alias("containment"), (F.size("parts") - 1).cast("long").alias("places"), _spaces(F.element_at("parts", 1)).cast("long").alias("first"), (_spaces(F.col("flat")) - 1 - _spaces(F.element_at("parts", -1))).cast("long").alias("last"), F.lit(None).cast("int").alias("last_line"))
     # The filters run before a row is made for a template: rows with the lines of a whole document are wide.
     by_rank = sorted(ranks, key=ranks.get)
-    wanted = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(must).alias("must"), F.lit(len(notice.split())).alias("n"), _strings([by_rank[t] for t in tokens]).alias("words"), _strings([by_rank[t] for t in tokens[: len(tokens) - must + 1]]).alias("head")) for _, label, notice, phrase, tokens, must in rows if not phrase])
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(must).alias("must"), F.lit(len(notice.split())).alias("n"), _strings([by_rank[t] for t in tokens]).alias("words"), _strings([by_rank[t] for t in tokens[: len(tokens) - must + 1]]).alias("head")) for k, label, notice, phrase, tokens, must in rows if not phrase])
     several = read.where(F.size("lines") > 1).select("doc_id", "h", "lines", "sizes", F.explode(F.array(F.array_distinct(F.flatten("lines")))).alias("b")).where(F.size("b") >= min(r[5] for r in rows if not r[3]))
     several = several.withColumn("t", F.explode(F.filter(wanted, lambda t: (F.size("b") >= t["must"]) & F.arrays_overlap("b", t["head"]) & (F.size(F.array_intersect("b", t["words"])) >= t["must"]))))
     # The generator keeps the run from being computed once for each of its uses.
-    runs = several.select("doc_id", "h", "t.label", "t.must", "t.words", F.explode(F.array(_best_run(F.col("lines"), F.col("sizes"), F.col("t.words"), F.col("t.n")))).alias("run")).where(F.col("run.shared") >= F.col("must"))
-    runs = runs.select("doc_id", "h", "label", (-F.col("run.line")).alias("line"), (F.col("run.shared") / F.size("words")).alias("containment"), F.lit(None).cast("long").alias("places"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), (-F.col("run.last_line")).alias("last_line"))
+    runs = several.select("doc_id", "h", "t.k", "t.label", "t.must", "t.words", F.explode(F.array(_best_run(F.col("lines"), F.col("sizes"), F.col("t.words"), F.col("t.n")))).alias("run")).where(F.col("run.shared") >= F.col("must"))
+    runs = runs.select("doc_id", "h", "k", "label", (-F.col("run.line")).alias("line"), (F.col("run.shared") / F.size("words")).alias("containment"), F.lit(None).cast("long").alias("places"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), (-F.col("run.last_line")).alias("last_line"))
     # A document can be listed under repeated rows: the same block counts once.
     found = found.union(places).union(runs).distinct()
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    plain = F.col("last_line").isNull()
-    of = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), joined(F.when(F.col("places").isNotNull(), F.col("label"))).alias("base_labels"), joined(F.when(plain, F.col("label"))).alias("labels"), F.max(F.when(plain, F.col("containment"))).alias("score"), F.array_sort(F.collect_list(F.when(plain, F.struct("label", "line", "containment")))).alias("matches"),
-        joined(F.col("label")).alias("wrapped_labels"), F.max("containment").alias("wrapped_score"), F.array_sort(F.collect_list(F.when(~plain, F.struct("label", "line", "last_line", "containment")))).alias("wrapped"))
+    of = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), joined(F.when(F.col("places").isNotNull(), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("containment").alias("score"), F.array_sort(F.collect_list(F.struct("label", "line", "last_line", "containment"))).alias("matches"))
+    # Written, so that the join below knows its size, and can split the rows of a text or id that many rows share.
+    of = materialise(of, "license-matches")
     all_docs = read.select("doc_id", "h", F.aggregate("sizes", F.lit(0).cast("long"), lambda n, l: n + l).alias("n_words"))
-    return all_docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matches", F.array().cast("array<struct<label:string,line:int,containment:double>>")).alias("matches"),
-        F.coalesce("wrapped_labels", F.lit("")).alias("wrapped_labels"), F.coalesce("wrapped_score", F.lit(0.0)).alias("wrapped_score"), F.coalesce("wrapped", F.array().cast("array<struct<label:string,line:int,last_line:int,containment:double>>")).alias("wrapped"))
+    # Texts without a word, nulls among them, have no match: they are no part of the join.
+    out = all_docs.where("n_words > 0").join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").drop("_id", "_h", "h")
+    bare = all_docs.where("n_words = 0").select("doc_id", "n_words", *[F.lit(None).cast(of.schema[c].dataType).alias(c) for c in of.columns[2:]])
+    none = F.array().cast("array<struct<label:string,line:int,last_line:int,containment:double>>")
+    return out.unionByName(bare).select(
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matches", none).alias("matches"))
 
 
 def label_documents(docs: DataFrame, **options) -> DataFrame:

@@ -10,7 +10,9 @@ sentences that :func:`examples` makes.
 Base spans, which fixed patterns define, always stay: they are found in the whole text, and a
 chosen segment that overlaps one gives way to it.
 
-Defined results: null and empty texts hold nothing; repeated rows each get their answer. Input
+Defined results: null and empty texts hold nothing; a text of any length is searched whole; repeated
+rows each get their answer; of segmentations that tie the one with the earlier kind in ``STATES`` is
+taken; an empty table gives no row. Input
 columns named like an output column give way to it.
 """
 

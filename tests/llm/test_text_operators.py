@@ -196,82 +196,73 @@ def test_pii_frames(spark):
 # Licenses
 
 
-def test_licenses_are_brute_force(spark):
-    rng = random.Random(8)
-    pool = sorted({w for _, t in licenses.PHRASES + licenses.TEMPLATES for w in t.split()}) + ["the", "mit", "zu", "é"]
+def brute_license(text):
+    """(n_words, places of phrases, labels, score) from every run of lines and every word."""
+    w, lines = words(text), [words(x) for x in (text or "").split("\n")]
+    places = sorted((k, label) for label, p in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+    labels, score = {x[1] for x in places}, 1.0 if places else 0.0
+    for label, t, share in licenses.TEMPLATES:
+        tokens = set(t.split())
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if not lines[j] or sum(map(len, lines[i + 1 : j])) > len(t.split()):
+                    break
+                held = len(tokens & set(sum(lines[i : j + 1], [])))
+                if held >= share * len(tokens) - 1e-9:
+                    labels.add(label)
+                    score = max(score, held / len(tokens))
+    return len(w), places, ",".join(sorted(labels)), score
+
+
+@pytest.mark.parametrize("seed", [8, 18])
+def test_licenses_are_brute_force(spark, seed):
+    rng = random.Random(seed)
+    notices = [t.split() for _, t, *_ in licenses.PHRASES + licenses.TEMPLATES]
+    pool = sorted({w for t in notices for w in t}) + ["zu", "é", "xx"]
     texts = []
-    for _ in range(80):
+    for _ in range(90):
         parts = []
         for _ in range(rng.randint(0, 5)):
-            _, t = rng.choice(licenses.PHRASES + licenses.TEMPLATES)
-            w = t.split()
+            w = list(rng.choice(notices))
             for _ in range(rng.randint(0, 3)):
-                w[rng.randrange(len(w))] = rng.choice(pool)
-            parts.append(rng.choice((" ", ", ", "\n", " ")).join(x.upper() if rng.random() < 0.3 else x for x in w))
-        texts.append(rng.choice(("\n", ". ", " \n ")).join(parts))
-    texts += [None, "", "\n\n", "cc by nc cc by nc", "under\nthe MIT License", "cc by Kc İ", "x" * 100_000, "under the mit license " * 3000]
+                change = rng.randrange(3)
+                if change == 0:
+                    w[rng.randrange(len(w))] = rng.choice(pool)
+                elif change == 1:
+                    w.insert(rng.randrange(len(w)), rng.choice(pool))
+                elif len(w) > 1:
+                    w.pop(rng.randrange(len(w)))
+            ends = rng.choice(((" ",), (" ", " ", ", ", "\n"), (" ", "\n * ", "\r\n")))
+            parts.append("".join((x.upper() if rng.random() < 0.3 else x) + rng.choice(ends) for x in w))
+        texts.append(rng.choice(("\n", ". ", " \n ", "\n\n", "\n \n", "zu " * 9 + "\n")).join(parts))
+    texts += [None, "", "\n\n", "cc by nc cc by nc", "under\nthe MIT License", "cc by Kc İ", "x" * 100_000, "under the mit license " * 3000, "of the\n" * 2000]
     got = licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()
     for r, text in zip(got, texts, strict=True):
-        w = words(text)
-        places = sorted((k, label) for label, p in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-        labels, score = {x[1] for x in places}, 1.0 if places else 0.0
-        for line in (text or "").split("\n"):
-            for label, t in licenses.TEMPLATES:
-                tokens = set(t.split())
-                share = len(tokens & set(words(line))) / len(tokens)
-                if share >= licenses.THRESHOLD:
-                    labels.add(label)
-                    score = max(score, share)
-        assert r["n_words"] == len(w)
-        assert (r["n_base"], r["first_word"], r["last_word"]) == (len(places), places[0][0] if places else None, places[-1][0] if places else None)
-        assert r["base_labels"] == ",".join(sorted({x[1] for x in places})) and r["labels"] == ",".join(sorted(labels))
+        n, places, labels, score = brute_license(text)
+        assert (r["n_words"], r["labels"], r["n_base"]) == (n, labels, len(places)), text
+        assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x[1] for x in places}))
         assert r["score"] == pytest.approx(score)
+        assert {m["label"] for m in r["matches"]} == set(labels.split(",")) - {""}
 
 
 WRAPPED = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
     "bsd": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions are met:\r\n *",
-    "gpl-2": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or",
+    "gpl": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or",
     "mpl-2": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this",
+    "isc": "// Permission to use, copy, modify, and/or distribute this software for any\n// purpose with or without fee is hereby granted, provided that",
 }
 
 
 def test_wrapped_notices(spark):
     parted = WRAPPED["mit"].replace("\n", "\n\n")
     far = "Released under\n" + "x " * 6 + "\nthe MIT License"
-    texts = [f"x\n\nint main\n{t}\n\ny" for t in WRAPPED.values()] + [parted, far, "Released\nunder\nthe\nMIT\nLicence", "Released under\nthe MIT Licence\nnone", "a\n\nb"]
-    got = licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()
-    assert [r["labels"] for r in got] == [""] * len(texts)
-    assert [r["wrapped_labels"] for r in got] == [*WRAPPED, "", "", "mit", "mit", ""]
-    assert all(r["wrapped_score"] >= 0.8 for r in got[:4]) and got[0]["wrapped_score"] == got[1]["wrapped_score"] == 1
-    assert [(w["line"], w["last_line"]) for w in got[0]["wrapped"]] == [(3, 4)] and [(w["line"], w["last_line"]) for w in got[7]["wrapped"]] == [(0, 1)]
-
-
-def test_runs_of_lines_are_brute_force(spark):
-    rng = random.Random(18)
-    pool = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + ["zu", "é", "xx"]
-    texts = []
-    for _ in range(60):
-        parts = []
-        for _ in range(rng.randint(1, 4)):
-            w = rng.choice(licenses.TEMPLATES)[1].split()
-            for _ in range(rng.randint(0, 3)):
-                w.insert(rng.randrange(len(w)), rng.choice(pool)) if rng.random() < 0.5 else w.pop(rng.randrange(len(w)))
-            parts.append("".join(x + rng.choice((" ", " ", ", ", "\n", "\n * ")) for x in w))
-        texts.append(rng.choice(("\n", "\n\n", "\n \n", "zu " * 9 + "\n")).join(parts))
+    texts = [f"x\n\nint main\n{t}\n\ny" for t in WRAPPED.values()] + [parted, far, "Released\nunder\nthe\nMIT\nLicense", "Released under\nthe MIT License\nnone", "a\n\nb", "licensed under\nCC BY-NC 4.0"]
     got = licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()
-    for r, text in zip(got, texts, strict=True):
-        lines, labels, score = [words(x) for x in text.split("\n")], set(r["labels"].split(",")) - {""}, r["score"]
-        for label, t in licenses.TEMPLATES:
-            for i in range(len(lines)):
-                for j in range(i, len(lines)):
-                    if not all(lines[i : j + 1]) or sum(map(len, lines[i + 1 : j])) > len(t.split()):
-                        break
-                    share = len(set(t.split()) & set(sum(lines[i : j + 1], []))) / len(set(t.split()))
-                    if share >= licenses.THRESHOLD:
-                        labels.add(label)
-                        score = max(score, share)
-        assert r["wrapped_labels"] == ",".join(sorted(labels)) and r["wrapped_score"] == pytest.approx(score)
+    assert [r["labels"] for r in got] == ["mit", "bsd", "gpl,gpl-2", "mpl-2", "isc", "", "", "mit", "mit", "", "cc-by-nc"]
+    assert all(r["score"] >= 0.8 for r in got[:5]) and got[0]["score"] == got[1]["score"] == 1
+    assert [(w["line"], w["last_line"]) for w in got[0]["matches"]] == [(3, 4)] and [(w["line"], w["last_line"]) for w in got[8]["matches"] if w["line"] is not None] == [(0, 1)]
 
 
 def test_license_rows(spark):
