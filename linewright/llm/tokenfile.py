@@ -175,8 +175,9 @@ class Writer:
         self.at += len(raw)
         self.n_ids += n_tokens
 
-    def full(self) -> bool:
-        return self.at >= FILE_BYTES or len(self.table) >= FILE_DOCS * _ROW.size
+    def holds(self, n_bytes: int, n_docs: int) -> bool:
+        """Whether it has as much as either."""
+        return self.at >= n_bytes or len(self.table) >= n_docs * _ROW.size
 
     def close(self) -> tuple[int, int]:
         raw, n = zstandard.ZstdCompressor(level=3, write_checksum=True).compress(bytes(self.table)), len(self.table) // _ROW.size
@@ -273,7 +274,7 @@ def encode_frames(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", te
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, frame binary, mark long, part int")
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> list[tuple[str, int, int]]:
+def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, *, file_bytes: int = FILE_BYTES, file_docs: int = FILE_DOCS, range_bytes: int = RANGE_BYTES, **options) -> list[tuple[str, int, int]]:
     """Writes the ids of ``docs`` in ascending doc_id order; returns (file, its documents, its ids) in that order.
 
     Only compressed frames are shuffled, by ranges of doc_id; a task writes the files of its range.
@@ -285,7 +286,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     n_bytes, n_docs, n_named = ids.agg(F.sum(F.octet_length("text")), F.count("*"), F.count("doc_id")).first()
     if not n_docs:
         return []
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n_bytes or 0) // RANGE_BYTES + 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n_bytes or 0) // range_bytes + 1)
     # Bounds from the id column alone: the texts are not read for them.
     cuts = sorted(ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], max(1000, 10 * n)).alias("q")).first()["q"] or [])
     unnamed = -(-(n_docs - n_named) * n // n_docs)
@@ -295,7 +296,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         done = lambda: pa.RecordBatch.from_pylist([dict(zip(("file", "n_docs", "n_ids"), (name, *out.close()), strict=True))])
         for batch in batches:
             for key, doc, n_tokens, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "frame")), strict=True):
-                if out is None or key != at[0] or out.full():
+                if out is None or key != at[0] or out.holds(file_bytes, file_docs):
                     if out is not None:
                         yield done()
                     at = (key, at[1] + 1 if key == at[0] else 0)

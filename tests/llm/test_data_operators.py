@@ -192,23 +192,34 @@ def test_nearest_is_brute_force(spark, monkeypatch):
 # Token files
 
 
+ALPHABET = ["a", "B", "'s", "'ll", "'", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "é", "É", "́", "̱", "H", "日", "🙂", "Σ", ".", ",", "a.", "1", "<|endoftext|>", "<|EndOfText|>", "İ", "ß"]
+
+
+def token_rows(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def read_back(spark, files):
+    return sorted((tuple(r) for r in tokenfile.read_token_files(spark, files).collect()), key=lambda r: r[1])
+
+
 def test_token_files_round_trip(spark):
-    library, rng = Tokenizer.from_file(WORD_BPE), random.Random(1)
-    alphabet = ["a", "B", "'s", "'ll", "'", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "é", "É", "́", "日", "🙂", "Σ", ".", ",", "a.", "1", "<|endoftext|>", "<|EndOfText|>", "İ", "ß"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(600)] + [None, "", "long " * 30_000, "x" * 50_000]
+    library = Tokenizer.from_file(WORD_BPE)
+    texts = [*token_rows(1, 600), None, "", "long " * 30_000, "x" * 50_000]
     rows = [(k * 7 % 1000 - 300, t) for k, t in enumerate(texts)]
     docs = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
     path = scratch_path(spark, "tokens-test")
     files = tokenfile.write_token_files(docs, WORD_BPE, path)
-    ids = {k: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in rows}
+    ids = {k: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in [*rows, (None, "no id")]}
     want, start = [], 0
-    for k in sorted(ids):
+    for k in [*sorted(k for k, _ in rows), None]:
         want.append((k, start, len(ids[k]), zlib.crc32(ids[k].tobytes())))
         start += len(ids[k])
-    assert [tuple(r) for r in tokenfile.read_token_files(spark, files).orderBy("doc_id").collect()] == want
-    assert sum(n for _, n, _ in files) == len(rows) and sum(n for _, _, n in files) == start
+    assert read_back(spark, files) == want
+    assert sum(n for _, n, _ in files) == len(want) and sum(n for _, _, n in files) == start
     found = 0
-    for name, _, _ in files:
+    for name, _, _ in files[:-1]:
         reader = tokenfile.Reader(name)
         for k in reader.table["doc_id"][:5].tolist():
             assert reader.ids(k).tolist() == ids[k].tolist()
@@ -216,6 +227,8 @@ def test_token_files_round_trip(spark):
     assert found
     with pytest.raises(KeyError):
         reader.ids(10**9)
+    with pytest.raises(KeyError):
+        tokenfile.Reader(files[-1][0]).ids(0)
     local = tokenfile.open_fs(name)[1]
     raw = bytearray(open(local, "rb").read())
     raw[int(reader.table["offset"][-1]) + 3] ^= 1
@@ -228,14 +241,40 @@ def test_token_files_round_trip(spark):
         tokenfile.Reader(name)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_gives_its_own_ids(name):
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), tokenfile.ChunkEncoder(path)
+    assert own.whole is (name != "word_bpe_49k.json")
+    texts = ["Hello  World", "a  b", *(a + b for a in "HJTWYÅ" for b in "\u0331\u030c\u0308\u030a\u0327"), *token_rows(5, 800)]
+    ids, starts = own(pa.array(texts), 1)
+    for text, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_ranges_and_files_are_bounded(spark):
+    """A repeated id goes over several ranges, a full file is followed by another, and the order stays."""
+    rows = [(5, f"word {k}") for k in range(90)] + [(k, "a b c") for k in range(40)] + [(None, f"none {k}") for k in range(60)]
+    files = tokenfile.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORD_BPE, file_docs=7, range_bytes=300)
+    assert len(files) >= len(rows) / 7 and max(n for _, n, _ in files) <= 7
+    got = read_back(spark, files)
+    assert [r[0] for r in got] == [*sorted(k for k, _ in rows if k is not None), *[None] * 60]
+    library = Tokenizer.from_file(WORD_BPE)
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert sorted((r[0] is None, r[0] or 0, r[3]) for r in got) == sorted((k is None, k or 0, crc(t)) for k, t in rows)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+    ids, marks = pa.array([1, 5, 5, 5, 9, None, None]), np.array([0, 0, 1 << 31, (1 << 32) - 1, 5, 0, (1 << 32) - 1])
+    assert tokenfile.range_of(ids, marks, np.array([5, 5, 7]), 2).tolist() == [0, 0, 1, 1, 3, 4, 5]
+
+
 def test_token_file_edges(spark):
     empty = frame(spark, [])
     assert tokenfile.read_token_files(spark, tokenfile.write_token_files(empty, WORD_BPE)).count() == 0
     twice = spark.createDataFrame([(5, "a"), (5, "a"), (4, None)], "doc_id long, text string")
     got = tokenfile.read_token_files(spark, tokenfile.write_token_files(twice, WORD_BPE)).orderBy("start").collect()
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(4, 0, 1), (5, 1, 2), (5, 3, 2)]
-    whole = tokenfile.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), whole=True)
-    assert whole(pa.array(["a  b"]), 1)[0].tolist() == [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("a  b").ids, 1]
+    unnamed = spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string")
+    assert [r[:3] for r in read_back(spark, tokenfile.write_token_files(unnamed, WORD_BPE))] == [(None, 0, 2), (None, 2, 2)]
     wide = np.array([70_000, 2], np.uint32)
     assert tokenfile.unframe(tokenfile.frame(wide, tokenfile.zstandard.ZstdCompressor()), 2).tolist() == [70_000, 2]
 
