@@ -90,3 +90,13 @@ def uniformly_cased_col(name: Column) -> Column:
 
 def capital_case_col(name: Column) -> Column:
     return F.when(F.contains(name, F.lit("@")) | uniformly_cased_col(name), name).otherwise(F.array_join(F.transform(words_col(name), _capital), " "))
+
+
+def normalize_names_col(names: Column) -> Column:
+    """:func:`normalize_column_names` of an array column."""
+
+    def add(out: Column, name: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(out) + 1), lambda k: F.when(k == 1, name).otherwise(F.concat(name, F.lit("_"), k.cast("string"))))
+        return F.concat(out, F.slice(F.filter(tries, lambda t: ~F.array_contains(out, t)), F.lit(1), F.lit(1)))
+
+    return F.aggregate(F.transform(names, snake_case_col), F.array().cast("array<string>"), add)

@@ -28,24 +28,35 @@ VISIBLE = {"\n": "␤", "\r": "␍", ",": "-", "\t": "␉", " ": "␠", '"': '"'
 Delimiter = str | int | bytes | Iterable[int]
 
 
-def parse_delimiter(delimiter: Delimiter = "\n") -> str:
-    """The delimiter as text. Numbers are single bytes; byte sequences must be UTF-8.
+def delimiter_bytes(delimiter: Delimiter = "\n", encoding: str = "utf-8") -> bytes:
+    """The delimiter as bytes: any sequence of them. Numbers are single bytes; text is encoded.
 
     An empty delimiter would never advance and is refused, as are numbers that are no byte.
     """
     if isinstance(delimiter, str):
-        text = delimiter
+        raw = delimiter.encode(encoding)
     elif isinstance(delimiter, int):
         if not 0 <= delimiter <= 255:
             raise ValueError(f"a numeric delimiter is one byte, not {delimiter}")
-        text = bytes([delimiter]).decode("utf-8")
+        raw = bytes([delimiter])
     elif isinstance(delimiter, (bytes, bytearray)) or (isinstance(delimiter, Iterable) and not isinstance(delimiter, memoryview)):
-        text = bytes(delimiter).decode("utf-8")
+        raw = bytes(delimiter)
     else:
         raise TypeError(f"no delimiter: {type(delimiter).__name__}")
-    if not text:
+    if not raw:
         raise ValueError("the delimiter is empty")
-    return text
+    return raw
+
+
+def parse_delimiter(delimiter: Delimiter = "\n") -> str:
+    """The delimiter as text, for columns of text. Bytes that are no UTF-8 are in no text: they part files and BINARY columns."""
+    if isinstance(delimiter, str) and delimiter:
+        return delimiter
+    raw = delimiter_bytes(delimiter)
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        raise ValueError(f"{raw!r} is no UTF-8: it can part files and BINARY columns, not text") from None
 
 
 def pattern(delimiter: str) -> str:

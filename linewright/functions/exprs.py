@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from linewright.functions.delimiters import VISIBLE, pattern
 
 QUOTE = '"'
-#: Stand-ins for a delimiter outside quotes; the first one that a value does not hold is used.
-_STAND_INS = ("\x01", "\x02\x01", "\x01")
 
 
 def let(value: Column, body) -> Column:
@@ -23,19 +21,20 @@ def split_plain(value: Column, delimiter: str) -> Column:
 
 
 def split_quoted(value: Column, delimiter: str) -> Column:
-    """Parts at delimiters outside quotes; every quote toggles, an unclosed one holds the rest."""
+    """Parts at delimiters outside quotes; every quote toggles, an unclosed one holds the rest.
+
+    Each delimiter outside quotes becomes a mark of two characters, an escape and a sign. An escape that
+    the value itself holds is first followed by another sign, so marks are never mistaken, whatever the value.
+    """
     if QUOTE in delimiter:
         raise ValueError("a delimiter that holds a quote cannot be quoted")
-
-    def by(mark: str) -> Column:
-        outside = F.transform(F.split(value, QUOTE, -1), lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit(delimiter), F.lit(mark))).otherwise(s))
-        return F.split(F.array_join(outside, QUOTE), pattern(mark), -1)
-
-    out = F.raise_error(F.lit("a value holds all the stand-ins for a delimiter")).cast("array<string>")
-    for mark in reversed(_STAND_INS):
-        out = F.when(~F.contains(value, F.lit(mark)), by(mark)).otherwise(out)
+    escape, sign, other = [c for c in map(chr, (*range(1, 32), *range(0xE000, 0xF900))) if c not in delimiter][:3]
+    mark, own = escape + sign, escape + other
+    escaped = F.replace(value, F.lit(escape), F.lit(own))
+    outside = F.transform(F.split(escaped, QUOTE, -1), lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit(delimiter), F.lit(mark))).otherwise(s))
+    parts = F.transform(F.split(F.array_join(outside, QUOTE), pattern(mark), -1), lambda p: F.replace(p, F.lit(own), F.lit(escape)))
     # Values without a quote need no toggling.
-    return F.when(value.isNull(), F.lit(None)).when(~F.contains(value, F.lit(QUOTE)), split_plain(value, delimiter)).otherwise(out)
+    return F.when(value.isNull(), F.lit(None)).when(~F.contains(value, F.lit(QUOTE)), split_plain(value, delimiter)).otherwise(parts)
 
 
 def split(value: Column, delimiter: str, quotes: bool = False) -> Column:
@@ -78,38 +77,44 @@ def search(value: Column, needle: str, start: int = 0, end: int | None = None) -
     return (F.locate(needle, inside, start + 1) - 1).cast("long")
 
 
-#: Parts up to which offsets are summed part by part (quadratic, but short); beyond, characters are numbered.
-_FEW = 256
+#: Lengths that are summed into one of the next level, and levels: enough for every delimiter of a value of 2 GB.
+_GROUP, _LEVELS = 16, 8
 
 
-def _ends(value: Column, delimiter: str, length) -> Column:
-    """Where every part of ``value`` ends, in units of ``length``; the last end is the whole length.
+def running_sums(lengths: Column) -> Column:
+    """For each of ``lengths`` the sum of those before it.
 
-    Many parts: with the delimiter replaced by one character that the value does not hold, the k-th
-    delimiter stands at its number in the array of characters plus k times what the replacing saved.
+    Sums of groups, of groups of groups and so on stand in arrays of their own, so each answer adds a few
+    numbers of every level, however many there are.
     """
-    gap = len(delimiter)
-    parts = split_plain(value, delimiter)
 
-    def few(ps: Column) -> Column:
-        return F.transform(ps, lambda _, i: F.aggregate(F.slice(ps, F.lit(1), i + 1), F.lit(0), lambda n, p: n + length(p)) + i * gap)
+    def group_sums(level: Column) -> Column:
+        groups = F.floor((F.size(level) - 1) / _GROUP).cast("int")
+        each = F.transform(F.sequence(F.lit(0), F.greatest(groups, F.lit(0))), lambda j: F.aggregate(F.slice(level, j * _GROUP + 1, F.lit(_GROUP)), F.lit(0).cast("long"), lambda n, x: n + x))
+        return F.when(F.size(level) > 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    def before(level: Column, k: int) -> Column:
+        """The running sums of a level, from those of the level above."""
+
+        def within(above: Column | None) -> Column:
+            def one(_: Column, i: Column) -> Column:
+                own = F.aggregate(F.slice(level, i - i % _GROUP + 1, i % _GROUP), F.lit(0).cast("long"), lambda n, x: n + x)
+                return own if above is None else own + F.get(above, F.floor(i / _GROUP).cast("int"))
+
+            return F.transform(level, one)
+
+        return within(None) if k == _LEVELS else let(let(group_sums(level), lambda up: before(up, k + 1)), within)
+
+    return let(F.transform(lengths, lambda x: x.cast("long")), lambda level: before(level, 1))
 
-    def numbered(mark: str) -> Column:
-        chars = F.split(F.replace(value, F.lit(delimiter), F.lit(mark)) if mark != delimiter else value, "")
-        places = F.filter(F.transform(chars, lambda c, i: F.when(c == mark, i)), lambda i: i.isNotNull())
-        return F.concat(F.transform(places, lambda j, k: j + k * (gap - 1)), F.array(length(value)))
 
-    if gap == 1:
-        many = numbered(delimiter)
-    else:
-        many = F.raise_error(F.lit("a value holds all the stand-ins for a delimiter")).cast("array<int>")
-        for mark in reversed(_PRIVATE):
-            many = F.when(~F.contains(value, F.lit(mark)), numbered(mark)).otherwise(many)
-    return let(parts, lambda ps: F.when(F.size(ps) <= _FEW, few(ps)).otherwise(many))
+def _ends(parts: Column, length, gap: int) -> Column:
+    """Where each of ``parts`` ends, in units of ``length``, when ``gap`` units stand between them."""
 
+    def ends(ps: Column) -> Column:
+        return let(running_sums(F.transform(ps, lambda p: length(p) + gap)), lambda sums: F.transform(ps, lambda p, i: F.get(sums, i) + length(p)))
 
-#: Single characters that stand in for a longer delimiter.
-_PRIVATE = ("\x01", "\x02", "\x03")
+    return let(parts, ends)
 
 
 def _ranges(ends: Column, gap: int) -> Column:
@@ -121,10 +126,8 @@ def _ranges(ends: Column, gap: int) -> Column:
 
 def byte_ranges(value: Column, delimiter: str) -> Column:
     """Every range between delimiters as (start, end) in bytes of the UTF-8 text."""
-    # As Latin-1 every byte is a character.
-    raw = F.decode(value.cast("binary"), "ISO-8859-1")
-    needle = delimiter.encode().decode("latin-1")
-    return _ranges(_ends(raw, needle, F.length), len(needle))
+    gap = len(delimiter.encode())
+    return _ranges(_ends(split_plain(value, delimiter), F.octet_length, gap), gap)
 
 
 def search_matches(value: Column, delimiter: str, quote: str = QUOTE) -> Column:
@@ -134,7 +137,7 @@ def search_matches(value: Column, delimiter: str, quote: str = QUOTE) -> Column:
     """
 
     def offsets(needle: str, pattern_id: int) -> Column:
-        matches = let(_ends(value, needle, F.length), lambda es: F.slice(es, F.lit(1), F.size(es) - 1))
+        matches = let(_ends(split_plain(value, needle), F.length, len(needle)), lambda es: F.slice(es, F.lit(1), F.size(es) - 1))
         return F.transform(matches, lambda e: F.struct(e.cast("long").alias("offset"), F.lit(pattern_id).alias("pattern_id")))
 
     return F.array_sort(F.concat(offsets(delimiter, 0), offsets(quote, 1)))
@@ -145,5 +148,5 @@ def search_all(value: Column, delimiter: str, limit: int | None = None) -> Colum
 
     ``limit`` keeps the first ranges only.
     """
-    ranges = _ranges(_ends(value, delimiter, F.length), len(delimiter))
+    ranges = _ranges(_ends(split_plain(value, delimiter), F.length, len(delimiter)), len(delimiter))
     return ranges if limit is None else F.slice(ranges, F.lit(1), F.lit(limit))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewright.functions import exprs
-from linewright.functions.delimiters import Delimiter, parse_delimiter
+from linewright.functions.delimiters import Delimiter, delimiter_bytes, parse_delimiter
 
 
 def records(value: Column, delimiter: Delimiter = "\n", *, skip_empty: bool = True, drop: int = 0, take: int | None = None, crlf: bool = False, quotes: bool = False, position: int = 0) -> Column:
@@ -31,9 +32,18 @@ def records(value: Column, delimiter: Delimiter = "\n", *, skip_empty: bool = Tr
 
 
 def split_records(df: DataFrame, column: str, delimiter: Delimiter = "\n", *, pos: str = "pos", value: str = "value", **options) -> DataFrame:
-    """A row for each record, its number in ``pos`` (among the emitted ones, from 0), its text in ``value``."""
+    """A row for each record, its number in ``pos`` (among the emitted ones, from 0), its text in ``value``.
+
+    Of a BINARY column the records are BINARY, too, and the delimiter may be any bytes.
+    """
     others = [c for c in df.columns if c not in (column, pos, value)]
-    return df.select(*others, F.posexplode(records(F.col(column), delimiter, **options)).alias(pos, value)).withColumn(pos, F.col(pos).cast("long"))
+    if isinstance(df.schema[column].dataType, T.BinaryType):
+        # As Latin-1 every byte is a character.
+        parts = records(F.decode(F.col(column), "ISO-8859-1"), delimiter_bytes(delimiter).decode("latin-1"), **options)
+        parts = F.transform(parts, lambda p: F.encode(p, "ISO-8859-1"))
+    else:
+        parts = records(F.col(column), delimiter, **options)
+    return df.select(*others, F.posexplode(parts).alias(pos, value)).withColumn(pos, F.col(pos).cast("long"))
 
 
 def byte_ranges(df: DataFrame, column: str, delimiter: Delimiter = "\n") -> DataFrame:
