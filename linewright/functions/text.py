@@ -11,7 +11,8 @@ from linewright.functions.exprs import strip_bom
 def decode(value: Column, encoding: str = "utf-8", fatal: bool = False, ignore_bom: bool = False) -> Column:
     """BINARY (or STRING with raw bytes) to text: malformed UTF-8 becomes U+FFFD, or an error with ``fatal``.
 
-    A byte order mark at the start of the slice goes unless ``ignore_bom``.
+    A byte order mark at the start of the slice goes unless ``ignore_bom``. In other encodings malformed bytes
+    are an error in any case: Spark's decoder has no replacement for them.
     """
     if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
         raw = value.cast("string")

@@ -42,15 +42,22 @@ def physical(spark: SparkSession, path: str, delimiter: bytes, reader=None) -> D
     if reader is None:
         read = spark.read.options(**options).text(path)
     else:
-        plan = reader.read().options(options).text(path).queryExecution().logical()
+        plan = reader.read().options(options).text(path).queryExecution().analyzed()
         read = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
     return read.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_size"), F.col("value").alias("raw"))
 
 
-def _settled(spark: SparkSession):
+def _settled(spark: SparkSession, delimiter: bytes):
     """A copy of the JVM's session in which files are split as they would be now: neither settings that change
-    later nor executors that come and go part the survey from the reading."""
+    later nor executors that come and go part the survey from the reading.
+
+    Files whose delimiter can overlap itself are not split: from the middle of a run of them the reader could not
+    tell where one ends.
+    """
     own = spark._jsparkSession.cloneSession()
+    if any(delimiter[:k] == delimiter[-k:] for k in range(1, len(delimiter))):
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            own.conf().set(f"spark.sql.files.{name}", str(1 << 42))
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         own.conf().set("spark.sql.files.minPartitionNum", str(spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism))
     return own
@@ -82,15 +89,15 @@ def _survey(rows: DataFrame, delimiter: bytes, quotes: bool, skip_empty: bool, c
 class Splits:
     """The splits of the files at ``path``, surveyed and written.
 
-    ``files``: _file, _n (rows), _ended (whether with the delimiter), _open (whether in quotes), _last (the last
-    line), _bom, _head (the first row). ``table``: of each split _file, _block, _inside (whether it begins in quotes),
+    ``files``: _file, _n (rows), _ended (whether with the delimiter), _open (whether in quotes), _lone (whether a last
+    record is a carriage return alone that _n leaves out), _bom, _head (the first row). ``table``: of each split _file, _block, _inside (whether it begins in quotes),
     _crosses (whether it begins or ends in them), _base (rows before it), _id (of its first emitted record), _width,
     and of its file _end (the place of a last row that no delimiter ends, or -1) and _hold (whether that row then
     holds the delimiter behind it).
     """
 
     def __init__(self, spark: SparkSession, path: str, delimiter: bytes, *, quotes: bool, skip_empty: bool, crlf: bool, comma: str | None = None):
-        self.spark, self.path, self.delimiter, self.reader = spark, path, delimiter, _settled(spark)
+        self.spark, self.path, self.delimiter, self.reader = spark, path, delimiter, _settled(spark, delimiter)
         self.quotes, self.skip_empty, self.crlf, n = quotes, skip_empty, crlf, len(delimiter)
         if quotes:
             ship_package(spark)
@@ -108,7 +115,10 @@ class Splits:
         # What was read more than there is: a delimiter behind the last record; a byte order mark is not read.
         packed, more = F.col("_file").rlike(_COMPRESSED), F.col("_more")
         self.files = files.select("_file", "_n", (packed | more.isin(0, -3)).alias("_ended"), (~packed & more.isin(-3, n - 3) & ~more.isin(0, n)).alias("_bom"), "_open", "_last", F.col("_h._head").alias("_head"))
-        odd = self.files.select("_file", F.when(~F.col("_ended") | F.col("_open"), F.col("_n") - 1).otherwise(-1).alias("_end"), (F.col("_ended") & F.col("_open")).alias("_hold"))
+        # With empty records left out, a carriage return alone at the end is a row that no split counts.
+        alone = (F.col("_last") == F.lit(b"\r")) & ~F.col("_ended") & ~F.col("_open")
+        self.files = self.files.withColumn("_lone", alone if skip_empty and crlf else F.lit(False))
+        odd = self.files.select("_file", F.when((~F.col("_ended") | F.col("_open")) & ~F.col("_lone"), F.col("_n") - 1).otherwise(-1).alias("_end"), (F.col("_ended") & F.col("_open")).alias("_hold"))
         self.table = materialise(own.join(odd, "_file").select("_file", "_block", "_inside", "_crosses", "_base", "_id", "_width", "_end", "_hold"), "splits")
         count, self.crossing = self.table.agg(F.count("*"), F.count_if("_crosses")).first()
         self.small = count <= BROADCAST_SPLITS
@@ -148,8 +158,7 @@ class Splits:
         rows = (self._rows() if self.quotes else self._lines()).select("_file", "_pos", value.alias("value"))
         at = lambda df, pos, text: df.select("_file", pos.cast("long").alias("_pos"), F.lit(text).alias("value"))
         if self.skip_empty and self.crlf:
-            lone = self.files.where((F.col("_last") == F.lit(b"\r")) & ~F.col("_ended") & ~F.col("_open"))
-            rows = rows.unionAll(at(lone, F.col("_n"), "\r"))
+            rows = rows.unionAll(at(self.files.where("_lone"), F.col("_n"), "\r"))
         if not self.skip_empty:
             rows = rows.unionAll(at(self.files.where("_ended and not _open"), F.col("_n"), ""))
             rows = rows.unionAll(at(_listed(self.spark, self.path).join(self.files, "_file", "left_anti"), F.lit(0), ""))
@@ -162,14 +171,22 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "_f string").select(F.regexp_replace("_f", "^file:/+", "file:/").alias("_file"))
 
 
-def _decoded(value: Column, encoding: str | None, fatal: bool, ignore_bom: bool) -> Column:
-    return value if encoding is None else text.decode(value.cast("binary"), encoding, fatal, ignore_bom)
+def _plain(encoding: str | None) -> bool:
+    """Whether carriage returns and quotes are the bytes that they are in ASCII."""
+    return encoding is None or codecs.encode('\r"', encoding) == b'\r"'
+
+
+def _decoded(value: Column, encoding: str | None, fatal: bool, ignore_bom: bool, crlf: bool) -> Column:
+    if encoding is None:
+        return value
+    out = text.decode(value.cast("binary"), encoding, fatal, ignore_bom)
+    return exprs.trim_return(out) if crlf and not _plain(encoding) else out
 
 
 def _check_quotes(delimiter: bytes, encoding: str | None) -> None:
     if b'"' in delimiter:
         raise ValueError("a delimiter that holds a quote cannot be quoted")
-    if encoding is not None and codecs.encode('"', encoding) != b'"':
+    if not _plain(encoding):
         raise ValueError(f"quotes are not one byte in {encoding}")
 
 
@@ -188,18 +205,19 @@ def read_delimited(spark: SparkSession, path: str, delimiter: Delimiter = "\n",
     ``drop`` and ``take`` count emitted records of each file, as does ``_pos``. With ``quotes`` a delimiter inside
     quotes ends nothing; an open quote holds the rest of its file. The delimiter may be any bytes. ``encoding``
     decodes every record (malformed UTF-8 becomes U+FFFD, or an error with ``fatal``; a byte order mark at its start
-    goes, unless ``ignore_bom``); without it records have the bytes of the file.
+    goes, unless ``ignore_bom``); without it records have the bytes of the file. In encodings in which a carriage
+    return is no single byte, such as UTF-16, one that ends a record goes after decoding and counts as its content.
     """
     d = delimiter_bytes(delimiter, encoding or "utf-8")
     if quotes:
         _check_quotes(d, encoding)
-    splits = Splits(spark, path, d, quotes=quotes, skip_empty=skip_empty, crlf=crlf)
+    splits = Splits(spark, path, d, quotes=quotes, skip_empty=skip_empty, crlf=crlf and _plain(encoding))
     rows = splits.records()
     if encoding is not None and ignore_bom:
         # Spark's reader takes the mark off a file's first record.
         marked = splits.files.where("_bom").select(F.col("_file").alias("_m"))
         rows = rows.join(marked, (F.col("_file") == F.col("_m")) & (F.col("_pos") == 0), "left").withColumn("value", F.when(F.col("_m").isNotNull(), F.concat(F.lit(codecs.BOM_UTF8).cast("string"), F.col("value"))).otherwise(F.col("value"))).drop("_m")
-    rows = rows.withColumn("value", _decoded(F.col("value"), encoding, fatal, ignore_bom))
+    rows = rows.withColumn("value", _decoded(F.col("value"), encoding, fatal, ignore_bom, crlf))
     return _cut(rows, drop, take)
 
 
@@ -217,9 +235,9 @@ def read_csv(spark: SparkSession, path: str, *, header: bool = True, mode: str =
     d, comma = delimiter_bytes(delimiter, encoding or "utf-8"), parse_delimiter(column_delimiter)
     if quotes:
         _check_quotes(d, encoding)
-    splits = Splits(spark, path, d, quotes=quotes, skip_empty=skip_empty, crlf=crlf, comma=comma if mode == "object" and ragged == "columns" else None)
+    splits = Splits(spark, path, d, quotes=quotes, skip_empty=skip_empty, crlf=crlf and _plain(encoding), comma=comma if mode == "object" and ragged == "columns" else None)
     rows = splits.records()
-    value = _decoded(F.col("value"), encoding, fatal, ignore_bom)
+    value = _decoded(F.col("value"), encoding, fatal, ignore_bom, crlf)
     shape = {"mode": mode, "delimiter": column_delimiter, "quotes": quotes, "normalize_keys": normalize_keys, "ragged": ragged} | options
     cells = lambda v: exprs.split_columns(v, comma, quotes)
     widest = splits.table.groupBy("_file").agg(F.max("_width").alias("_w"))

@@ -21,23 +21,123 @@ def values(df):
     return [r["value"] for r in df.orderBy("_file", "_pos").collect()]
 
 
-def test_many_splits_keep_order(spark, tmp_path):
-    path = write(tmp_path / "rows.txt", "".join(f"row-{i}\n" for i in range(5000)))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        df = files.read_delimited(spark, path)
-        assert values(df) == [f"row-{i}" for i in range(5000)]
-        assert [r["_pos"] for r in df.orderBy("_pos").collect()] == list(range(5000))
-        assert values(files.read_delimited(spark, path, drop=2, take=3)) == ["row-2", "row-3", "row-4"]
-        rng = random.Random(5)
-        cells = ["".join(rng.choice('ab\n,""') for _ in range(rng.randint(0, 30))) for _ in range(900)]
-        quoted = write(tmp_path / "quoted.csv", "".join(f'{k},"{c.replace(chr(34), chr(34) * 2)}"\n' for k, c in enumerate(cells)))
-        got = files.read_csv(spark, quoted, header=False, quotes=True, mode="array").orderBy("_pos").collect()
-        assert [r["row"] for r in got] == [[str(k), c] for k, c in enumerate(cells)]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+@pytest.fixture
+def tiny_splits(spark):
+    """Splits of a few bytes, several to a task."""
+    names = {"spark.sql.files.maxPartitionBytes": "48", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "12"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def brute(data, delimiter, quotes, crlf, skip_empty):
+    """The records of a file's bytes, one byte after the other."""
+    parts, inside, at = [b""], False, 0
+    while at < len(data):
+        if not inside and data.startswith(delimiter, at):
+            parts.append(b"")
+            at += len(delimiter)
+            continue
+        inside ^= quotes and data[at] == 34
+        parts[-1] += data[at : at + 1]
+        at += 1
+    if crlf:
+        parts = [x[:-1] if x.endswith(b"\r") else x for x in parts[:-1]] + parts[-1:]
+    return [x for x in parts if x or not skip_empty]
+
+
+@pytest.mark.parametrize(("delimiter", "quotes"), [(b"\n", False), (b"\x9f\x80", False), (b"||", False), (b"\n", True), (b"\xff", True), (b"\r\n", True)])
+def test_files_are_read_as_byte_by_byte(spark, tmp_path, tiny_splits, quotes, delimiter):
+    rng = random.Random(f"{quotes}{delimiter}")
+    tokens = [b"a", b"long words here", b",", b"\r", delimiter, delimiter, delimiter + delimiter, "é".encode()] + [b'"', b'"x"'] * quotes
+    contents = {f"f{k}.txt": b"".join(rng.choice(tokens) for _ in range(n)) for k, n in enumerate((1, 3, 9, 20, 40, 60))} | {"none": b"", "ends.txt": b"x\r" + delimiter + b"\r"}
+    for name, data in contents.items():
+        write(tmp_path / name, data)
+    for crlf, skip_empty in ((False, True), (True, True), (False, False), (True, False)):
+        rows = files.read_delimited(spark, str(tmp_path), delimiter, quotes=quotes, crlf=crlf, skip_empty=skip_empty)
+        got = {}
+        for r in rows.select("_file", "_pos", F.col("value").cast("binary").alias("value")).orderBy("_file", "_pos").collect():
+            own = got.setdefault(os.path.basename(r["_file"]), [])
+            assert r["_pos"] == len(own)
+            own.append(bytes(r["value"]))
+        assert got == {name: want for name, data in contents.items() if (want := brute(data, delimiter, quotes, crlf, skip_empty))}
+
+
+def test_a_joined_table_of_splits_gives_the_same(spark, tmp_path, tiny_splits, monkeypatch):
+    monkeypatch.setattr(files, "BROADCAST_SPLITS", 0)
+    data = b'one,"two\nlines"\n' * 30 + b'\n"open\n'
+    path = write(tmp_path / "rows", data)
+    for quotes in (False, True):
+        assert [x.encode() for x in values(files.read_delimited(spark, path, quotes=quotes))] == brute(data, b"\n", quotes, False, True)
+
+
+def test_settings_may_change_before_the_files_are_read(spark, tmp_path, tiny_splits):
+    path = write(tmp_path / "rows", "".join(f"entry {k * 7}\n" for k in range(300)))
+    rows = files.read_delimited(spark, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    assert values(rows) == [f"entry {k * 7}" for k in range(300)]
+    assert values(files.read_delimited(spark, path, drop=2, take=3)) == ["entry 14", "entry 21", "entry 28"]
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("[value#")
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    write(tmp_path / "a.csv", "first,second\n1,2\n3\n")
+    write(tmp_path / "b.csv", "second,first,Third Name\r\n4,5,6\r\n7,8,9,10\r\n")
+    write(tmp_path / "c.csv", "")
+    for quotes in (False, True):
+        rows = files.read_csv(spark, str(tmp_path), quotes=quotes)
+        assert scans(rows) == 1
+        assert rows.columns == ["_file", "_pos", "first", "second", "third_name", "column_3"]
+        got = sorted((tuple(r)[1:] for r in rows.collect()), key=str)
+        assert got == sorted([(0, "1", "2", None, ""), (1, "3", "", None, ""), (0, "5", "4", "6", ""), (1, "8", "7", "9", "10")], key=str)
+        entries = files.read_csv(spark, str(tmp_path), quotes=quotes, mode="entries", take=1, transformers={"first": lambda c: F.concat(c, F.lit("!"))}).orderBy("_file").collect()
+        assert [[tuple(e) for e in r["row"]] for r in entries] == [[("first", "1!", 0), ("second", "2", 1)], [("second", "4", 0), ("first", "5!", 1), ("third_name", "6", 2)]]
+        assert "column_3" not in files.read_csv(spark, str(tmp_path), quotes=quotes, ragged="drop").columns
+    maps = files.read_csv(spark, str(tmp_path / "b.csv"), ragged="map", normalize_keys=False, drop=1).first()["row"]
+    assert maps == {"second": "7", "first": "8", "Third Name": "9", "column_3": "10"}
+
+
+def test_quoted_files_with_headers(spark, tmp_path, tiny_splits):
+    rng = random.Random(5)
+    cells = ["".join(rng.choice('ab\n,"') for _ in range(rng.randint(0, 90))) for _ in range(25)]
+    quote = lambda c: '"' + c.replace('"', '""') + '"'
+    body = "".join(f"{k},{quote(c)}\n" for k, c in enumerate(cells))
+    rows = files.read_csv(spark, write(tmp_path / "q.csv", "\n" + quote("The\nbody of " + "x" * 100) + ",n\n" + body), quotes=True)
+    assert rows.columns == ["_file", "_pos", f"the_body_of_{'x' * 100}", "n"] and scans(rows) == 2
+    assert [tuple(r)[1:] for r in rows.orderBy("_pos").collect()] == [(k, str(k), c) for k, c in enumerate(cells)]
+    plain = files.read_csv(spark, write(tmp_path / "p.csv", "k,c\n" + "".join(f"{k},x{k}\n" for k in range(30)) + "30,y,z\n"), quotes=True)
+    assert scans(plain) == 1 and plain.where("column_2 = 'z'").count() == 1 and plain.count() == 31
+    wide = files.read_csv(spark, write(tmp_path / "w.csv", "k||c\n1||" + quote("a||b") + "||c\n"), quotes=True, column_delimiter="||")
+    assert [tuple(r)[2:] for r in wide.collect()] == [("1", "a||b", "c")]
+
+
+def test_names_of_other_columns_stay(spark, tmp_path):
+    got = files.read_csv(spark, write(tmp_path / "n.csv", "_pos,a,A\n5,6,7\n"), normalize_keys=False)
+    assert got.columns == ["_file", "_pos", "_pos_2", "a", "A_2"] and tuple(got.first())[1:] == (0, "5", "6", "7")
+
+
+def test_encodings_of_files(spark, tmp_path):
+    latin = write(tmp_path / "l.txt", "né\nß".encode("latin-1"))
+    assert values(files.read_delimited(spark, latin, encoding="iso-8859-1")) == ["né", "ß"]
+    assert values(files.read_delimited(spark, latin, "é", encoding="iso-8859-1")) == ["n", "\nß"]
+    assert values(files.read_delimited(spark, latin, encoding="utf-8")) == ["n\ufffd", "\ufffd"]
+    with pytest.raises(Exception, match="INVALID_UTF8"):
+        files.read_delimited(spark, latin, encoding="utf-8", fatal=True).collect()
+    marked = write(tmp_path / "m.txt", b"\xef\xbb\xbfa\n\xef\xbb\xbfb")
+    assert values(files.read_delimited(spark, marked, encoding="utf-8")) == ["a", "b"]
+    assert values(files.read_delimited(spark, marked, encoding="utf-8", ignore_bom=True)) == ["\ufeffa", "\ufeffb"]
+    wide = write(tmp_path / "w.csv", "k;v\n1;ü\n".encode("utf-16-le"))
+    assert files.read_csv(spark, wide, encoding="utf-16le", column_delimiter=";").select("k", "v").collect() == [("1", "ü")]
+    with pytest.raises(ValueError, match="quotes"):
+        files.read_delimited(spark, wide, encoding="utf-16le", quotes=True)
+    assert [r["json"]["a"] for r in files.read_jsonl(spark, write(tmp_path / "j", '{"a":"é"}\n'.encode("latin-1")), schema="struct<a:string>", encoding="latin1").collect()] == ["é"]
 
 
 @pytest.mark.parametrize(
@@ -77,9 +177,9 @@ def test_writer(spark, tmp_path, rows, want):
 
 
 def test_segments(tmp_path):
-    path = write(tmp_path / "rows.txt", "".join(f"row-{i}\n" for i in range(1000)))
+    path = write(tmp_path / "lines", "".join(f"{'z' * (i % 23)};{i * i}\n" for i in range(700)))
     data = open(path, "rb").read()
-    for k in (1, 4, 9):
+    for k in (1, 3, 11):
         found = segments.compute_segments(path, k)
         assert found[0][0] == 0 and found[-1][1] == len(data) and len(found) <= k
         assert all(a[1] == b[0] for a, b in zip(found, found[1:]))
