@@ -7,9 +7,11 @@ import inspect
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from linewright.session import ship_package
 
@@ -27,37 +29,57 @@ class SKIP:
     """A handler returns this (the class) to leave a record out; None is a result like any other."""
 
 
-def map_records(df: DataFrame, value: str, handler: Callable[[Any, Context], Any], result_type: str, *, out: str = "result", user_data: Any = None, setup: Callable[[], Any] | None = None, max_in_flight: int = 8) -> DataFrame:
+class Aborted(RuntimeError):
+    """The caller gave up."""
+
+
+def map_records(df: DataFrame, value: str, handler: Callable[[Any, Context], Any], result_type: str, *, out: str = "result", user_data: Any = None, setup: Callable[[], Any] | None = None, max_in_flight: int = 8, abort: Callable[[], bool] | None = None) -> DataFrame:
     """A row (``out``) for each record that ``handler`` does not answer with SKIP; order is not kept.
 
-    ``setup`` runs once in each task before its records. A coroutine handler has ``max_in_flight``
-    records under way at a time. An error in a handler fails the query.
+    Values come and go as plain Python objects. ``setup`` runs once in each task before its records. A coroutine handler has ``max_in_flight``
+    records under way at a time. An error in a handler fails the query, and what is under way is cancelled.
+    ``abort`` is asked before each record; when it answers true, no further record of the task begins, those
+    under way are cancelled and the query fails with :class:`Aborted`.
     """
     ship_package(df.sparkSession)
     narrow = df.select(value)
     asynchronous = inspect.iscoroutinefunction(handler)
+    schema = T.StructType([T.StructField(out, T._parse_datatype_string(result_type))])
+    made = to_arrow_type(schema[0].dataType)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if setup:
             setup()
         segment, n = TaskContext.get().partitionId(), 0
-        for frame in batches:
-            items = [(x, Context(n + k, segment, user_data)) for k, x in enumerate(frame[value])]
+        for batch in batches:
+            items = [(x, Context(k, segment, user_data)) for k, x in enumerate(batch.column(0).to_pylist(), n)]
             n += len(items)
-            results = asyncio.run(_gather(handler, items, max_in_flight)) if asynchronous else [handler(*x) for x in items]
-            yield pd.DataFrame({out: pd.Series([r for r in results if r is not SKIP], dtype=object)})
+            results = asyncio.run(_gather(handler, items, max_in_flight, abort)) if asynchronous else [_ask(abort) or handler(*x) for x in items]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r in results if r is not SKIP], made)], names=[out])
+
+    return narrow.mapInArrow(run, schema)
+
 
-    return narrow.mapInPandas(run, f"`{out}` {result_type}")
+def _ask(abort: Callable[[], bool] | None) -> None:
+    if abort is not None and abort():
+        raise Aborted("aborted before all records were handled")
 
 
-async def _gather(handler, items, limit: int) -> list:
+async def _gather(handler, items, limit: int, abort: Callable[[], bool] | None) -> list:
     gate = asyncio.Semaphore(max(1, limit))
 
     async def one(item):
         async with gate:
+            _ask(abort)
             return await handler(*item)
 
-    return await asyncio.gather(*[one(i) for i in items])
+    # The first failure cancels the others before it is raised.
+    try:
+        async with asyncio.TaskGroup() as group:
+            tasks = [group.create_task(one(i)) for i in items]
+    except ExceptionGroup as failures:
+        raise failures.exceptions[0] from None
+    return [t.result() for t in tasks]
 
 
 def parallel_map(df: DataFrame, value: str, handler: Callable[[Any, Context], Any], result_type: str, *, concurrency: int | None = None, **options) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.functions.delimiters import Delimiter, parse_delimiter
+from linewright.functions.delimiters import Delimiter, delimiter_bytes, parse_delimiter
 from linewright.functions.exprs import let
 
 
@@ -41,7 +41,7 @@ def compute_segments(path: str, concurrency: int, delimiter: Delimiter = "\n", p
     The delimiter is looked for in ``probe_size`` bytes from each ideal cut; where there is none the
     two ranges stay one. An empty file has no range.
     """
-    needle = parse_delimiter(delimiter).encode()
+    needle = delimiter_bytes(delimiter)
     n, parts = file_size(path), max(1, math.floor(concurrency))
     borders = {0, n}
     for k in range(1, parts):

@@ -5,12 +5,14 @@ Delimited inputs are made from columns of the tables (``concat_ws`` and the like
 
 from __future__ import annotations
 
-import re
+import asyncio
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewright import cli
 from linewright.functions import buffers, casing, exprs, ranges, text
 from linewright.operators import combine, parallel, records, segments, tabular
 from linewright.operators.jsonl import parse_json_rows, to_json_rows
@@ -214,22 +216,28 @@ def tsv_parse(spark, sf_dir):
     return tabular.parse_rows(rows, mode="object", header=["name", "middle", "nation"], delimiter=tabular.TAB)
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS nation_key, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region_key FROM nation")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS part_key, p_name AS name, p_type AS part_type FROM part")
 def psv_parse(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    rows = n.select(F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("value"))
-    return tabular.parse_rows(rows, mode="object", header=["Nation Key", "name", "regionKey"], delimiter=tabular.PIPE)
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name", "p_type").alias("value"))
+    return tabular.parse_rows(rows, mode="object", header=["Part Key", "name", "partType"], delimiter=tabular.PIPE)
 
 
-@query("SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS pos, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) BETWEEN 2 AND 4".replace("- 1 AS BIGINT", "- 2 AS BIGINT"))
+@query("SELECT c_nationkey, i - 2 AS pos, CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer) WHERE i BETWEEN 2 AND 4")
 def csv_documents(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    line = F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda s: s["line"]), "\r\n")
-    docs = n.groupBy("n_regionkey").agg(F.concat(F.lit("Key,Name\r\n\r\n"), body, F.lit("\r\n")).alias("doc"))
+    c = table(spark, sf_dir, "customer")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda s: s["line"]), "\r\n")
+    docs = c.groupBy("c_nationkey").agg(F.concat(F.lit("Key,Name\r\n\r\n"), body, F.lit("\r\n")).alias("doc"))
     return tabular.parse_documents(docs, "doc", mode="object", drop=1, take=3)
 
 
+@query("SELECT o_orderkey, CAST(0 AS BIGINT) AS pos, CASE WHEN o_orderkey % 3 < 2 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority FROM orders")
+def csv_documents_own_headers(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
+    doc = F.when(k == 0, F.concat(F.lit("status\n"), "o_orderstatus")).when(k == 1, F.concat(F.lit("priority,status\n"), "o_orderpriority", F.lit(","), "o_orderstatus")).otherwise(F.concat(F.lit("Priority\n"), "o_orderpriority"))
+    return tabular.parse_documents(o.select("o_orderkey", doc.alias("doc")), "doc", mode="object", names=None, normalize_keys=True)
+
+
 # JSON Lines
 
 
@@ -245,38 +253,51 @@ def jsonl_typed(spark, sf_dir):
     return parse_json_rows(e, schema="struct<k:bigint>").select("event_id", "json.k")
 
 
-@query("SELECT CAST(to_json({n_nationkey: n_nationkey, n_name: n_name, none: CAST(NULL AS VARCHAR)}) AS VARCHAR) AS value FROM nation")
+_CUSTOMER_JSON = "CAST(to_json({c_custkey: c_custkey, c_name: c_name, none: CAST(NULL AS VARCHAR)}) AS VARCHAR)"
+
+
+def _customer_null(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit(None).cast("string").alias("none"))
+
+
+@query(f"SELECT {_CUSTOMER_JSON} AS value FROM customer")
 def csv_to_jsonl(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none"))
-    return to_json_rows(n)
+    return to_json_rows(_customer_null(spark, sf_dir))
 
 
-@query("SELECT n_nationkey || ',' || n_name || ',' AS value FROM nation")
+@query("SELECT c_custkey || ',' || c_name || ',' AS value FROM customer")
 def jsonl_to_csv(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none"))
-    parsed = parse_json_rows(to_json_rows(n), schema="struct<n_nationkey:int,n_name:string,none:string>").select("json.*")
+    parsed = parse_json_rows(to_json_rows(_customer_null(spark, sf_dir)), schema="struct<c_custkey:bigint,c_name:string,none:string>").select("json.*")
     return sinks.csv_lines(parsed)
 
 
 # Text
 
 
-@query("SELECT n_nationkey, n_name AS stripped, chr(65279) || n_name AS kept FROM nation")
+@query("SELECT c_custkey, c_name AS stripped, chr(65279) || c_name AS kept FROM customer")
 def bom_strip(spark, sf_dir):
-    raw = F.encode(F.concat(F.lit("﻿"), F.col("n_name")), "UTF-8")
-    return table(spark, sf_dir, "nation").select("n_nationkey", text.decode(raw).alias("stripped"), text.decode(raw, ignore_bom=True).alias("kept"))
+    raw = F.encode(F.concat(F.lit("\ufeff"), F.col("c_name")), "UTF-8")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.decode(raw).alias("stripped"), text.decode(raw, ignore_bom=True).alias("kept"))
 
 
-@query("SELECT n_nationkey, n_name || chr(65533) || 'x' AS value FROM nation")
+@query("SELECT doc_id, text || chr(65533) || 'x' AS value FROM documents")
 def text_decode_invalid(spark, sf_dir):
-    raw = F.concat(F.col("n_name").cast("binary"), F.lit(b"\xffx"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", text.decode(raw).alias("value"))
+    return _docs(spark, sf_dir).select("doc_id", text.decode(F.concat(F.col("text").cast("binary"), F.lit(b"\xffx"))).alias("value"))
 
 
-@query("SELECT n_nationkey, 'é' || n_name AS value FROM nation")
+@query("SELECT c_custkey, 'é' || c_name AS value FROM customer")
 def text_decode_latin1(spark, sf_dir):
-    raw = F.concat(F.lit(b"\xe9"), F.col("n_name").cast("binary"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", text.decode(raw, "iso-8859-1").alias("value"))
+    raw = F.concat(F.lit(b"\xe9"), F.col("c_name").cast("binary"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.decode(raw, "iso-8859-1").alias("value"))
+
+
+@query("SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, unnest(l) AS value FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: strlen(x) > 0) AS l FROM documents)")
+def binary_records(spark, sf_dir):
+    raw = F.replace(F.col("text"), F.lit(" "), F.lit("\x01")).cast("binary")
+    # Bytes that no text holds part the records: 0xFE, put in after encoding.
+    raw = F.encode(F.translate(F.decode(raw, "ISO-8859-1"), "\x01", "\xfe"), "ISO-8859-1")
+    rows = records.split_records(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")), "raw", 0xFE)
+    return rows.withColumn("value", F.col("value").cast("string"))
 
 
 @query("SELECT doc_id, translate(text, chr(10) || chr(13) || ', ' || chr(9) || chr(30), chr(9252) || chr(9229) || '-' || chr(9248) || chr(9225) || chr(9246)) AS value FROM documents")
@@ -315,19 +336,30 @@ def uniformly_cased(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", casing.uniformly_cased_col(F.col("o_orderpriority")).alias("uniform"), casing.uniformly_cased_col(F.lit(None).cast("string")).alias("of_null"))
 
 
-@query("SELECT * FROM (VALUES (0, 'item_name'), (1, 'item_name_2'), (2, 'PRICE'), (3, 'character_name'), (4, 'U_S_A_'), (5, 'a'), (6, 'a_2'), (7, 'a_3')) t(idx, name)")
+def _snake(n: str) -> str:
+    return f"(SELECT CASE WHEN upper(n) = n THEN regexp_replace(n, '[^A-Za-z0-9_]+', '_', 'g') ELSE lower(array_to_string({_SPLIT}, '_')) END FROM (SELECT {n} AS n))"
+
+
+@query(f"SELECT p_partkey, {_snake('p_name')} || ',' || {_snake('p_type')} || ',' || {_snake('p_name')} || '_2,' || {_snake('p_name')} || '_3,' || {_snake('p_brand')} AS names FROM part")
 def normalize_columns(spark, sf_dir):
-    names = casing.normalize_column_names(["Item Name", "itemName", "PRICE", "Character Name", "U.S.A.", "a", "a_2", "a"])
-    return spark.createDataFrame(list(enumerate(names)), "idx int, name string")
+    names = F.array("p_name", "p_type", "p_name", "p_name", "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(casing.normalize_names_col(names), ",").alias("names"))
 
 
 # Combining
 
 
-@query("SELECT CAST(coalesce(a.i, b.i) AS BIGINT) AS idx, n_name, r_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, n_name FROM nation) a FULL JOIN (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS i, r_name FROM region) b ON a.i = b.i")
+@query("SELECT CAST(coalesce(a.i, b.i) AS BIGINT) AS idx, o_orderkey, event_type FROM (SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS i, o_orderkey FROM orders) a FULL JOIN (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, event_type FROM events) b ON a.i = b.i")
 def zip_rows(spark, sf_dir):
-    n, r = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return combine.zip_rows(n, r, ["n_nationkey"], ["r_regionkey"]).select("idx", "n_name", "r_name")
+    o, e = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return combine.zip_rows(o, e, [F.desc("o_orderkey")], ["ts", "event_id"]).select("idx", "o_orderkey", "event_type")
+
+
+@query("SELECT doc_id, unnest(range(0, greatest(2, len(l)))) AS pos, unnest(list_transform(range(1, greatest(2, len(l)) + 1), lambda i: [lang, source][i])) AS a, unnest(list_transform(range(1, greatest(2, len(l)) + 1), lambda i: l[i])) AS b FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents)")
+def zip_without_index(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array("lang", "source").alias("x"), F.split("text", "\n", -1).alias("y"))
+    z = d.select("doc_id", F.posexplode(combine.without_index(combine.zip_arrays(F.col("x"), F.col("y")))).alias("pos", "z"))
+    return z.select("doc_id", F.col("pos").cast("long").alias("pos"), "z.a", "z.b")
 
 
 @query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, w[i] AS word, l[i] AS line FROM (SELECT doc_id, w, l, unnest(range(1, greatest(len(w), len(l)) + 1)) AS i FROM (SELECT doc_id, string_split(source || '/' || lang, '/') AS w, string_split(text, chr(10)) AS l FROM documents))")
@@ -359,17 +391,22 @@ def composite_buffer(spark, sf_dir):
     return o.select("o_orderkey", buffers.byte_length(F.col("c")).alias("n"), buffers.byte_at(F.col("f"), 0).alias("first"), buffers.subarray(F.col("f"), 1, 4).cast("string").alias("part"), buffers.slice_bytes(F.col("f"), -2).cast("string").alias("tail"), buffers.flat(buffers.remove_first(F.col("c"))).cast("string").alias("rest"))
 
 
-@query("SELECT n_nationkey, CAST(n_regionkey + 3 AS BIGINT) AS first_end, CAST(9 AS BIGINT) AS last_start, CAST(n_regionkey + 4 AS BIGINT) AS n, CAST(1 AS INTEGER) AS left_over FROM nation")
+@query("SELECT o_orderkey, CAST(o_custkey + 3 AS BIGINT) AS first_end, CAST(9 AS BIGINT) AS last_start, CAST(o_custkey + 4 AS BIGINT) AS n, CAST(1 AS INTEGER) AS left_over FROM orders")
 def range_queue(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    q = ranges.enqueue(ranges.enqueue(ranges.queue(), 0, F.col("n_regionkey") + 3), 9, 10)
-    return n.select("n_nationkey", ranges.peek(q)["end"].alias("first_end"), ranges.peek_last(q)["start"].alias("last_start"), ranges.byte_length(q).alias("n"), F.size(ranges.dequeue(q)).alias("left_over"))
+    q = ranges.enqueue(ranges.enqueue(ranges.queue(), 0, F.col("o_custkey") + 3), 9, 10)
+    return table(spark, sf_dir, "orders").select("o_orderkey", ranges.peek(q)["end"].alias("first_end"), ranges.peek_last(q)["start"].alias("last_start"), ranges.byte_length(q).alias("n"), F.size(ranges.dequeue(q)).alias("left_over"))
 
 
-@query("SELECT n_nationkey, 'xy' || substr(n_name, 3) AS written, CAST(greatest(20, length(n_name)) AS INTEGER) AS grown, substr(n_name, 2, 2) AS kept, repeat('00', length(n_name)) AS cleared FROM nation")
+@query("SELECT p_partkey, 'xy' || substr(p_name, 3) AS written, CAST(greatest(20, length(p_name)) AS INTEGER) AS grown, substr(p_name, 2, 2) AS kept, repeat('00', length(p_name)) AS cleared FROM part")
 def growable_buffer(spark, sf_dir):
-    v = F.col("n_name").cast("binary")
-    return table(spark, sf_dir, "nation").select("n_nationkey", buffers.set_bytes(v, F.lit(b"xy"), 0).cast("string").alias("written"), F.octet_length(buffers.grow(v, 20)).alias("grown"), buffers.compress(v, 1, 3).cast("string").alias("kept"), F.hex(buffers.clear(v)).alias("cleared"))
+    v = F.col("p_name").cast("binary")
+    return table(spark, sf_dir, "part").select("p_partkey", buffers.set_bytes(v, F.lit(b"xy"), 0).cast("string").alias("written"), F.octet_length(buffers.grow(v, 20)).alias("grown"), buffers.compress(v, 1, 3).cast("string").alias("kept"), F.hex(buffers.clear(v)).alias("cleared"))
+
+
+@query("SELECT page_id, substr(url, 9, 12) AS part, substr(url, 31, 1000) AS rest FROM pages")
+def read_window(spark, sf_dir):
+    v = F.col("url").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", buffers.read_window(v, 8, 12).cast("string").alias("part"), buffers.read_window(v, 30, 1000).cast("string").alias("rest"))
 
 
 # Segments and user functions
@@ -391,7 +428,9 @@ def as_many_counts(spark, sf_dir):
 
 @query("SELECT translate(l, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS result FROM (SELECT unnest(list_filter(string_split(text, chr(10)), lambda x: strlen(x) > 0)) AS l FROM documents)")
 def map_records_upper(spark, sf_dir):
-    return parallel.map_records(split_lines(spark, sf_dir), "value", lambda v, ctx: re.sub("[a-z]+", lambda m: m[0].upper(), v), "string")
+    small, capital = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    capitals = str.maketrans(small, capital)
+    return parallel.map_records(split_lines(spark, sf_dir), "value", lambda v, ctx: v.translate(capitals), "string")
 
 
 @query("SELECT event_id * 2 AS result FROM events WHERE event_id % 2 = 0")
@@ -399,6 +438,23 @@ def parallel_map_evens(spark, sf_dir):
     return parallel.parallel_map(table(spark, sf_dir, "events"), "event_id", lambda v, ctx: parallel.SKIP if v % 2 else int(v) * 2, "bigint", concurrency=4)
 
 
+@query("SELECT event_id * 3 + 7 AS result FROM events")
+def map_records_async(spark, sf_dir):
+    async def handle(value, context):
+        await asyncio.sleep(0)
+        return value * 3 + context.user_data
+
+    return parallel.map_records(table(spark, sf_dir, "events"), "event_id", handle, "bigint", user_data=7, max_in_flight=3)
+
+
+_SET_UP: list[int] = []
+
+
+@query("SELECT 'k' || o_orderkey AS result FROM orders")
+def map_records_setup(spark, sf_dir):
+    return parallel.map_records(table(spark, sf_dir, "orders"), "o_orderkey", lambda v, ctx: f"{ctx.user_data['prefix']}{v}" if _SET_UP and ctx.index >= 0 else None, "string", user_data={"prefix": "k"}, setup=lambda: _SET_UP.append(1))
+
+
 # Files and streams
 
 
@@ -461,3 +517,164 @@ def file_chunks(spark, sf_dir):
     sinks.write_lines(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("value")), path, single=True)
     [part] = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").collect()]
     return chunks.read_chunks(spark, part, 1024).agg(F.sum(F.octet_length("bytes")).alias("n_bytes"), F.count("*").alias("n_chunks"))
+
+
+def _two_headers(spark, sf_dir, name: str) -> str:
+    """Orders in two files whose headers name their columns in different orders."""
+    path, o = scratch_path(spark, name), table(spark, sf_dir, "orders")
+    key, status, priority = F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.concat(F.lit('"'), "o_orderpriority", F.lit(',\n"'))
+    for part, header, cells in ((0, "Order Key,status,Priority", (key, status, priority)), (1, "Priority,Order Key", (priority, key))):
+        rows = o.where(F.col("o_orderkey") % 2 == part).select(F.col("o_orderkey").alias("k"), F.concat_ws(",", *cells).alias("value"))
+        rows = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(header).alias("value")).unionAll(rows)
+        sinks.write_lines(rows, path, order=["k"], single=True, mode="append")
+    return path
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS order_key, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, o_orderpriority || ',' || chr(10) AS priority FROM orders")
+def csv_header_files_quoted(spark, sf_dir):
+    return files.read_csv(spark, _two_headers(spark, sf_dir, "headers-quoted"), quotes=True).select("order_key", "status", "priority")
+
+
+_EVEN_LINES = """SELECT unnest([CAST(o_orderkey AS VARCHAR), '"']) AS order_key, unnest([o_orderstatus, '']) AS status, unnest(['"' || o_orderpriority, '']) AS priority FROM orders WHERE o_orderkey % 2 = 0"""
+_ODD_LINES = """SELECT unnest(['', CAST(o_orderkey AS VARCHAR)]), unnest([CAST(NULL AS VARCHAR), NULL]), unnest(['"' || o_orderpriority, '"']) FROM orders WHERE o_orderkey % 2 = 1"""
+
+
+@query(f"{_EVEN_LINES} UNION ALL {_ODD_LINES}")
+def csv_header_files_raw(spark, sf_dir):
+    """The same files without quotes: each order's two lines are rows of their own."""
+    return files.read_csv(spark, _two_headers(spark, sf_dir, "headers-raw"), ragged="drop").drop("_file", "_pos")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, text AS the_body, lang FROM documents")
+def csv_quoted_header_files(spark, sf_dir):
+    path = scratch_path(spark, "quoted-header")
+    quoted = F.concat_ws(",", F.col("doc_id").cast("string"), F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"')), "lang")
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit('id,"The Body",lang').alias("value"))
+    rows = head.unionAll(table(spark, sf_dir, "documents").select("doc_id", quoted))
+    sinks.write_lines(rows, path, order=["k"], single=True)
+    return files.read_csv(spark, path, quotes=True).drop("_file", "_pos")
+
+
+def _parts_with(spark, sf_dir, name: str, delimiter: str) -> str:
+    path = scratch_path(spark, name)
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(delimiter.join(("Key", "partName", "BRAND"))).alias("value"))
+    rows = head.unionAll(table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(delimiter, F.col("p_partkey").cast("string"), "p_name", "p_brand")))
+    sinks.write_lines(rows, path, order=["k"], single=True)
+    return path
+
+
+_PARTS = 'SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS part_name, p_brand AS "BRAND", CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS _pos FROM part'
+
+
+@query(_PARTS)
+def tsv_files(spark, sf_dir):
+    return files.read_tsv(spark, _parts_with(spark, sf_dir, "tsv", tabular.TAB)).drop("_file")
+
+
+@query(_PARTS)
+def psv_files(spark, sf_dir):
+    return files.read_psv(spark, _parts_with(spark, sf_dir, "psv", tabular.PIPE)).drop("_file")
+
+
+@query("SELECT unnest(list_filter([o_orderstatus, '\"' || o_orderpriority || '|' || o_custkey || '\"', CAST(o_orderkey AS VARCHAR)], lambda x: strlen(x) > 0)) AS value FROM orders")
+def quoted_delimiter_files(spark, sf_dir):
+    path = scratch_path(spark, "bars")
+    quoted = F.concat(F.lit('"'), "o_orderpriority", F.lit("|"), F.col("o_custkey").cast("string"), F.lit('"'))
+    sinks.write_lines(table(spark, sf_dir, "orders").select(F.concat_ws("|", "o_orderstatus", quoted, F.col("o_orderkey").cast("string")).alias("value")), path, delimiter="|")
+    return files.read_delimited(spark, path, "|", quotes=True).select("value")
+
+
+@query("SELECT c_name || chr(195) AS value FROM customer")
+def byte_delimiter_files(spark, sf_dir):
+    # The last byte of each ü parts the records; its first one stays and is read as Latin-1.
+    path = scratch_path(spark, "bytes")
+    sinks.write_lines(table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")), path, delimiter="ü")
+    return files.read_delimited(spark, path, 0xBC, encoding="iso-8859-1").select("value")
+
+
+@query("SELECT 'ü' || c_name AS as_utf8, chr(195) || chr(188) || c_name AS as_latin1 FROM customer")
+def encoded_files(spark, sf_dir):
+    path = scratch_path(spark, "encoded")
+    sinks.write_lines(table(spark, sf_dir, "customer").select(F.concat(F.lit("ü"), "c_name").alias("value")), path)
+    utf8 = files.read_delimited(spark, path, encoding="utf-8").select("_file", "_pos", F.col("value").alias("as_utf8"))
+    latin1 = files.read_delimited(spark, path, encoding="iso-8859-1").select("_file", "_pos", F.col("value").alias("as_latin1"))
+    return utf8.join(latin1, ["_file", "_pos"]).select("as_utf8", "as_latin1")
+
+
+@query(_ORDER_LINES)
+def dispatched_path(spark, sf_dir):
+    return chunks.records_from(spark, _line_files(spark, sf_dir, "dispatched")).select("value")
+
+
+@query(_unnested(_FULL.format(_LINES)).replace("SELECT doc_id, ", "SELECT ", 1))
+def dispatched_column(spark, sf_dir):
+    return chunks.records_from(spark, _docs(spark, sf_dir).select("text"))
+
+
+@query("SELECT event_type || '!' AS value FROM events WHERE event_type <> 'click'")
+def command_line(spark, sf_dir):
+    """``iterate`` with a filter and a transformer, from a file to a file; both are the driver's own."""
+    folder = scratch_path(spark, "command").removeprefix("file:").replace("//", "/")
+    os.makedirs(folder)
+    with open(f"{folder}/in.txt", "w", encoding="utf-8") as f:
+        for row in table(spark, sf_dir, "events").select("event_type").toLocalIterator():
+            f.write(row["event_type"] + "|")
+    with open(f"{folder}/user.py", "w", encoding="utf-8") as f:
+        f.write("from pyspark.sql import functions as F\n\n\ndef filter(c):\n    return c != 'click'\n\n\ndef transform(c):\n    return F.concat(c, F.lit('!'))\n")
+    cli.run(["iterate", f"{folder}/in.txt", f"{folder}/out.txt", "-s", "|", "-f", f"{folder}/user.py", "-T", f"{folder}/user.py"], spark)
+    return spark.read.text(f"{folder}/out.txt")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key, upper(p_name) AS part_name, p_brand AS \"BRAND\" FROM part")
+def command_line_csv(spark, sf_dir):
+    """``csv`` with transformers: JSON Lines, read back."""
+    folder = scratch_path(spark, "command-csv").removeprefix("file:").replace("//", "/")
+    os.makedirs(folder)
+    with open(f"{folder}/user.py", "w", encoding="utf-8") as f:
+        f.write("from pyspark.sql import functions as F\n\ntransformers = {'part_name': F.upper}\n")
+    cli.run(["csv", _parts_with(spark, sf_dir, "command-parts", ";"), f"{folder}/out.jsonl", "-c", ";", "--transformers", f"{folder}/user.py"], spark)
+    return spark.read.schema("key string, part_name string, BRAND string").json(f"{folder}/out.jsonl")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, text AS body FROM documents")
+def stream_csv(spark, sf_dir):
+    source, out = scratch_path(spark, "stream-csv"), scratch_path(spark, "stream-csv-out")
+    quoted = F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    sinks.write_lines(table(spark, sf_dir, "documents").select(quoted.alias("value")), source)
+    rows = streaming.read_csv_stream(spark, source, names=["id", "body"], header=False, quotes=True).select("id", "body")
+    rows.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-csv-state")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("id string, body string").parquet(out)
+
+
+@query("SELECT CAST(i - 1 AS BIGINT) AS pos, CAST(o_orderkey AS VARCHAR) AS value FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 5 AS i FROM orders) WHERE i BETWEEN 1 AND 100")
+def stream_drop_take(spark, sf_dir):
+    source, out = scratch_path(spark, "stream-drop"), scratch_path(spark, "stream-drop-out")
+    sinks.write_lines(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("value")), source, order=["o_orderkey"], single=True, delimiter="\r\n")
+    rows = streaming.read_stream(spark, source, crlf=True, drop=5, take=100)
+    rows.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-drop-state")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("pos long, value string").parquet(out)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS value FROM orders")
+def delimited_folder(spark, sf_dir):
+    path = scratch_path(spark, "folder")
+    sinks.write_lines(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("value")), path, delimiter="||")
+    datasource.register(spark)
+    return spark.read.format("delimited").options(delimiterHex="7c7c", concurrency="3").load(path).select(F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT CAST(1000 AS BIGINT) AS n_bytes, CAST(16 AS BIGINT) AS n_chunks, substr(string_agg(CAST(o_orderkey AS VARCHAR) || chr(10), '' ORDER BY o_orderkey), 501, 1000) AS content FROM orders")
+def chunk_range(spark, sf_dir):
+    path = scratch_path(spark, "chunk-range")
+    sinks.write_lines(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("value")), path, order=["o_orderkey"], single=True)
+    [part] = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").collect()]
+    found = chunks.read_chunks(spark, part, 64, 500, 1499)
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "bytes"))), lambda c: c["bytes"].cast("string")), "")
+    return found.agg(F.sum(F.octet_length("bytes")).alias("n_bytes"), F.count("*").alias("n_chunks"), content.alias("content"))
+
+
+@query("SELECT r_name AS value, CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS pos FROM region")
+def driver_values(spark, sf_dir):
+    """What ``to_array`` brings to the driver: for results that fit there."""
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("value"))
+    return spark.createDataFrame([(k, v) for k, v in enumerate(sinks.to_array(r))], "pos long, value string")

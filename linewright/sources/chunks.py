@@ -28,18 +28,21 @@ def iter_chunks(path: str, high_water_mark: int = HIGH_WATER_MARK, start: int =
             yield f.read_at(min(high_water_mark, stop - at), at)
 
 
-def read_chunks(spark: SparkSession, path: str, high_water_mark: int = HIGH_WATER_MARK) -> DataFrame:
-    """(offset, bytes) of every chunk of a file, read by the tasks."""
+def read_chunks(spark: SparkSession, path: str, high_water_mark: int = HIGH_WATER_MARK, start: int = 0, end: int | None = None) -> DataFrame:
+    """(offset, bytes) of every chunk of a file from ``start`` to ``end`` (inclusive; default the last), read by the tasks."""
+    if high_water_mark < 1 or start < 0:
+        raise ValueError("chunks hold at least one byte and start at one")
     ship_package(spark)
+    stop = file_size(path) if end is None else min(file_size(path), end + 1)
 
     def read(batches):
         fs, p = open_path(path)
         with fs.open_input_file(p) as f:
             for batch in batches:
                 for at in batch.column(0).to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([f.read_at(min(high_water_mark, f.size() - at), at)], pa.binary())], names=["offset", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([f.read_at(min(high_water_mark, stop - at), at)], pa.binary())], names=["offset", "bytes"])
 
-    return spark.range(0, file_size(path), high_water_mark).mapInArrow(read, "offset long, bytes binary")
+    return spark.range(start, max(start, stop), high_water_mark).mapInArrow(read, "offset long, bytes binary")
 
 
 def is_path(source: object) -> bool:
