@@ -29,10 +29,10 @@ def cell(columns: Column, index: int) -> Column:
     return F.coalesce(F.get(columns, index), F.lit(""))
 
 
-def entries(columns: Column, header: list[str] | Column, transformers: Transformers | None = None, names: list[str] | None = None) -> Column:
+def entries(columns: Column, header: list[str] | Column, transformers: Transformers | None = None) -> Column:
     """(key, value, idx) of every cell; missing cells are empty, further ones keyed column_<idx>.
 
-    ``header`` is a list, or an array column when rows have headers of their own; ``names`` are then all there are.
+    ``header`` is a list, or an array column when rows have headers of their own.
     """
     own = isinstance(header, Column)
     keys = header if own else F.array(*[F.lit(h) for h in header]) if header else F.array().cast("array<string>")
@@ -43,7 +43,7 @@ def entries(columns: Column, header: list[str] | Column, transformers: Transform
         raw = F.coalesce(F.get(columns, i), F.lit(""))
         out = raw
         by_name = own and isinstance(transformers, dict)
-        for k, name in enumerate(header if not own else names or [] if by_name else transformers or []):
+        for k, name in enumerate(header if not own else transformers or []):
             made = _transform(transformers, name, k)(raw)
             its = F.get(keys, i) == name if by_name else (i == k) & (i < F.size(keys))
             out = out if made is raw else F.when(its, made.cast("string")).otherwise(out)
@@ -102,9 +102,9 @@ def parse_rows(rows: DataFrame, value: str = "value", *, header: list[str] | str
     if mode == "array":
         return rows.select(*kept, cells.alias(out))
     split = rows.withColumn("_cells", cells)
-    if own and names is None:
+    if own and names is None and mode == "object" and ragged != "map":
         names = name_union(rows.select(header).distinct(), header)
-    keyed = entries(F.col("_cells"), F.col(header) if own else fixed, transformers, names)
+    keyed = entries(F.col("_cells"), F.col(header) if own else fixed, transformers)
     if mode == "entries":
         return split.select(*kept, keyed.alias(out))
     if ragged == "map":

@@ -41,22 +41,23 @@ class Segment(InputPartition):
 
 def files_of(path: str) -> list[str]:
     """The files that a path, a folder or a glob stands for, but for hidden ones, sorted."""
-    fs, p = open_path(path)
-    shown = lambda name: posixpath.basename(name)[:1] not in ("_", ".")
-    uri = lambda name: path[: len(path) - len(p)] + name if path.endswith(p) else name
-    if fs.get_file_info(p).type == pafs.FileType.File:
-        return [path]
-    fixed = p
+    fixed = path
     while any(c in fixed for c in "*?["):
         fixed = posixpath.dirname(fixed)
-    pattern = p if fixed != p else None
-    found = [f.path for f in fs.get_file_info(pafs.FileSelector(fixed, recursive=pattern is not None)) if f.type == pafs.FileType.File and shown(f.path)]
+    fs, p = open_path(fixed)
+    shown = lambda name: posixpath.basename(name)[:1] not in ("_", ".")
+    uri = lambda name: fixed + name[len(p) :] if name.startswith(p) else name
+    kind = fs.get_file_info(p).type
+    if kind == pafs.FileType.File:
+        return [path]
+    if kind == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    pattern = p + path[len(fixed) :] if fixed != path else None
+    found = [f.path for f in fs.get_file_info(pafs.FileSelector(p, recursive=pattern is not None)) if f.type == pafs.FileType.File and shown(f.path)]
     if pattern:
         # As in a shell a star does not reach over a slash; a folder that matches stands for its files.
         fits = lambda name: len(name.split("/")) == len(pattern.split("/")) and all(map(fnmatch.fnmatchcase, name.split("/"), pattern.split("/")))
         found = [f for f in found if fits(f) or fits(posixpath.dirname(f))]
-    if not found and not pattern and fs.get_file_info(p).type == pafs.FileType.NotFound:
-        raise FileNotFoundError(path)
     return sorted(map(uri, found))
 
 

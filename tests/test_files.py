@@ -203,6 +203,16 @@ def test_data_source(spark, tmp_path):
     assert kept.count() == 502
     empty = spark.read.format("delimited").option("skipEmpty", "false").load(write(tmp_path / "none", ""))
     assert [bytes(r["value"]) for r in empty.collect()] == [b""]
+    folder = tmp_path / "several"
+    folder.mkdir()
+    for name, data in (("b.log", b"3\xff4\xff"), ("a.log", b"1\xff\"2\xff\"\xff"), ("_no.log", b"5"), ("c.txt", b"6")):
+        write(folder / name, data)
+    load = lambda path, **o: [bytes(r["value"]) for r in spark.read.format("delimited").options(delimiterHex="ff", **o).load(str(path)).orderBy("segment", "byte_start").collect()]
+    assert load(folder, concurrency="2") == [b"1", b'"2', b'"', b"3", b"4", b"6"]
+    assert load(folder / "*.log", quotes="true") == [b"1", b'"2\xff"', b"3", b"4"]
+    assert load(tmp_path / "sev*" / "?.log") == load(folder / "[ab].log") and load(folder / "none*") == []
+    with pytest.raises(Exception, match="missing"):
+        load(tmp_path / "missing")
     straddling = list(datasource.scan(path, 0, len(raw), b"\r\n", chunk=3))
     assert [x for _, x in straddling] == raw.split(b"\r\n")
 
@@ -219,6 +229,26 @@ def test_stream(spark, tmp_path):
     assert sorted(seen) == sorted(["ne\r", "tw", "\r", "\r"])
 
 
+def test_streams_of_whole_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.csv", 'k,v\r\n1,"x\r\ny"\r\n2,z\r\n')
+    write(tmp_path / "in" / "b.csv", "v,k\n5,6\n")
+
+    def got(rows, name):
+        out = str(tmp_path / name)
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
+
+    records = streaming.read_stream(spark, str(tmp_path / "in"), quotes=True, crlf=True, drop=1, take=1)
+    assert got(records, "one") == [(0, '1,"x\r\ny"'), (0, "5,6")]
+    objects = streaming.read_csv_stream(spark, str(tmp_path / "in"), names=["k", "v"], quotes=True)
+    assert got(objects, "two") == [(0, "1", "x\r\ny"), (0, "5", "6"), (1, "2", "z")]
+    maps = streaming.read_csv_stream(spark, str(tmp_path / "in"), ragged="map", quotes=True).select(F.col("row")["k"].alias("k"))
+    assert got(maps, "three") == [("1",), ("2",), ("6",)]
+    with pytest.raises(ValueError, match="names"):
+        streaming.read_csv_stream(spark, str(tmp_path / "in"))
+
+
 def test_command_line(spark, tmp_path):
     source = write(tmp_path / "in.csv", 'Name,v\nx,1\n"y,z",2\n')
     out = io.StringIO()
@@ -245,6 +275,8 @@ def test_chunks_and_sources(spark, tmp_path):
     assert list(chunks.iter_chunks(path, 3)) == [b"012", b"345", b"678", b"9"]
     assert list(chunks.iter_chunks(path, 64, 2, 5)) == [b"2345"]
     assert b"".join(bytes(r["bytes"]) for r in chunks.read_chunks(spark, path, 4).orderBy("offset").collect()) == b"0123456789"
+    part = lambda *a: [(r["offset"], bytes(r["bytes"])) for r in chunks.read_chunks(spark, path, *a).orderBy("offset").collect()]
+    assert part(3, 2, 7) == [(2, b"234"), (5, b"567")] and part(4, 8, 99) == [(8, b"89")] and part(4, 30) == part(4, 5, 4) == []
     lines = write(tmp_path / "l.txt", "a\n\nb\n")
     get = lambda df, pos: [r["value"] for r in df.orderBy(pos).collect()]
     assert get(chunks.records_from(spark, tmp_path / "l.txt"), "_pos") == get(chunks.records_from(spark, lines), "_pos") == ["a", "b"]

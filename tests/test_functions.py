@@ -29,11 +29,26 @@ def test_normalised_names_stay_apart():
     assert casing.normalize_column_names(["a", "a_2", "a"]) == ["a", "a_2", "a_3"]
 
 
+def test_names_of_columns_are_normalised_alike(spark):
+    for names in (["a", "a_2", "a"], ["Item Name", "itemName", "PRICE", "x", "PRICE", "PRICE_2"], [], [""] * 3):
+        df = spark.createDataFrame([(names,)], "n array<string>")
+        assert df.select(casing.normalize_names_col(F.col("n")).alias("o")).first()["o"] == casing.normalize_column_names(names)
+
+
 def test_decode(one):
     assert one(text.decode, b"a\xff") == "a�"
     assert one(text.decode, b"\xef\xbb\xbfa") == "a"
     assert one(lambda c: text.decode(c, ignore_bom=True), b"\xef\xbb\xbfa") == "﻿a"
     assert one(lambda c: text.decode(c, "utf-16le"), "é".encode("utf-16le")) == "é"
+    assert one(lambda c: text.decode(c, "latin1"), b"\x80\xe9\x81") == "€é\x81"
+    every = bytes(range(256))
+    for name in ("koi8-r", "iso-8859-2", "windows-1251", "macroman"):
+        assert one(lambda c: text.decode(c, name), every) == every.decode(name, "replace")
+    with pytest.raises(Exception, match="does not use"):
+        one(lambda c: text.decode(c, "windows-1253", fatal=True), b"a\xaa")
+    for name in ("shift_jis", "gbk", "none-such"):
+        with pytest.raises(LookupError):
+            text.decode(F.lit(b""), name)
     with pytest.raises(Exception, match="INVALID_UTF8"):
         one(lambda c: text.decode(c, fatal=True), b"a\xff")
 
@@ -78,11 +93,25 @@ def test_user_functions(spark):
     assert sorted(r[0] for r in parallel.map_records(rows, "v", slow, "long", max_in_flight=3).collect()) == list(range(200))
 
     def broken(v, context):
-        raise ValueError("item boom")
+        raise ValueError(f"no answer for {v}")
 
-    with pytest.raises(Exception, match="item boom"):
+    with pytest.raises(Exception, match="no answer for"):
         parallel.map_records(rows, "v", broken, "long").collect()
 
+    async def one_fails(v, context):
+        if v == 5:
+            raise KeyError("five is missing")
+        return await slow(v, context)
+
+    with pytest.raises(Exception, match="five is missing"):
+        parallel.map_records(rows, "v", one_fails, "long").collect()
+    for handler in (slow, lambda v, c: v):
+        with pytest.raises(Exception, match="Aborted"):
+            parallel.map_records(rows, "v", handler, "long", abort=lambda: True).collect()
+        assert parallel.map_records(rows, "v", handler, "long", abort=lambda: False).count() == 200
+    lists = spark.createDataFrame([([1, 2], {"a": 1})], "x array<int>, y map<string,int>")
+    assert parallel.map_records(lists, "x", lambda v, c: [k * 2 for k in v], "array<int>").first()[0] == [2, 4]
+
 
 def test_search_all_and_ranges(spark, one):
     assert one(lambda c: exprs.search_all(c, ","), "a,b,") == [(0, 1), (2, 3), (4, 4)]

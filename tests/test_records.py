@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linewright.functions import exprs
-from linewright.functions.delimiters import Delimiters, parse_delimiter
+from linewright.functions.delimiters import Delimiters, delimiter_bytes, parse_delimiter
 from linewright.operators.records import byte_ranges, logical_rows, records, split_records
 
 
@@ -49,11 +49,8 @@ def toggled(text, delimiter=","):
         ("xa.b", {"delimiter": ".", "position": 1}, ["a", "b"]),
         ("ab", {"position": 2, "skip_empty": False}, [""]),
         ("a$^b", {"delimiter": "$^"}, ["a", "b"]),
-        ('one,"tw\no\nstill-two",three\nfour\n', {"quotes": True}, ['one,"tw\no\nstill-two",three', "four"]),
-        ('"a,x",b', {"delimiter": ",", "quotes": True}, ['"a,x"', "b"]),
-        ('"a",,c,', {"delimiter": ",", "quotes": True, "skip_empty": False}, ['"a"', "", "c", ""]),
-        ('a,"b,c', {"delimiter": ",", "quotes": True}, ["a", '"b,c']),
-        ('a"b,c"d,e', {"delimiter": ",", "quotes": True}, ['a"b,c"d', "e"]),
+        ('red;"green\n\nblue";\n\n"', {"quotes": True}, ['red;"green\n\nblue";', '"']),
+        ('5"6;7"8;9', {"delimiter": ";", "quotes": True}, ['5"6;7"8', "9"]),
     ],
 )
 def test_records(one, text, options, want):
@@ -71,12 +68,13 @@ def test_emoji_delimiter(one):
 
 
 @settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text('a",x\x01\x02', max_size=12), min_size=1, max_size=40))
+@given(st.lists(st.text('a",x' + "".join(map(chr, range(32))), max_size=20), min_size=1, max_size=40))
 def test_quoted_split_is_the_toggle_scan(spark, texts):
+    texts = [*texts, "".join(map(chr, range(32))) * 2 + '",x"', None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
-    for d in (",", ",x"):
+    for d in (",", ",x", "\x01", "\x02\x03", "\x01\x02\x03\x04"):
         got = {r["i"]: r["p"] for r in df.select("i", exprs.split_quoted(F.col("v"), d).alias("p")).collect()}
-        assert got == {i: toggled(t, d) for i, t in enumerate(texts)}
+        assert got == {i: None if t is None else toggled(t, d) for i, t in enumerate(texts)}
 
 
 def test_unquote(one):
@@ -91,7 +89,7 @@ def test_positions_and_other_columns(spark):
 
 @pytest.mark.parametrize(("text", "delimiter", "want"), [("a,b,", ",", ["a", "b", ""]), ("aa\r\nbb\r\ncc", "\r\n", ["aa", "bb", "cc"]), ("é,ü", ",", ["é", "ü"])])
 def test_byte_ranges(spark, text, delimiter, want):
-    for text, want in ((text, want), (delimiter.join([text] * 400), want * 400)):
+    for text, want in ((text, want), (delimiter.join([text] * 400), want * 400), (delimiter.join([text, "\x01\x02\x03", *map(chr, range(14, 32))] * 90), [*want, "\x01\x02\x03", *map(chr, range(14, 32))] * 90)):
         rows = byte_ranges(spark.createDataFrame([(1, text)], "id int, t string"), "t", delimiter).orderBy("pos").collect()
         assert [text.encode()[r["byte_start"] : r["byte_end"]].decode() for r in rows] == [r["value"] for r in rows] == want
 
@@ -103,7 +101,7 @@ def test_search(one):
     assert one(lambda c: exprs.search(c, ",", 0, 3), "ab,cd") == 2
     assert one(lambda c: exprs.search_matches(c, ",", "**"), "ab**cd,ef") == [(2, 1), (6, 0)]
     assert one(lambda c: exprs.search_matches(c, ","), "") == []
-    for n in (3, 300):  # summed part by part, and numbered
+    for n in (3, 300, 9000):
         assert one(lambda c: exprs.search_matches(c, "aa", "x"), "aaaéx🙂" * n) == [(6 * k + o, p) for k in range(n) for o, p in ((0, 0), (4, 1))]
 
 
@@ -118,7 +116,8 @@ def test_delimiters():
     assert parse_delimiter(Delimiters.Tab) == "\t"
     assert parse_delimiter(b"\r\n") == "\r\n"
     assert parse_delimiter([44, 44]) == ",,"
-    for bad in ("", b"", 256, -1):
+    assert delimiter_bytes(200) == b"\xc8" and delimiter_bytes("é", "latin-1") == b"\xe9" and delimiter_bytes([255, 0]) == b"\xff\x00"
+    for bad in ("", b"", 256, -1, 200, b"\xff"):
         with pytest.raises(ValueError):
             parse_delimiter(bad)
     with pytest.raises(TypeError):
@@ -127,5 +126,22 @@ def test_delimiters():
         exprs.split_quoted(None, 'a"')
 
 
+def test_running_sums(one):
+    for n in (0, 1, 15, 16, 17, 255, 257, 4097, 70_000):
+        numbers = [k * k % 11 for k in range(n)]
+        total, want = 0, []
+        for x in numbers:
+            want.append(total)
+            total += x
+        assert one(lambda c: exprs.running_sums(F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast("int"))), ",".join(map(str, numbers))) == want
+
+
+def test_binary_records(spark):
+    df = spark.createDataFrame([(1, b"a\xff\x00b\xff\xffc\xe9"), (2, b""), (3, None)], "id int, t binary")
+    rows = lambda d, **o: [(r["id"], r["pos"], bytes(r["value"])) for r in split_records(df, "t", d, **o).orderBy("id", "pos").collect()]
+    assert rows(0xFF) == rows(b"\xff") == [(1, 0, b"a"), (1, 1, b"\x00b"), (1, 2, b"c\xe9")]
+    assert rows(b"\xff\xff", skip_empty=False) == [(1, 0, b"a\xff\x00b"), (1, 1, b"c\xe9"), (2, 0, b"")]
+
+
 def test_visible(one):
     assert one(exprs.visible_characters, "a,b\tc\r\n \x1e") == "a-b␉c␍␤␠␞"

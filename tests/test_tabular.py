@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from linewright.operators import jsonl, tabular
 
-CARVEL = 'Item Name,Character Name,Category,Size,PRICE\nFudgie,Whale,Cake,L,"$30.50"\n"Saucer®, Sprinkles",,Ice,S,$4\n'
+#: Weather stations: a header in every case, a quoted cell with a comma, an empty one, prices with a sign.
+STATIONS = 'Station Name,openedIn,Height,FEE\nRidge,1931,812 m,"€1.25"\n"Lake, north ☂",,44 m,€7\n'
 
 
 def docs(spark, text):
@@ -16,30 +17,61 @@ def objects(spark, text, **options):
     return [r.asDict() for r in tabular.parse_documents(docs(spark, text), "doc", mode="object", **options).orderBy("pos").drop("pos").collect()]
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ('h1,h2\n"a,x",b\n', [{"h1": "a,x", "h2": "b"}]),
-        ('h1,h2\n"a\nx",b\n', [{"h1": "a\nx", "h2": "b"}]),
-        ('h1,h2\n"a""b",c\n', [{"h1": 'a"b', "h2": "c"}]),
-        ('h1,h2,h3\n"a",,c\n', [{"h1": "a", "h2": "", "h3": "c"}]),
-        ('"h,1",h2\na,b\n', [{"h,1": "a", "h2": "b"}]),
-        ("h1,h2\r\nv1,v2\r\n", [{"h1": "v1", "h2": "v2"}]),
-        ("a,b\n1,2,3\n", [{"a": "1", "b": "2", "column_2": "3"}]),
-        ("a,b\n1\n", [{"a": "1", "b": ""}]),
-        ("a,b\n", []),
-        ("", []),
-    ],
-)
-def test_objects(spark, text, want):
-    assert objects(spark, text, quotes=True, normalize_keys=False) == want
+def scanned(text, quotes):
+    """Objects of a document, read one character after the other: rows end at line feeds, cells at commas, outside quotes."""
+    rows, inside = [[""]], False
+    for c in text:
+        if not inside and c == "\n":
+            rows[-1][-1] = rows[-1][-1].removesuffix("\r")
+            rows.append([""])
+        elif not inside and c == ",":
+            rows[-1].append("")
+        else:
+            inside ^= quotes and c == '"'
+            rows[-1][-1] += c
+    bare = lambda c: c[1:-1].replace('""', '"') if quotes and len(c) > 1 and c[0] == c[-1] == '"' else c
+    rows = [[bare(c) for c in r] for r in rows if r != [""]]
+    out = []
+    for r in rows[1:]:
+        cells = r + [""] * (len(rows[0]) - len(r))
+        keys = rows[0] + [f"column_{k}" for k in range(len(rows[0]), len(cells))]
+        out.append(dict(zip(keys, cells, strict=True)))
+    return out
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["k", "4.5", "", "é u", '"p,q"', '"r\ns"', '"t""u"', '"v', 'w"']), min_size=1, max_size=4), min_size=1, max_size=5), st.sampled_from(["\n", "\r\n"]), st.booleans())
+def test_objects_are_what_a_scan_finds(spark, rows, end, quotes):
+    text = end.join(",".join(r) for r in [["one", "two"], *rows]) + end
+    want = scanned(text, quotes)
+    names = list(dict.fromkeys(n for r in want for n in r))
+    assert objects(spark, text, quotes=quotes, normalize_keys=False) == [{n: r.get(n, "") for n in (names or ["one", "two"])} for r in want]
+
+
+def test_objects_of_little(spark):
+    assert objects(spark, "one,two\n") == objects(spark, "") == objects(spark, "\n\n") == []
+    assert objects(spark, '"one,1",two\n5\n', quotes=True, normalize_keys=False) == [{"one,1": "5", "two": ""}]
 
 
 def test_headers_are_normalised(spark):
-    got = objects(spark, CARVEL, quotes=True)
-    assert list(got[0]) == ["item_name", "character_name", "category", "size", "PRICE"]
-    assert got[1]["item_name"] == "Saucer®, Sprinkles" and got[1]["character_name"] == ""
-    assert objects(spark, CARVEL)[1]["column_5"] == "$4"
+    got = objects(spark, STATIONS, quotes=True)
+    assert list(got[0]) == ["station_name", "opened_in", "height", "FEE"]
+    assert got[1]["station_name"] == "Lake, north ☂" and got[1]["opened_in"] == ""
+    assert objects(spark, STATIONS)[1]["column_4"] == "€7"
+
+
+def test_every_document_has_its_own_header(spark):
+    texts = ["id,Name\n1,x\n2\n", "name,other\ny,z,extra\n", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, doc string")
+    got = tabular.parse_documents(df, "doc", mode="object")
+    assert got.columns == ["id", "pos", "id_2", "name", "other", "column_2"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [(0, 0, "1", "x", None, ""), (0, 1, "2", "", None, ""), (1, 0, None, "y", "z", "extra")]
+    entries = tabular.parse_documents(df, "doc", mode="entries", transformers=[F.upper]).orderBy("id", "pos").collect()
+    assert [[tuple(e) for e in r["row"]] for r in entries][1:] == [[("id", "2", 0), ("name", "", 1)], [("name", "Y", 0), ("other", "z", 1), ("column_2", "extra", 2)]]
+    maps = tabular.parse_documents(df, "doc", mode="object", ragged="map").orderBy("id", "pos").collect()
+    assert maps[2]["row"] == {"name": "y", "other": "z", "column_2": "extra"}
+    named = tabular.parse_documents(df, "doc", mode="object", names=["a", "b"], drop=1).collect()
+    assert [tuple(r) for r in named] == [(0, 1 - 1, "2", "")]
 
 
 def test_headerless(spark):
@@ -63,14 +95,14 @@ def test_empty_cells_stay(spark, d, text):
 
 
 def test_wide_rows(spark):
-    text = "\r\n".join(",".join(f"v{r}_{c}" for c in range(800)) for r in range(20))
+    text = "\r\n".join(",".join(str(k * c) for c in range(640)) for k in range(12))
     rows = tabular.parse_documents(docs(spark, text), "doc", header=False).orderBy("pos").collect()
-    assert [len(r["row"]) for r in rows] == [800] * 20 and rows[19]["row"][799] == "v19_799"
+    assert [len(r["row"]) for r in rows] == [640] * 12 and rows[11]["row"][639] == str(11 * 639)
 
 
 def test_transformers_by_name_and_place(spark):
     price = lambda c: F.regexp_replace(c, "[^0-9.]", "").try_cast("double")
-    assert [r["PRICE"] for r in objects(spark, CARVEL, quotes=True, transformers={"PRICE": price})] == [30.5, 4.0]
+    assert [r["FEE"] for r in objects(spark, STATIONS, quotes=True, transformers={"FEE": price})] == [1.25, 7.0]
     assert objects(spark, "a,b\nx,y\n", transformers=[F.upper])[0] == {"a": "X", "b": "y"}
 
 
