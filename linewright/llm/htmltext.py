@@ -357,8 +357,8 @@ class Table:
         for row in placed:
             last = max(row, default=-1)
             used = columns[: bisect_right(columns, last)]
-            for i in range(max(map(len, row.values()), default=0)):
-                out.append("  ".join((row[k][i] if k in row and i < len(row[k]) else "").ljust(widths[k]) for k in used).rstrip())
+            lines = ["  ".join((row[k][i] if k in row and i < len(row[k]) else "").ljust(widths[k]) for k in used).rstrip() for i in range(max(map(len, row.values()), default=0))]
+            out += lines if any(lines) else []  # a row without text has no line
         return out
 
 

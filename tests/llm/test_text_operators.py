@@ -62,6 +62,47 @@ def test_decontamination_is_brute_force(spark, pattern_bytes):
         assert sum(len(words(s)) for s in spans) == r["n_hit"]
 
 
+def test_blocks_that_many_items_share(spark, monkeypatch):
+    """Items around the same passages, compared in small lots: hits only where whole windows stand."""
+    monkeypatch.setattr(decontaminate, "COMPARED", 5)
+    rng = random.Random(14)
+    words_ = [f"w{k}" for k in range(9)]
+    passage = [rng.choice(words_) for _ in range(30)]
+    items = []
+    for k in range(60):
+        a, n = rng.randrange(25), rng.randint(3, 20)
+        items.append((str(k), [rng.choice(words_) for _ in range(rng.randint(0, 6))] + passage[a : a + n] + [rng.choice(words_)]))
+    index = decontaminate.Index([(k, " ".join(w).encode()) for k, w in items], 8)
+    texts = []
+    for _ in range(300):
+        a = rng.randrange(25)
+        texts.append(" ".join([rng.choice(words_) for _ in range(rng.randint(0, 9))] + passage[a : a + rng.randint(4, 20)] + [rng.choice(words_) for _ in range(rng.randint(0, 9))]))
+    want = brute_decontamination(texts, [(k, " ".join(w)) for k, w in items])
+    got = [index.scan(t.encode()) for t in texts]
+    assert [(n, int(hit.sum()), sorted(found)) for n, hit, found in got] == want
+    assert 0 < sum(bool(w[2]) for w in want) < len(texts)
+
+
+def test_the_automaton_is_bounded():
+    """A worker's memory for a megabyte of benchmark: the bound of PATTERN_BYTES is stated from this ratio."""
+    import subprocess
+    import sys
+
+    code = """
+import random
+from linewright.llm.decontaminate import Index
+rng = random.Random(1)
+vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 11))) for _ in range(30000)]
+items = [(str(k), " ".join(rng.choices(vocabulary, k=100)).encode()) for k in range(1400)]
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+before = held()
+index = Index(items, 8)
+print((held() - before) / sum(len(t) for _, t in items))
+"""
+    ratio = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert ratio < 70
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(None, "x y", 5), (1, None, 6), (1, None, 6)], "doc_id long, text string, N_HIT int")
@@ -309,6 +350,69 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def naive_model(texts, labels, features):
+    """Log-count ratios of n-grams, one text after the other, and the bucket of each."""
+    held = {0: {}, 1: {}}
+    for text, y in zip(texts, labels, strict=True):
+        for b in naive_buckets(text):
+            held[y][b] = held[y].get(b, 0) + 1
+    n = {y: sum(1 for x in labels if x == y) for y in (0, 1)}
+    ratio = {b: np.log((held[1].get(b, 0) + 1) / (n[1] + 2)) - np.log((held[0].get(b, 0) + 1) / (n[0] + 2)) for b in held[0] | held[1]}
+    gain = {b: abs(r) * np.sqrt(held[0].get(b, 0) + held[1].get(b, 0)) for b, r in ratio.items() if held[0].get(b, 0) + held[1].get(b, 0) >= 5}
+    return ratio, sorted((-g, b) for b, g in gain.items() if g)[:features]
+
+
+def naive_buckets(text):
+    line = " " + " ".join(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+".decode("latin-1"), text.decode("latin-1").translate(LOWER))) + " "
+    raw, out = line.encode("latin-1"), set()
+    for n in toxicity.SIZES:
+        for k in range(len(raw) - n + 1):
+            number = int.from_bytes(raw[k : k + n], "big")
+            out.add(((number * 0x9E3779B97F4A7C15) % (1 << 64) ^ (n << 60)) >> (64 - toxicity.BITS))
+    return out
+
+
+def test_scores_are_naive_sums():
+    rng = random.Random(31)
+    words_ = ["Vile", "grub", "nice", "tea", "é", "day,", "x1", "(so)", "mud"]
+    texts = [" ".join(rng.choice(words_) for _ in range(rng.randint(0, 25))).encode() for _ in range(160)]
+    labels = np.array([int(b"Vile" in t and b"mud" in t) for t in texts])
+    model = toxicity.fit(texts, labels, features=10_000)
+    ratio, top = naive_model(texts, labels.tolist(), 10_000)
+    assert set(np.flatnonzero(model.weights)) <= {b for _, b in top}
+    # The learnt weight of a bucket is its factor times its ratio: zero where the ratio says nothing.
+    assert all(abs(ratio[b]) > 0 for b in np.flatnonzero(model.weights).tolist())
+    long = b" ".join(texts) * 3
+    for text, score in zip([*texts, b"", long], model.score([*texts, b"", long]), strict=True):
+        z = model.bias + sum(float(model.weights[b]) for b in naive_buckets(text))
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+    assert np.mean((model.score(texts) >= 0.5) == (labels == 1)) > 0.95
+
+
+def test_training_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    rows = [(k % 10, ("bad word " if k % 2 else "good word ") * 50) for k in range(400)] + [(None, "x"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(10)] * 3, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels.tolist())))
+    kept = sorted(r[0] for r in spark.range(10).where(~toxicity.held_out(F.col("id"))).collect())
+    toxicity.train(docs, marks)
+    assert seen[-1] == ([("" if k == 3 else ("bad word " if k % 2 else "good word ") * 50).encode() for k in kept], [k % 2 for k in kept])
+    toxicity.train(docs, marks, max_rows=3)
+    assert len(seen[-1][0]) == 3
+    toxicity.train(docs, marks, max_bytes=1200)
+    assert 0 < sum(map(len, seen[-1][0])) <= 1200 and len(seen[-1][0]) < len(kept)
+    toxicity.train(docs, marks, max_bytes=0)
+    assert sum(map(len, seen[-1][0])) == 0
+
+
+def test_repeated_documents_are_all_scored(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "a")], "doc_id long, text string").withColumn("HELD_OUT", F.lit(7))
+    got = toxicity.score_toxicity(docs, toxicity.fit([b"a", b"b"] * 5, np.array([0, 1] * 5)))
+    assert got.count() == 4 and [r["held_out"] for r in got.where("doc_id is null").collect()] == [False]
+    assert [c.lower() for c in got.columns].count("held_out") == 1
+
+
 def test_presence_counts_once():
     texts = [b"bad thing here", b"good thing here"] * 20
     model = toxicity.fit(texts, np.array([1, 0] * 20))
@@ -374,6 +478,115 @@ def test_stray_quotes_end_no_page(html, want):
     assert htmltext.render(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div>" * 420 + "<div style='display:none'>secret</div>" + "</div>" * 420 + "end", "end"),
+        ("<ul><li>" * 3 + "x", "- - - x"),
+        ("<table><tr><td colspan=60>a<td>b<tr><td>c<td>d</table>", "a     b\nc  d"),
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+        ("<table><tr><td rowspan=0>A<td>B<tr><td>C<tr><td>D</table>", "A  B\n   C\n   D"),
+        ("<table><tr><td rowspan=2 colspan=2>A<td>B<tr><td>C<tr><td>1<td>2<td>3</table>", "A     B\n      C\n1  2  3"),
+        ("<style>.h{display:none}#i , b{visibility:hidden}</style><p class='x h'>no</p><i id=i>no<u style='visibility:visible'>yes</u></i><b>no</b>", "yes"),
+        ("<style>p{display:none}.s{display:block}p.t{display:none!important}</style><p>no<p class=s>yes<p class='s t'>no<p class=s style='display:none'>no", "yes"),
+        ("<style>@media print{p{display:none}}@media screen{i{display:none}}/* b{display:none} */div p{display:none}u:hover{display:none}</style><p>a</p><i>no</i><b>b</b><u>c</u>", "a\n\nbc"),
+        ("<style media=print>p{display:none}</style><p>yes</p><style>@import 'x';p{color:red}", "yes"),
+        ("<div hidden style='display:block'>yes</div><div hidden>no</div>", "yes"),
+        ("<html><head><title>t</title><p>one</p><div>two", "one\n\ntwo"),
+        ("<head><meta a=b> words <b>here", "words here"),
+        ("a</br>b", "a\nb"),
+        ("x<select><option>one<option selected>two</select>y <select multiple><option>p<option>q</select>", "x two y p q"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<math><mi>x</mi><mo>=</mo><annotation>no</annotation></math> <svg><title>no</title><text>in <tspan>svg</tspan></text>no<g>no</g></svg>", "x= in svg"),
+        ("<ol type=a start=26><li>z<li>aa</ol><ol type=I reversed><li>two<li>one</ol>", "z. z\naa. aa\n\nII. two\nI. one"),
+        ("<ul><li><p>a</p><p>b</p><li></ul>", "- a\n\n  b\n-"),
+        ("<p>a</p><ul><li><br><li><pre>\n  x\n</pre></ul>b", "a\n\n-\n-   x\n\nb"),
+    ],
+)
+def test_visibility_and_layout(html, want):
+    assert htmltext.render(html) == want
+
+
+def slow_parts(nodes):
+    """Lines and gaps (None) of a tree of (name, children) and words; a list, quote or table is made whole on its own."""
+    out = []
+    for node in nodes:
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        name, children = node
+        gap = [None] * (name in ("p", "ul", "ol", "table", "blockquote", "h2"))
+        if name in ("ul", "ol"):
+            lines = []
+            for k, (_, item) in enumerate(children, 1):
+                mark, own = "- " if name == "ul" else f"{k}. ", slow_lines(item)
+                lines += [(mark + x if j == 0 else " " * len(mark) + x) if x else x for j, x in enumerate(own)] or [mark.rstrip()]
+        elif name == "table":
+            rows = [[slow_lines(cell) or [""] for _, cell in row] for _, row in children]
+            wide = {k: max(len(x) for r in rows if k < len(r) for x in r[k]) for k in range(max(map(len, rows), default=0))}
+            lines = [x for r in rows if any(map(any, r)) for j in range(max(map(len, r))) for x in ["  ".join((c[j] if j < len(c) else "").ljust(wide[k]) for k, c in enumerate(r)).rstrip()]]
+        elif name == "blockquote":
+            lines = ["  " + x if x else x for x in slow_lines(children)]
+        else:
+            lines = slow_parts(children)
+        out += [*gap, *lines, *gap]
+    return out
+
+
+def slow_lines(nodes):
+    """The same, a gap between two lines as one blank line."""
+    out, gap = [], False
+    for part in slow_parts(nodes):
+        if part is None:
+            gap = True
+        elif part or out:
+            out += [""] * (gap and bool(out)) + [part]
+            gap = False
+    while out and not out[-1]:
+        out.pop()
+    return out
+
+
+def random_tree(rng, depth, inside=""):
+    nodes, n = [], 0
+    for _ in range(rng.randint(0, 4)):
+        name = rng.choice(["", "div", "p", "h2", "ul", "ol", "table", "blockquote", "section"])
+        if not name or depth == 0 or (inside in ("p", "h2") and name):
+            if not nodes or not isinstance(nodes[-1], str):
+                nodes.append(f"word{rng.randrange(99)} é{n}")
+        elif name in ("ul", "ol"):
+            nodes.append((name, [("li", random_tree(rng, depth - 1)) for _ in range(rng.randint(0, 3))]))
+        elif name == "table":
+            nodes.append((name, [("tr", [("td", random_tree(rng, depth - 1)) for _ in range(rng.randint(0, 3))]) for _ in range(rng.randint(0, 3))]))
+        else:
+            nodes.append((name, random_tree(rng, depth - 1, name)))
+        n += 1
+    return nodes
+
+
+def written(rng, nodes):
+    """HTML of a tree, with end tags left out at random where a browser puts them in."""
+    out = []
+    for k, node in enumerate(nodes):
+        if isinstance(node, str):
+            out.append(rng.choice(("", " ", "\n")) + node.replace(" ", rng.choice((" ", "\n ", "<b> </b>"))) + rng.choice(("", " ", "<!-- c -->", "<i hidden>no</i>", "<script>no</script>")))
+            continue
+        name, children = node
+        after = nodes[k + 1] if k + 1 < len(nodes) else None
+        may = name in ("li", "td", "tr") or (name == "p" and after is not None and not isinstance(after, str) and after[0] != "table")
+        gap = rng.choice(("", "\n"))
+        out.append(f"<{name}{rng.choice(('', ' a=b', ' class=x'))}>{gap}{written(rng, children)}" + ("" if may and rng.random() < 0.5 else f"</{name}>"))
+    return "".join(out)
+
+
+def test_layout_is_that_of_a_slow_renderer():
+    rng = random.Random(77)
+    for _ in range(1500):
+        tree = random_tree(rng, rng.randint(1, 4))
+        html = written(rng, tree)
+        assert htmltext.render(html) == "\n".join(slow_lines(tree)), html
+
+
 def test_stray_quotes_take_linear_time():
     import time
 
@@ -388,13 +601,14 @@ def test_odd_pages_take_linear_time():
     import time
 
     began = time.process_time()
-    for part in ('<a "', "<", "<div>", "<p>", "<!--", "&", "<a b=c", "<table><tr>", "</p", "<![x"):
+    for part in ('<a "', "<", "<div>", "<p>", "<!--", "&", "<a b=c", "<table><tr>", "</p", "<![x", "<p><b>", "<td><i></b>", "<ul><li>x", "<select><option>", "<style>a{}"):
         htmltext.render(part * 20_000)
     assert time.process_time() - began < 20
 
 
 def test_everything_visible_is_emitted():
-    assert htmltext.render("<div>" * 3000 + "deep" + "</div>" * 3000 + "end").split() == ["deep", "end"]
+    for name in ("div", "span", "ul><li", "table><tr><td", "blockquote", "b"):
+        assert htmltext.render(f"<{name}>" * 20_000 + "deep" + "</div>" * 20_000 + "end").replace("-", " ").split()[0].startswith("deep")
     rng = random.Random(6)
     tags = ["p", "div", "ul", "li", "table", "tr", "td", "b", "ol", "pre", "dl", "dt", "h2", "a", "blockquote", "tbody", "th", "caption", "section"]
     for _ in range(400):
@@ -440,6 +654,24 @@ def test_url_rules_are_brute_force(spark, monkeypatch, limit):
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [brute_url(u, rules) for u in urls]
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_digests_confirm_what_prefixes_join(spark, monkeypatch, limit):
+    """With prefixes that all rules share, and without broadcasts, the answers stay; a hot host, no host and long URLs too."""
+    monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(urlfilter, "_short", lambda digest: F.substring(digest, 1, 0))
+    rules = [("block", "a.org/x"), ("allow", "org/"), ("block", "b.com/y/z"), ("allow", "a.org/xy")]
+    urls = ["http://a.org/xyz", "http://www.a.org/x", "http://org", "http://b.com/y/z?q", "http://b.com/y"] * 30 + [None] * 200 + ["http://" + "s." * 2000 + "a.org/x" + "p" * 50_000]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(limit or -1))
+    try:
+        out = urlfilter.filter_urls(pages, urlfilter.rule_table(spark, rules))
+        assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in out.orderBy("page_id").collect()] == [brute_url(u, rules) for u in urls]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("Exchange hashpartitioning" in plan) is (limit == 0)
+
+
 def test_url_edges(spark):
     pages = spark.createDataFrame([(None, "http://a.org/"), (1, None), (1, None)], "page_id long, url string")
     none = urlfilter.rule_table(spark, [("allow", "x/")]).limit(0)
