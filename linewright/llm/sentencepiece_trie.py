@@ -8,7 +8,7 @@ before and computes only the rest.
 The forward state at a position is the last piece of the best segmentation of the prefix that ends
 there. For ``kind="unigram"`` best means the highest sum of scores (Viterbi), and the state holds
 the sum too; of equal sums the longest last piece wins, and a character without a piece costs 10
-more than the worst piece, as in the library. For a BPE vocabulary, such as the public one here, the
+more than the worst piece. For a BPE vocabulary, such as the public one here, the
 sums of scores do not give the pieces that merging gives; there the state is the piece that merging
 the prefix ends with. It is the one piece that stands behind its predecessor's own state without the
 two ever merging differently, so the same recurrence finds it, one position after the other.
