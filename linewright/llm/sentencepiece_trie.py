@@ -44,11 +44,12 @@ from linewright.llm.common import add_columns, field, take_turn
 
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a Python worker remembers between batches.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 _LOADED: dict[tuple, "Vocabulary"] = {}
 #: What an unknown id decodes to; what a character without a piece costs more than the worst piece.
 UNKNOWN, PENALTY = " \u2047 ", 10.0
 
+_HIGH = re.compile("[\udc80-\udcff]")
 codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
 
 
@@ -75,6 +76,13 @@ class Vocabulary:
             for p, (i, _) in pieces.items():
                 self.text_of[i] = p
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        # What each id adds to a text; bytes beyond ASCII stand as the surrogates that Python escapes them by.
+        self.shown = [p.replace(MARK, " ") for p in self.text_of]
+        for i, b in self.byte_of.items():
+            self.shown[i] = chr(b if b < 0x80 else 0xDC00 + b)
+        for i in self.silent:
+            self.shown[i] = ""
+        self.shown[self.unknown] = UNKNOWN
         self.pieces, self.least = pieces, min((s for _, s in pieces.values()), default=0.0) - PENALTY
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
         # Characters that no piece holds: nothing merges across them.
@@ -202,29 +210,14 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of the pieces."""
-        raw, parts, begun = bytearray(), [], False
-
-        def flush():
-            parts.append(raw.decode("utf-8", "each-byte"))
-            raw.clear()
-
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                begun = True
-                continue
-            if raw:
-                flush()
-            if i in self.silent:
-                continue
-            piece = UNKNOWN if i == self.unknown else self.text_of[i]
-            # The mark that encoding put in front goes, whatever control ids stand before it.
-            parts.append(piece[1:] if not begun and piece[:1] == MARK else piece)
-            begun = True
-        if raw:
-            flush()
-        return "".join(parts).replace(MARK, " ")
+        out = "".join(map(self.shown.__getitem__, ids))
+        # The mark that encoding put in front goes, whatever control ids stand before it.
+        first = next((i for i in ids if i not in self.silent), None)
+        if first is not None and first != self.unknown and self.text_of[first][:1] == MARK:
+            out = out[1:]
+        if _HIGH.search(out):
+            out = out.encode("utf-8", "surrogateescape").decode("utf-8", "each-byte")
+        return out
 
 
 def vocabulary(path: str, kind: str) -> Vocabulary:
