@@ -90,10 +90,10 @@ class Splits:
     """The splits of the files at ``path``, surveyed and written.
 
     ``files``: _file, _n (rows), _ended (whether with the delimiter), _open (whether in quotes), _lone (whether a last
-    record is a carriage return alone that _n leaves out), _bom, _head (the first row). ``table``: of each split _file, _block, _inside (whether it begins in quotes),
-    _crosses (whether it begins or ends in them), _base (rows before it), _id (of its first emitted record), _width,
-    and of its file _end (the place of a last row that no delimiter ends, or -1) and _hold (whether that row then
-    holds the delimiter behind it).
+    record is a carriage return alone that _n leaves out), _bom, _head (the first row). ``table``: of each split _file,
+    _block, _inside (whether it begins in quotes), _crosses (whether it begins or ends in them), _base (rows before it),
+    _id (of its first emitted record), _width, and of its file _end (the place of a last row that no delimiter ends, or
+    -1) and _hold (whether that row then holds the delimiter behind it).
     """
 
     def __init__(self, spark: SparkSession, path: str, delimiter: bytes, *, quotes: bool, skip_empty: bool, crlf: bool, comma: str | None = None):
