@@ -49,7 +49,8 @@ _LOADED: dict[tuple, "Vocabulary"] = {}
 #: What an unknown id decodes to; what a character without a piece costs more than the worst piece.
 UNKNOWN, PENALTY = " \u2047 ", 10.0
 
-_HIGH = re.compile("[\udc80-\udcff]")
+#: Bytes beyond ASCII, and control ids, which add nothing but part the bytes beside them.
+_HIGH, _BREAK = re.compile("[\udc80-\udcff]"), "\ud800"
 codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
 
 
@@ -81,7 +82,7 @@ class Vocabulary:
         for i, b in self.byte_of.items():
             self.shown[i] = chr(b if b < 0x80 else 0xDC00 + b)
         for i in self.silent:
-            self.shown[i] = ""
+            self.shown[i] = _BREAK
         self.shown[self.unknown] = UNKNOWN
         self.pieces, self.least = pieces, min((s for _, s in pieces.values()), default=0.0) - PENALTY
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
@@ -211,12 +212,14 @@ class Vocabulary:
     def decode(self, ids) -> str:
         """The text of the pieces."""
         out = "".join(map(self.shown.__getitem__, ids))
+        if _HIGH.search(out):
+            out = "".join(part.encode("utf-8", "surrogateescape").decode("utf-8", "each-byte") for part in out.split(_BREAK))
+        elif _BREAK in out:
+            out = out.replace(_BREAK, "")
         # The mark that encoding put in front goes, whatever control ids stand before it.
         first = next((i for i in ids if i not in self.silent), None)
         if first is not None and first != self.unknown and self.text_of[first][:1] == MARK:
             out = out[1:]
-        if _HIGH.search(out):
-            out = out.encode("utf-8", "surrogateescape").decode("utf-8", "each-byte")
         return out
 
 
