@@ -57,6 +57,24 @@ def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[df[c] for c in df.columns if c.lower() in taken]) if any(c.lower() in taken for c in df.columns) else df
 
 
+#: 64-bit words of the bitmap that :func:`likely_among` broadcasts, at most.
+BITMAP_WORDS = 1 << 19
+
+
+def likely_among(df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``column`` is likely among the ``ids`` (one column); with ``how`` "left_anti" all others.
+
+    No row of ``df`` is shuffled: a bitmap of the ids' hashes is broadcast, of ``BITMAP_WORDS`` words at most for any
+    number of ids. No id is missed; rows that share a bit with one come along, so an exact join is to follow, of fewer
+    rows. Rows without an id are never among them.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(64 * BITMAP_WORDS))
+    word, bit = (lambda p: F.shiftrightunsigned(p, 6)), (lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int")))
+    set_bits = ids.select(place(F.col(ids.columns[0])).alias("p")).groupBy(word(F.col("p")).alias("w")).agg(F.bit_or(bit(F.col("p"))).alias("b"))
+    own = place(df[column])
+    return df.join(F.broadcast(set_bits), df[column].isNotNull() & (set_bits["w"] == word(own)) & (set_bits["b"].bitwiseAND(bit(own)) != 0), how)
+
+
 def add_columns(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with the columns that ``fn`` makes for every Arrow batch.
 

@@ -20,8 +20,10 @@ fewer). The steps:
 
 With 48 bands of 5 a pair at the threshold of 0.75 shares no key with probability 2e-6, at 0.8 less
 than 1e-8. Nothing caps a bucket or a class. Everything past step 1 handles keys, ids and counts,
-except the sets of documents in buckets of two or more, which are written once. Tables on the way
-are deleted when the result is written.
+except the sets of documents in buckets of two or more, which are written once. Whole texts are
+shuffled only of documents that a broadcast bitmap of bounded size says may be in such buckets; so are
+whole rows that may go or repeat an id in :func:`deduplicate`. Tables on the way are deleted when the
+result is written.
 
 Defined results: without words or text a document's set is empty and it is linked with nothing; a
 null id is linked with nothing, has no component and is kept; rows that repeat an id all get the
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import LOWER, distinct, raw_texts, take_turn
+from linewright.llm.common import LOWER, distinct, likely_among, raw_texts, take_turn
 from linewright.session import Scratch, materialise, ship_package
 
 BANDS, ROWS, BITS = 48, 5, 1024
@@ -269,8 +271,9 @@ def _components_of(texts: DataFrame, width: int, percent: int, write) -> DataFra
     stars = members.where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
     slim = reps.select("id", "n", "odd")
     near = stars.join(slim.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("odd").alias("a")), "u").join(slim.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("odd").alias("b")), "v").where((100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (_distance("a", "b") <= FAR)).select("u", "v")
-    in_buckets = members.select("id").distinct()
-    found = full_sets(texts.join(in_buckets, "id", "left_semi"), width)
+    # Few texts are in buckets: only those and the few that share a bit of the bitmap are shuffled.
+    in_buckets = write(members.select("id").distinct(), "in-buckets")
+    found = full_sets(likely_among(texts, "id", in_buckets).join(in_buckets, "id", "left_semi"), width)
     if not once:
         found = found.join(reps.select("id", "s1"), ["id", "s1"], "left_semi").groupBy("id").agg(F.min("members").alias("members"))
     sets = write(found.select("id", "members"), "sets")
@@ -300,9 +303,12 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFr
     Rows without an id stay.
     """
     gone = near_duplicates(docs, doc_id=doc_id, **options).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    left = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
     repeated = materialise(docs.groupBy(F.col(doc_id)).agg(F.count("*").alias("_n")).where(F.col(doc_id).isNotNull() & (F.col("_n") > 1)).select(doc_id), "repeated")
+    # Most rows neither go nor repeat an id: they pass without a shuffle.
+    touched = gone.unionAll(repeated.select(F.col(doc_id).cast("long")))
+    passed, open_rows = likely_among(docs, doc_id, touched, "left_anti"), likely_among(docs, doc_id, touched)
+    left = open_rows.join(gone, doc_id, "left_anti").select(*docs.columns)
     if repeated.isEmpty():
-        return left
+        return passed.unionAll(left)
     once = left.join(repeated, doc_id, "left_semi").select(doc_id, F.struct(*docs.columns).alias("_row")).groupBy(doc_id).agg(F.min("_row").alias("_row")).select("_row.*")
-    return left.join(repeated, doc_id, "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))
+    return passed.unionAll(left.join(repeated, doc_id, "left_anti").select(*docs.columns)).unionAll(once.select(*docs.columns))

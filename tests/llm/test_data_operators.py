@@ -15,7 +15,7 @@ from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from linewright.llm import ann, neardup, sentencepiece_trie, tokenfile
+from linewright.llm import ann, common, neardup, sentencepiece_trie, tokenfile
 from linewright.llm.queries import ORACLES, PIECES, QUERIES, WORD_BPE
 from linewright.session import materialise, scratch_path
 
@@ -215,6 +215,55 @@ def test_tables_on_the_way_are_deleted(spark, monkeypatch):
     assert len(dropped) > 10 and len(set(dropped)) == len(dropped)
 
 
+def shuffled(spark, run):
+    """(what ``run()`` returns, the bytes that the stages of its jobs write for shuffles)."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        listed = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(listed.apply, range(listed.size()))}
+
+    last = max(stages(), default=-1)
+    return run(), sum(n for k, n in stages().items() if k > last)
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_only_texts_of_buckets_and_groups_are_shuffled(spark, again):
+    """Without broadcasts by size, as on large tables: neither the sets nor the rows that stay move all texts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(2000)) for _ in range(120)]
+    texts += [texts[k] + " and more" for k in range(6)]
+    rows = list(enumerate(texts)) + ([(3, texts[3])] if again else [])
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string"), "shuffled")
+    try:
+        got, moved = shuffled(spark, lambda: materialise(neardup.deduplicate(docs), "left").select("doc_id").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r["doc_id"] for r in got) == list(range(120))
+    assert moved < 0.8 * sum(map(len, texts))
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    """One word of 64 bits, all of them set: every row is only likely among the ids, the exact joins tell."""
+    monkeypatch.setattr(common, "BITMAP_WORDS", 1)
+    texts = near_texts(5)
+    want = brute_components(texts)
+    assert sorted(r["doc_id"] for r in neardup.deduplicate(frame(spark, texts)).collect()) == [k for k, (_, c) in enumerate(want) if c == k]
+
+
+@pytest.mark.parametrize("words", [1, 3, 1 << 19])
+def test_likely_among_misses_no_id(spark, monkeypatch, words):
+    monkeypatch.setattr(common, "BITMAP_WORDS", words)
+    rows = spark.range(-500, 500).unionAll(spark.sql("select cast(null as long)"))
+    few = spark.range(-40, 400, 7).selectExpr("id as other").unionAll(spark.sql("select cast(null as long)"))
+    likely, others = ([r["id"] for r in common.likely_among(rows, "id", few, how).collect()] for how in ("left_semi", "left_anti"))
+    assert set(likely) >= set(range(-40, 400, 7)) and None not in likely and None in others
+    assert sorted(x for x in likely + others if x is not None) == list(range(-500, 500))
+    assert words < 9 or len(likely) < 70
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(0)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
