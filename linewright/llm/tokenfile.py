@@ -25,7 +25,6 @@ import json
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -38,8 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from linewright.llm.common import LOWER, take_turn
+from linewright.llm.common import LOWER, distinct, take_turn
 from linewright.session import scratch_path, ship_package
 
 ROW = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4"), ("crc32", "<u4"), ("has_id", "u1")])
@@ -47,12 +47,23 @@ _ROW = struct.Struct("<qQIIIB")
 FOOTER, MAGIC = struct.Struct("<QIII8s"), b"LWTOKEN2"
 #: A file ends behind the frame that reaches either; bytes of texts that a range of ids should hold.
 FILE_BYTES, FILE_DOCS, RANGE_BYTES = 256 << 20, 1 << 20, 512 << 20
-#: Distinct white-space-separated chunks whose ids a Python worker remembers.
+#: Distinct chunks of texts whose ids a Python worker remembers.
 REMEMBERED = 700_000
 #: Bytes of texts that are encoded at once.
 GATHERED = 12 << 20
 _UNPACKER = zstandard.ZstdDecompressor()
 SPACED = LOWER.translate(bytes.maketrans(b"\n\t", b"  "))
+#: Words that the library gets at once, white space between them.
+JOINED = 64
+#: Kinds of bytes of lower-cased texts. Other ones, control characters among them, are never parted from their neighbours.
+SPACE, LETTER, DIGIT, SIGN, APOSTROPHE, OTHER = range(6)
+KIND = np.array([SPACE if c == 32 else LETTER if 97 <= c <= 122 else DIGIT if 48 <= c <= 57 else APOSTROPHE if c == 39 else SIGN if 32 < c < 127 else OTHER for c in range(256)], np.uint8)
+#: By 8 times the kind of a byte and that of the next: whether a chunk begins between them. A letter goes on with letters,
+#: a sign with signs, a digit with nothing; an apostrophe may also begin a match with letters behind it.
+PARTED = np.zeros(64, bool)
+PARTED[[SPACE * 8 + k for k in (LETTER, DIGIT, SIGN, APOSTROPHE, OTHER)]] = True
+PARTED[[LETTER * 8 + k for k in (DIGIT, SIGN, APOSTROPHE)] + [DIGIT * 8 + k for k in (LETTER, DIGIT, SIGN, APOSTROPHE)]] = True
+PARTED[[SIGN * 8 + k for k in (LETTER, DIGIT)] + [APOSTROPHE * 8 + DIGIT]] = True
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -71,7 +82,7 @@ def separable(config: dict) -> bool:
 
 
 class ChunkEncoder:
-    """The tokenizer's ids of whole texts, put together from those of white-space-separated chunks.
+    """The tokenizer's ids of whole texts, put together from those of chunks that no match of its pattern spans.
 
     Exact for tokenizers that are :func:`separable`; ``whole`` keeps texts in one piece, and so does
     None, the default, for any other tokenizer.
@@ -81,62 +92,101 @@ class ChunkEncoder:
         # A task has one core; the library's own threads would only wait for one another.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
-            self.whole = whole if whole is not None else not separable(json.load(f))
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+            config = json.load(f)
+        self.whole = whole if whole is not None else not separable(config)
+        self.tokenizer = Tokenizer.from_file(path)
+        # The chunks that are remembered, and the bytes of their ids.
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        suffix, vocabulary = config["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix and all(c + suffix in vocabulary for c in ByteLevel.alphabet()):
+            # Then the last token of every match of the pattern ends with it, and no other token does.
+            self.last[[k for t, k in vocabulary.items() if t.endswith(suffix)]] = True
 
     def __call__(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, ``end_id`` behind each, and where each text's begin (one more: the end)."""
         if self.whole:
             own = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array(list(chain.from_iterable(own)), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
-        # Lower-cased as the tokenizer would, and parted only at characters that every tokenizer takes
-        # for white space. A text that may hold a special token is one chunk, as it is, and so is one with
-        # a mark that a letter might be composed with before it is lower-cased.
-        special = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u036f]"))
-        _, offsets, data = texts.buffers()
-        plain = pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(data.to_pybytes().translate(SPACED) if data else b""), None, 0, texts.offset)
-        lists = pc.split_pattern(plain, " ")
-        if pc.any(special).as_py():
-            lists = pa.array([[t] if s else x for x, t, s in zip(lists.to_pylist(), texts.to_pylist(), special.to_pylist(), strict=True)], pa.list_(pa.string()))
-        coded = lists.flatten().dictionary_encode()
-        ids = self._chunk_ids(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[which]
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        bounds -= bounds[0]
-        total = np.concatenate(([0], np.cumsum(n)))
-        starts = total[bounds] + np.arange(len(bounds))
-        out = np.full(starts[-1], end_id, np.uint32)
-        # Each chunk's ids go behind those of the chunks before it and the end ids of the texts before its own.
-        within = np.arange(total[-1]) - np.repeat(total[:-1], n)
-        out[np.repeat(total[:-1] + np.repeat(np.arange(len(texts)), np.diff(bounds)), n) + within] = flat[np.repeat(first[which], n) + within]
-        return out, starts
-
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        known, own, parted, new = self.known, {}, [], set()
-        if len(known) > REMEMBERED:
-            known.clear()
-        for x in chunks:
-            ids = known.get(x)
-            if ids is not None:
-                own[x] = ids
-            elif x[-1:] in (".", ",") and "a" <= x[-2:-1] <= "z":
-                # A full stop or comma behind a letter is a token of its own: only the word is remembered.
-                own[x] = b""
-                parted.append(x)
-                if x[:-1] not in known:
-                    new.add(x[:-1])
+        chunks, bounds = chunked(texts)
+        which = pc.index_in(chunks, value_set=self.known)
+        missing = chunks.filter(which.is_null())
+        fresh, ids, n_kept = self._fresh_ids(missing.unique().to_pylist())
+        which = which.fill_null(-1).to_numpy().copy()
+        which[which < 0] = len(self.known) + pc.index_in(missing, value_set=fresh).to_numpy()
+        every = pa.concat_arrays([self.ids, ids, pa.array([np.uint32(end_id).tobytes()], pa.large_binary())])
+        # The end id of a text stands behind its chunks.
+        ends = bounds[1:] + np.arange(len(texts))
+        order = np.full(len(which) + len(texts), len(every) - 1, np.int32)
+        inner = np.ones(len(order), bool)
+        inner[ends] = False
+        order[inner] = which
+        taken = every.take(pa.array(order))
+        _, offsets, data = taken.buffers()
+        starts = np.concatenate(([0], np.frombuffer(offsets, np.int64)[ends + 1] // 4))
+        self.known, self.ids = pa.concat_arrays([self.known, fresh[:n_kept]]), every[: len(self.known) + n_kept]
+        if len(self.known) > REMEMBERED:
+            used = distinct(which)
+            used = pa.array(used[used < len(self.known)][:REMEMBERED])
+            self.known, self.ids = self.known.take(used), self.ids.take(used)
+        return np.frombuffer(data, np.uint32, starts[-1]), starts
+
+    def _fresh_ids(self, chunks: list[str]) -> tuple[pa.Array, pa.Array, int]:
+        """The chunks in another order, the bytes of their ids, and how many of them, from the first, are short enough to remember."""
+        words, others = [x for x in chunks if x.isalpha() and len(x) < 100], [x for x in chunks if not x.isalpha() and len(x) < 100]
+        lines = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        done, found = [], []
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(self.last[ids]) + 1
+            # No word is without a match: as many last tokens as words are one for each. Others are encoded alone.
+            if len(stops) == len(line):
+                done += line
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                found += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
             else:
-                own[x] = b""
-                new.add(x)
-        part = [*new, ".", ","]
-        fresh = dict(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        known.update((x, fresh[x]) for x in new if len(x) < 100)
-        for x in parted:
-            own[x] = (known.get(x[:-1]) or fresh[x[:-1]]) + fresh[x[-1]]
-        return [ids or fresh.get(x, b"") for x, ids in own.items()]
+                others += line
+        n_kept = len(done) + len(others)
+        others += [x for x in chunks if len(x) >= 100]
+        found += [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        return pa.array(done + others, pa.string()), pa.array(found, pa.large_binary()), n_kept
+
+
+def chunked(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The chunks of all texts one after another, and how many there are before each text (one more: all).
+
+    Lower-cased as the tokenizer would, as far as ASCII and Latin-1 go. Parted at characters that every tokenizer takes
+    for white space, and between two known characters that :data:`PARTED` tells apart. A text that may hold a special
+    token is one chunk, as it is, and so is one with a mark that a letter might be composed with before it is lower-cased.
+    """
+    special = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u036f]"))
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    data = np.frombuffer(bytearray(raw.tobytes().translate(SPACED)), np.uint8)
+    kind = KIND[data]
+    # Letters of Latin-1 but the signs of multiplication and division: C3 80 to C3 BF.
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] & 0xDF) != 0x97]
+    kind[lead] = kind[lead + 1] = LETTER
+    upper = lead[data[lead + 1] < 0x9F] + 1
+    data[upper] += 0x20
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-1] = PARTED[kind[:-1] * np.uint8(8) + kind[1:]]
+    begins[offsets[:-1]] = True
+    begins[-1] = True
+    spaces = kind == SPACE
+    begins[:-1] &= ~spaces
+    for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+        a, b = offsets[k], offsets[k + 1]
+        data[a:b], begins[a:b], spaces[a:b] = raw[a:b], False, False
+        begins[a] = True
+    firsts = np.flatnonzero(begins[:-1])
+    # A chunk goes up to the next one or white space.
+    ends = np.flatnonzero(~spaces & (begins[1:] | np.append(spaces[1:], True))) + 1
+    bounds = np.searchsorted(firsts, offsets)
+    at = np.concatenate(([0], np.cumsum(ends - firsts))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(firsts), pa.py_buffer(at), pa.py_buffer(data[~spaces])), bounds
 
 
 def encoder(path: str, whole: bool | None) -> ChunkEncoder:

@@ -376,6 +376,33 @@ def test_any_tokenizer_gives_its_own_ids(name):
         assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_words_are_encoded_once_in_any_case_and_beside_any_sign(monkeypatch):
+    """The library gets each match of its pattern once, many in one text; ids of matches that are kept together stay the library's."""
+    library, own, given = Tokenizer.from_file(WORD_BPE), tokenfile.ChunkEncoder(WORD_BPE), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    own.tokenizer = Counting()
+    words = [a + b + c for a in "abcdefgh" for b in "aeioué" for c in ("n", "st", "ß", "ç")]
+    texts = [f"{x} {x.upper() if 'ß' not in x else x}, {x}$$$ ({x}) {x}.### {x}-{x}! {x}'s 4{x}20" for x in words]
+    marks = ["a\u0958b", "İ, x", "×, ÷. é× x", "'s's 's-'s ''s", "12.5-'re", "<|endoftext|>a$ <|", "é\u0301, H\u0331.", "a\x1c.b\x85,", "x" * 120 + ",", "", " "]
+    for batch in (texts, texts, marks * 3, [], marks + texts):
+        ids, starts = own(pa.array(batch, pa.string()), 1)
+        assert len(starts) == len(batch) + 1
+        for text, a, b in zip(batch, starts[:-1], starts[1:], strict=True):
+            assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
+        if batch is texts:
+            assert len(given) <= 30 and len(own.known) <= len(words) + 15
+    monkeypatch.setattr(tokenfile, "REMEMBERED", 20)
+    for batch in (texts, marks, texts):
+        ids, _ = own(pa.array(batch, pa.string()), 1)
+        assert ids.tolist() == [k for t in batch for k in [*library.encode(t, add_special_tokens=False).ids, 1]]
+        assert len(own.known) <= 20
+
+
 def test_ranges_and_files_are_bounded(spark):
     """A repeated id goes over several ranges, a full file is followed by another, and the order stays."""
     rows = [(5, f"word {k}") for k in range(90)] + [(k, "a b c") for k in range(40)] + [(None, f"none {k}") for k in range(60)]
