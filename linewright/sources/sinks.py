@@ -2,24 +2,102 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.operators.jsonl import to_json_rows
+from linewright.session import drop_tables, ship_package
+
+#: Bytes that a task copies into its place of a single file, about.
+PIECE = 16 << 20
+
+
+def _pieces(parts: list[tuple[str, int]], piece: int) -> list[list[tuple[str, int, int, int]]]:
+    """The work of each task: (part, where in it, where in the whole file, bytes). Parts are cut at multiples of
+    ``piece`` bytes of the whole file, and small ones go together."""
+    groups, at = {}, 0
+    for name, size in parts:
+        start = 0
+        while start < size:
+            n = min(piece - (at + start) % piece, size - start)
+            groups.setdefault((at + start) // piece, []).append((name, start, at + start, n))
+            start += n
+        at += size
+    return list(groups.values())
+
+
+def _copy(group: list[tuple[str, int, int, int]], target: str) -> None:
+    with open(target, "r+b") as out:
+        for name, start, at, n in group:
+            with open(name, "rb") as part:
+                part.seek(start)
+                out.seek(at)
+                while n:
+                    data = part.read(min(n, 1 << 20))
+                    if not data:
+                        raise OSError(f"{name} is shorter than it was")
+                    out.write(data)
+                    n -= len(data)
+
+
+def _join(spark: SparkSession, folder: str, target: str, piece: int = PIECE) -> None:
+    """The parts that Spark wrote to ``folder``, in their order, as the file ``target``: local paths that all tasks see.
+
+    Every task copies about ``piece`` bytes to their own place, the same ones if it runs again. Parts go once they are
+    copied, so both take little more than one of them on the disk.
+    """
+    names = sorted((int(e.name.split("-")[1]), e.name) for e in os.scandir(folder) if e.name.startswith("part-"))
+    parts = [(f"{folder}/{name}", os.path.getsize(f"{folder}/{name}")) for _, name in names]
+    with open(target, "wb") as out:
+        out.truncate(sum(size for _, size in parts))
+    groups = _pieces(parts, piece)
+    ship_package(spark)
+    at_once = max(spark.sparkContext.defaultParallelism, len(groups) // 32)
+    for k in range(0, len(groups), at_once):
+        now = groups[k : k + at_once]
+        spark.sparkContext.parallelize(now, len(now)).foreach(lambda group: _copy(group, target))
+        left = {name for group in groups[k + at_once : k + at_once + 1] for name, *_ in group}
+        for name in {name for group in now for name, *_ in group} - left:
+            os.remove(name)
+
+
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path without its scheme where it is one of files that driver and tasks open as such."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
 
 
 def write_lines(df: DataFrame, path: str, value: str = "value", *, delimiter: str = "\n", order: list | None = None, single: bool = False, mode: str = "errorifexists") -> None:
     """Each value and a delimiter behind it; empty values stay, null ones are left out.
 
-    ``order`` sorts the rows over the files; ``single`` makes one file, for results of one task.
+    ``order`` sorts the rows over the files; ``single`` makes one file, in the order of the rows. In the files of a
+    machine, shared ones too, any number of tasks write it; other stores take a file from one task only.
     """
     rows = df.where(F.col(value).isNotNull())
     if order:
         rows = rows.orderBy(*order)
     rows = rows.select(F.col(value).cast("string").alias("value"))
-    (rows.coalesce(1) if single else rows).write.mode(mode).option("lineSep", delimiter).text(path)
+    local = _local(df.sparkSession, path) if single else None
+    there = local is not None and os.path.exists(local) and mode.lower() not in ("append", "overwrite")
+    if local is None or there:  # Spark says what is to be done with a folder that is there
+        (rows.coalesce(1) if single else rows).write.mode(mode).option("lineSep", delimiter).text(path)
+        return
+    parts, name = f"{os.path.dirname(local)}/.parts-{uuid.uuid4().hex}", f"part-00000-{uuid.uuid4()}-c000.txt"
+    try:
+        rows.write.mode(mode).options(lineSep=delimiter, compression="none").text(f"file://{parts}")
+        if mode.lower() == "overwrite":
+            drop_tables(df.sparkSession, [path])
+        os.makedirs(local, exist_ok=True)
+        _join(df.sparkSession, parts, f"{local}/_{name}")
+        os.replace(f"{local}/_{name}", f"{local}/{name}")
+        open(f"{local}/_SUCCESS", "w").close()
+    finally:
+        drop_tables(df.sparkSession, [f"file://{parts}"])
 
 
 def write_jsonl(df: DataFrame, path: str, **options) -> None:

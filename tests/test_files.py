@@ -176,6 +176,62 @@ def test_writer(spark, tmp_path, rows, want):
     assert sinks.to_array(df) == rows and list(sinks.iterate(df)) == rows
 
 
+def most_written(spark, run):
+    """The most rows that one task of the jobs of ``run()`` wrote to files."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        listed = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {s.stageId(): s.attemptId() for s in map(listed.apply, range(listed.size()))}
+
+    last = max(stages(), default=-1)
+    run()
+    tasks = [context.statusStore().taskList(k, attempt, 10_000) for k, attempt in stages().items() if k > last]
+    found = [t.taskMetrics().get() for listed in tasks for t in map(listed.apply, range(listed.size())) if t.taskMetrics().isDefined()]
+    return max(m.outputMetrics().recordsWritten() for m in found)
+
+
+@pytest.mark.parametrize("order", [None, ["k"]])
+def test_one_file_is_written_by_many_tasks(spark, tmp_path, order):
+    n, path = 40_000, str(tmp_path / "out")
+    df = spark.range(n, numPartitions=8).select((n - 1 - F.col("id")).alias("k"), F.concat(F.col("id").cast("string"), F.lit("é,"), F.repeat(F.lit("x"), 1000)).alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert 0 < most_written(spark, lambda: sinks.write_lines(df, path, order=order, single=True, delimiter="||")) < n / 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    [part] = [p for p in os.listdir(path) if p.startswith("part-")]
+    assert sorted(p for p in os.listdir(path) if p != part) == ["_SUCCESS"] and os.listdir(tmp_path) == ["out"]
+    ids = range(n) if order is None else range(n - 1, -1, -1)
+    assert (tmp_path / "out" / part).read_text(encoding="utf-8") == "".join(f"{k}é,{'x' * 1000}||" for k in ids)
+
+
+def test_one_file_in_a_folder_that_is_there(spark, tmp_path):
+    path, df = f"file://{tmp_path}/o u%t", spark.createDataFrame([("a",), (None,), ("",)], "value string")
+    held = lambda: sorted((tmp_path / "o u%t" / p).read_text() for p in os.listdir(tmp_path / "o u%t") if p.startswith("part-"))
+    sinks.write_lines(df, path, single=True)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_lines(df, path, single=True)
+    sinks.write_lines(df, path, single=True, mode="ignore")
+    assert held() == ["a\n\n"]
+    sinks.write_lines(df, path, single=True, mode="append", delimiter=";")
+    assert held() == ["a\n\n", "a;;"]
+    sinks.write_lines(df.limit(0), path, single=True, mode="overwrite")
+    assert held() == [""] and os.listdir(tmp_path) == ["o u%t"]
+
+
+def test_pieces_of_one_file():
+    for sizes in ([0], [5, 0, 7, 1, 1, 30], [3] * 20, [16, 16], []):
+        parts = [(str(k), n) for k, n in enumerate(sizes)]
+        groups = sinks._pieces(parts, 8)
+        flat = [p for g in groups for p in g]
+        want = [(str(k), at) for k, n in enumerate(sizes) for at in range(n)]
+        assert [(name, start + i) for name, start, _, n in flat for i in range(n)] == want
+        assert [at + i for _, _, at, n in flat for i in range(n)] == list(range(len(want)))
+        assert all(sum(n for *_, n in g) <= 8 for g in groups)
+
+
 def test_segments(tmp_path):
     path = write(tmp_path / "lines", "".join(f"{'z' * (i % 23)};{i * i}\n" for i in range(700)))
     data = open(path, "rb").read()
