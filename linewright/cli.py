@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from linewright.operators.jsonl import to_json_rows
 from linewright.session import local_session
-from linewright.sources import files
+from linewright.sources import files, sinks
 
 
 def _load(path: str) -> Any:
@@ -61,9 +61,16 @@ def _unescape(text: str) -> str:
 
 
 def _emit(df: DataFrame, args: argparse.Namespace, stdout: TextIO) -> None:
-    """To one file or to standard output, row by row in order: partitions come to the driver one at a time."""
+    """To one file, written by the tasks, or to standard output, pipes and devices: these are the driver's, to which
+    partitions come one at a time. So they do without a text between records, which Spark's writer refuses."""
+    # As the driver would read them, so a file holds what standard output shows.
+    df = df.select(F.make_valid_utf8("value").alias("value"))
     if args.debug:
         df.explain("formatted")
+    plain = not os.path.exists(args.destination) or os.path.isfile(args.destination)
+    if args.destination != "-" and plain and _unescape(args.join):
+        sinks.write_file(df, args.destination, delimiter=_unescape(args.join))
+        return
     out = stdout if args.destination == "-" else open(args.destination, "w", encoding="utf-8", newline="")
     try:
         for row in df.toLocalIterator(prefetchPartitions=True):

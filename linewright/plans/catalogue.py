@@ -613,12 +613,10 @@ def dispatched_column(spark, sf_dir):
 
 @query("SELECT event_type || '!' AS value FROM events WHERE event_type <> 'click'")
 def command_line(spark, sf_dir):
-    """``iterate`` with a filter and a transformer, from a file to a file; both are the driver's own."""
-    folder = scratch_path(spark, "command").removeprefix("file:").replace("//", "/")
+    """``iterate`` with a filter and a transformer, from a file to a file; tasks write both."""
+    folder = sinks.local_path(spark, scratch_path(spark, "command"))
     os.makedirs(folder)
-    with open(f"{folder}/in.txt", "w", encoding="utf-8") as f:
-        for row in table(spark, sf_dir, "events").select("event_type").toLocalIterator():
-            f.write(row["event_type"] + "|")
+    sinks.write_file(table(spark, sf_dir, "events"), f"{folder}/in.txt", "event_type", delimiter="|")
     with open(f"{folder}/user.py", "w", encoding="utf-8") as f:
         f.write("from pyspark.sql import functions as F\n\n\ndef filter(c):\n    return c != 'click'\n\n\ndef transform(c):\n    return F.concat(c, F.lit('!'))\n")
     cli.run(["iterate", f"{folder}/in.txt", f"{folder}/out.txt", "-s", "|", "-f", f"{folder}/user.py", "-T", f"{folder}/user.py"], spark)
@@ -628,7 +626,7 @@ def command_line(spark, sf_dir):
 @query("SELECT CAST(p_partkey AS VARCHAR) AS key, upper(p_name) AS part_name, p_brand AS \"BRAND\" FROM part")
 def command_line_csv(spark, sf_dir):
     """``csv`` with transformers: JSON Lines, read back."""
-    folder = scratch_path(spark, "command-csv").removeprefix("file:").replace("//", "/")
+    folder = sinks.local_path(spark, scratch_path(spark, "command-csv"))
     os.makedirs(folder)
     with open(f"{folder}/user.py", "w", encoding="utf-8") as f:
         f.write("from pyspark.sql import functions as F\n\ntransformers = {'part_name': F.upper}\n")

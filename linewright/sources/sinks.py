@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.operators.jsonl import to_json_rows
-from linewright.session import drop_tables, ship_package
+from linewright.session import drop_tables, scratch_path, shared_dir, ship_package
 
 #: Bytes that a task copies into its place of a single file, about.
 PIECE = 16 << 20
@@ -65,7 +65,7 @@ def _join(spark: SparkSession, folder: str, target: str, piece: int = PIECE) ->
             os.remove(name)
 
 
-def _local(spark: SparkSession, path: str) -> str | None:
+def local_path(spark: SparkSession, path: str) -> str | None:
     """The path without its scheme where it is one of files that driver and tasks open as such."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     uri = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri()
@@ -82,7 +82,7 @@ def write_lines(df: DataFrame, path: str, value: str = "value", *, delimiter: st
     if order:
         rows = rows.orderBy(*order)
     rows = rows.select(F.col(value).cast("string").alias("value"))
-    local = _local(df.sparkSession, path) if single else None
+    local = local_path(df.sparkSession, path) if single else None
     there = local is not None and os.path.exists(local) and mode.lower() not in ("append", "overwrite")
     if local is None or there:  # Spark says what is to be done with a folder that is there
         (rows.coalesce(1) if single else rows).write.mode(mode).option("lineSep", delimiter).text(path)
@@ -100,6 +100,47 @@ def write_lines(df: DataFrame, path: str, value: str = "value", *, delimiter: st
         drop_tables(df.sparkSession, [f"file://{parts}"])
 
 
+def _by_driver(spark: SparkSession, folder: str, target: str) -> None:
+    """The parts of ``folder``, in their order, as a file of the driver's own; its JVM copies them."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    parts = hadoop.fs.Path(folder)
+    fs = parts.getFileSystem(conf)
+    names = [status.getPath().getName() for status in fs.listStatus(parts)]
+    out = spark._jvm.java.io.FileOutputStream(target)
+    try:
+        for _, name in sorted((int(n.split("-")[1]), n) for n in names if n.startswith("part-")):
+            source = fs.open(hadoop.fs.Path(parts, name))
+            try:
+                hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+
+
+def write_file(df: DataFrame, path: str, value: str = "value", *, delimiter: str = "\n") -> None:
+    """The same as :func:`write_lines`, in the order of ``df``, as the file ``path`` itself: one that the driver opens.
+
+    What is there is overwritten, after all rows are known. Tasks write the file on one machine, and on more of them
+    under ``spark.checkpoint.dir``. Elsewhere they don't see it: the driver copies what they wrote, a buffer at a time.
+    """
+    spark, path = df.sparkSession, os.path.realpath(path)
+    seen = spark.sparkContext.master.split("[")[0] == "local"
+    if not seen:
+        shared = local_path(spark, shared_dir(spark))
+        seen = shared is not None and path.startswith(os.path.realpath(shared) + "/")
+    parts = f"file://{os.path.dirname(path)}/.parts-{uuid.uuid4().hex}" if seen else scratch_path(spark, "parts")
+    try:
+        rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("string").alias("value"))
+        rows.write.options(lineSep=delimiter, compression="none").text(parts)
+        if seen:
+            _join(spark, parts.removeprefix("file://"), path)
+        else:
+            _by_driver(spark, parts, path)
+    finally:
+        drop_tables(spark, [parts])
+
+
 def write_jsonl(df: DataFrame, path: str, **options) -> None:
     write_lines(to_json_rows(df), path, **options)
 

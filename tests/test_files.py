@@ -318,6 +318,43 @@ def test_command_line(spark, tmp_path):
     assert out.getvalue() == "A\nC\n"
 
 
+def test_command_line_writes_files_by_tasks(spark, tmp_path, monkeypatch):
+    """No row comes to the driver, and a file holds what standard output shows: malformed bytes, any text between."""
+    n = 20_000
+    source = write(tmp_path / "in", b"".join(b"%d\xff\xc3\n%s|" % (k, b"x" * 300) for k in range(n)))
+    small = write(tmp_path / "small", b"\xe2\x82a||b|\xf0\x9f\x98\x80\xed\xa0\x80|")
+    old = write(tmp_path / "old.txt", "y" * 10_000_000)
+    os.chmod(old, 0o640)
+    for join in ("\\n", "--", ""):
+        out = io.StringIO()
+        cli.run(["iterate", small, "-", "-s", "|", f"--join={join}"], spark, stdout=out)
+        cli.run(["iterate", small, old, "-s", "|", f"--join={join}"], spark)
+        assert out.getvalue() == open(old, encoding="utf-8", newline="").read()
+    assert os.stat(old).st_mode & 0o777 == 0o640
+    # From a file to itself, through a link; the driver gets no rows.
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", lambda *_, **__: pytest.fail("rows came to the driver"))
+    os.symlink(source, tmp_path / "link")
+    cli.run(["iterate", source, str(tmp_path / "link"), "-s", "|", "-j", ";"], spark)
+    assert os.path.islink(tmp_path / "link")
+    assert open(source, encoding="utf-8", newline="").read() == "".join(f"{k}\ufffd\ufffd\n{'x' * 300};" for k in range(n))
+    assert sorted(os.listdir(tmp_path)) == ["in", "link", "old.txt", "small"]
+
+
+def test_a_file_that_tasks_cannot_see(spark, tmp_path, monkeypatch):
+    df = spark.range(5000, numPartitions=12).select(F.col("id").cast("string").alias("v"))
+    want = "".join(f"{k}é" for k in range(5000))
+    sinks.write_file(df, str(tmp_path / "here"), "v", delimiter="é")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    sinks.write_file(df, str(tmp_path / "there"), "v", delimiter="é")
+    shared = sinks.scratch_path(spark, "in-shared")
+    os.makedirs(sinks.local_path(spark, shared))
+    monkeypatch.setattr(sinks, "_by_driver", None)
+    sinks.write_file(df, sinks.local_path(spark, shared) + "/x", "v", delimiter="é")
+    for name in (tmp_path / "here", tmp_path / "there", sinks.local_path(spark, shared) + "/x"):
+        assert open(name, encoding="utf-8").read() == want
+    assert sorted(os.listdir(tmp_path)) == ["here", "there"] and os.listdir(sinks.local_path(spark, shared)) == ["x"]
+
+
 def test_jsonl_writer(spark, tmp_path):
     sinks.write_jsonl(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).first()["value"] == '{"a":1,"b":"x"}'
